@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: Query name: module that defines a function of that name.
 _MODULES = {
+    "op2_best_fit_packing": "packing",
+    "op4_token_counts": "token_counts",
+    "op5_simhash": "simhash",
     "op6_quality_rules": "quality_rules",
 }
 
