@@ -6,10 +6,14 @@ from importlib import import_module
 
 #: Query name: module that defines a function of that name.
 _MODULES = {
+    "op1_decontamination": "decontamination",
     "op2_best_fit_packing": "packing",
+    "op3_sorted_shards": "sstable",
     "op4_token_counts": "token_counts",
     "op5_simhash": "simhash",
     "op6_quality_rules": "quality_rules",
+    "op7_warc": "warc",
+    "op8_line_dedup": "line_dedup",
 }
 
 
