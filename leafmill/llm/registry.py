@@ -14,6 +14,8 @@ _MODULES = {
     "op6_quality_rules": "quality_rules",
     "op7_warc": "warc",
     "op8_line_dedup": "line_dedup",
+    "op9_html_extraction": "html_extract",
+    "op10_quality_classifier": "rule_ensemble",
 }
 
 
