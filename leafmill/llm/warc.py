@@ -79,12 +79,13 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     sorted_out.select("page_id", "sha256", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    owners = first.select(F.col("sha256").alias("digest"), F.col("largest").alias("owner"))
+    # One key column, so that what the join is dealt by also serves the removal of repeated rows.
+    key = lambda page_id: F.concat_ws(":", "sha256", F.coalesce(page_id.cast("string"), F.lit("null")))
+    owners = first.select(key(F.col("largest")).alias("key"))
     mine = pages.select("page_id", _payload().alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    kept = mine.join(
-        owners, (F.col("sha256") == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi"
-    )
-    kept.select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    mine = mine.select(key(F.col("page_id")).alias("key"), "sha256", "payload")
+    kept = mine.join(owners, "key", "left_semi").dropDuplicates(["key"])
+    kept.select("sha256", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
