@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -23,7 +24,8 @@ _PATTERN = re.compile(
 #: Characters that Python's and the library's white space agree on; others go to the library.
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-ɏ‐-―‘-‟•…]")
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
+SLICE_CHARS = 2_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,10 +41,24 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about ``SLICE_CHARS`` characters; a longer text is a run of its own."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if size and size + n > SLICE_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class CachedEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Encodes whole texts; ids are little-endian unsigned 32-bit bytes.
 
-    ``cache`` is bounded: when it holds ``entries`` pre-tokens it starts again empty.
+    The first ``entries`` pre-tokens that a worker meets stay in ``cache``; later ones are
+    kept only for the slice of texts that has them, so memory is bounded.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -51,33 +67,37 @@ class CachedEncoder:
         self.entries = entries
         self.cache: dict[str, bytes] = {}
 
-    def ids(self, text: str | None) -> bytes:
-        text = text or ""
-        if not self.splits(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = _PATTERN.findall(text)
-        cache = self.cache
-        missing = {w for w in words if w not in cache}
-        if missing:
-            if len(cache) + len(missing) > self.entries:
-                cache.clear()
-                missing = set(words)
-            self._add(missing)
-        out = b"".join(map(cache.__getitem__, words))
-        if len(cache) > self.entries:  # one text had more pre-tokens than fit
-            cache.clear()
-        return out
-
     def splits(self, text: str) -> bool:
         """Whether the text's ids are those of its pre-tokens by ``_PATTERN``."""
         return not _OTHER.search(text) and not any(s in text for s in self.special)
 
-    def _add(self, missing: set[str]) -> None:
-        order = list(missing)
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            for word, got in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.asarray(got.ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def pretokens(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each pre-token."""
+        out, order = {}, list(words)
+        for at in range(0, len(order), 8192):
+            part = order[at : at + 8192]
+            got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids, cuts = np.asarray(got.ids, "<u4").tobytes(), np.flatnonzero(np.diff(got.word_ids)) + 1
+            cuts = [0, *(4 * cuts).tolist(), len(ids)]
+            out |= zip(part, [ids[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True)
+        return out
+
+    def ids(self, texts: Sequence[str | None]) -> Iterator[bytes]:
+        """The ids of each text; null is empty."""
+        cache = self.cache
+        for a, b in slices(texts):
+            split = [_PATTERN.findall(t or "") if self.splits(t or "") else None for t in texts[a:b]]
+            missing = {w for w in set().union(*(w for w in split if w)) if w not in cache}
+            stay = len(cache) + len(missing) <= self.entries
+            cache |= self.pretokens(missing)
+            for text, words in zip(texts[a:b], split, strict=True):
+                yield self.whole(text) if words is None else b"".join(map(cache.__getitem__, words))
+            if not stay:
+                for w in missing:
+                    del cache[w]
 
 
 _encoders: dict[str, CachedEncoder] = {}

@@ -32,7 +32,7 @@ from leafmill.llm._common import materialize, read_table
 
 CAPACITY = 2048
 END_ID = 0
-NODE_LIMIT = 20_000
+NODE_LIMIT = 10_000
 FILLINGS = 6
 ROWS_PER_SALT = 200_000
 
@@ -93,34 +93,53 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(left: np.ndarray, room: int, want: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from ``left[size]`` counts, least waste first.
-
-    One item: only the largest that fits is undominated. Two: for each first item only
-    the largest second one, and only above the best single. Longer ones start with one of
-    the largest items and are completed in the same way where two items leave waste.
-    """
+def _two_at_most(left: np.ndarray, room: int, want: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of one or two items: the largest item that fits, and for each
+    first item the largest second one where the two fill more than that; least waste first."""
     sizes = np.flatnonzero(left[: room + 1])
     if not len(sizes):
         return [()]
-    found = {(int(sizes[-1]),)}
     rest = room - sizes
     at = np.searchsorted(sizes, np.minimum(rest, sizes), side="right") - 1
-    second = np.where(at >= 0, sizes[at], 0)
+    second = np.where(at >= 0, sizes[np.maximum(at, 0)], 0)
     alone = (second == sizes) & (left[sizes] < 2)
-    second = np.where(alone & (at > 0), sizes[at - 1], np.where(alone, 0, second))
+    second = np.where(alone, np.where(at > 0, sizes[np.maximum(at - 1, 0)], 0), second)
     total = np.where(second > 0, sizes + second, 0)
     good = np.flatnonzero(total > sizes[-1])
-    for i in good[np.argsort(room - total[good], kind="stable")][:want]:
-        found.add((int(sizes[i]), int(second[i])))
-    if min(room - sum(f) for f in found) > 0 and room >= 3 * int(sizes[0]):
-        for a in sizes[::-1][:: max(1, len(sizes) // want)][:want]:
-            a = int(a)
-            left[a] -= 1
-            if room - a >= 2 * int(sizes[0]):
-                found.add((a, *fillings(left, room - a, 2)[0]))
-            left[a] += 1
-    return sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:want]
+    if len(good) > want:
+        good = good[np.argpartition(-total[good], want)[:want]]
+    found = [(int(sizes[-1]),), *((int(sizes[i]), int(second[i])) for i in good)]
+    return sorted(found, key=lambda f: (room - sum(f), len(f)))
+
+
+def fillings(left: np.ndarray, room: int, want: int = FILLINGS) -> list[tuple[int, ...]]:
+    """Ways to fill ``room`` from ``left[size]`` counts, least waste first.
+
+    Where one or two items leave waste, fillings of more items are tried: one of the
+    largest items, or as many of the largest as fit, each completed by at most two.
+    """
+    found = _two_at_most(left, room, want)
+    if found == [()] or sum(found[0]) == room:
+        return found[:want]
+    took: list[int] = []
+    rest = room
+    try:
+        for _ in range(32):
+            sizes = np.flatnonzero(left[: rest + 1])
+            if len(sizes) < 2 or rest < 3 * sizes[0]:
+                break
+            first = int(sizes[np.searchsorted(sizes, rest - 2 * sizes[0], side="right") - 1])
+            left[first] -= 1
+            took.append(first)
+            rest -= first
+            best = _two_at_most(left, rest, 1)[0]
+            found.append((*took, *best))
+            if sum(best) == rest:
+                break
+    finally:
+        for s in took:
+            left[s] += 1
+    return sorted(set(found), key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:want]
 
 
 def complete_bins(counts: dict[int, int], capacity: int, node_limit: int = NODE_LIMIT) -> Bins:
@@ -211,8 +230,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         enc = _tokens.encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py()) + end
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(texts), strict=True):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
                     for col, value in zip(out, (doc_id, k, start, length, crc), strict=True):

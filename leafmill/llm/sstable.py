@@ -240,12 +240,13 @@ def write_shards(
             writer, shard = None, shard + 1
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(texts), strict=True):
                 if writer is None:
                     temporary = f"{folder}/_open-{uuid.uuid4().hex}"
                     writer = Writer(store.open_output_stream(temporary), id_bytes)
                     writer.path = temporary
-                writer.add(key_of(doc_id), np.frombuffer(enc.ids(text.as_py()) + end, "<u4"))
+                writer.add(key_of(doc_id), np.frombuffer(ids + end, "<u4"))
                 if writer.at >= shard_bytes:
                     finish()
         if writer is not None:

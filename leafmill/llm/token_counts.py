@@ -37,9 +37,8 @@ def frequent_pretokens(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES)
         enc = _tokens.encoder(path)
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py() or ""
-                if enc.splits(text):
+            for text in batch.column(0).to_pylist():
+                if text and enc.splits(text):
                     seen.update(_tokens._PATTERN.findall(text))
                 if len(seen) > 16 * SUMMARY_ENTRIES:
                     seen = Counter(dict(seen.most_common(8 * SUMMARY_ENTRIES)))
@@ -59,32 +58,31 @@ class TwoTierCounter:
     def __init__(self, path: str, table: dict[str, int]):
         self.encoder, self.table, self.cache = _tokens.encoder(path), table, {}
 
-    def count(self, text: str) -> int:
+    def counts(self, texts: list[str]) -> Iterator[int]:
         enc, table, cache = self.encoder, self.table, self.cache
-        if not enc.splits(text):
-            return len(enc.library.encode(text, add_special_tokens=False).ids)
-        words = _tokens._PATTERN.findall(text)
-        rare = [w for w in words if w not in table]
-        missing = {w for w in rare if w not in cache}
-        if missing:
-            if len(cache) + len(missing) > enc.entries:
-                cache.clear()
-                missing = set(rare)
-            order = list(missing)
-            for at in range(0, len(order), 4096):
-                part = order[at : at + 4096]
-                got = enc.library.encode_batch(part, add_special_tokens=False)
-                cache.update(zip(part, map(len, got), strict=True))
         known = table.get
-        return sum([known(w, 0) for w in words]) + sum([cache[w] for w in rare])
+        for a, b in _tokens.slices(texts):
+            split = [_tokens._PATTERN.findall(t) if enc.splits(t) else None for t in texts[a:b]]
+            seen = set().union(*(w for w in split if w))
+            missing = {w for w in seen if w not in table and w not in cache}
+            stay = len(cache) + len(missing) <= enc.entries
+            cache |= {w: len(ids) // 4 for w, ids in enc.pretokens(missing).items()}
+            for text, words in zip(texts[a:b], split, strict=True):
+                if words is None:
+                    yield len(enc.whole(text)) // 4
+                else:
+                    yield sum([known(w) or cache[w] for w in words])
+            if not stay:
+                for w in missing:
+                    del cache[w]
 
 
 def piece_counter(path: str):
-    """A function from whole text to its number of sentencepiece pieces."""
+    """A function from whole texts to their numbers of sentencepiece pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda text: len(model.encode(text, num_threads=1))
+    return lambda texts: (len(model.encode(t, num_threads=1)) for t in texts)
 
 
 
@@ -102,13 +100,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         shared = spark.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = piece_counter(path) if shared is None else TwoTierCounter(path, shared.value).count
+        counts = piece_counter(path) if shared is None else TwoTierCounter(path, shared.value).counts
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(count(text))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            n_bytes, n_tokens = [len(t.encode()) for t in texts], list(counts(texts))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
