@@ -1,3 +1,93 @@
-"""DuckDB SQL that gives the same rows as the queries of this subpackage."""
+"""DuckDB SQL that gives the same rows as the queries of this subpackage, where SQL can.
 
-ORACLES: dict[str, str] = {}
+Each is written from the contract, not from the operator's way of computing it: the line
+dedup finds runs as islands on the diagonals of all pairs of equal lines, the archive
+compares payloads directly, the quality rules read quartiles from the sorted values.
+"""
+
+from __future__ import annotations
+
+from leafmill.llm.line_dedup import MIN_CHARS
+from leafmill.llm.quality_rules import MIN_DOCS, RATIOS, SPREAD_FACTOR
+from leafmill.llm.warc import MIN_REVISIT
+
+_BLANK = r"[\x20\x09-\x0D]+"
+_WORDY = r"[^\x20\x09-\x0D]"
+
+_STATS = rf"""
+    d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang,
+          coalesce(source, '') AS source FROM documents),
+    w AS (SELECT r, list_filter(string_split_regex(t, '{_BLANK}'), lambda x: x <> '') AS ws,
+          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDY}')) AS ls FROM d),
+    g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) u(i)),
+    twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+    s AS (SELECT d.r, doc_id, lang, source, len(ws)::BIGINT AS n_words,
+          length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars,
+          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls)::BIGINT AS n_lines,
+          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+          length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
+          length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim, length(t) AS n_chars
+          FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)"""
+
+
+def _quality_rules() -> str:
+    ratio = {k: f"({scale} * {top}) // greatest({below}, 1)" for k, (top, below, scale, _, _) in RATIOS.items()}
+    values = " UNION ALL ".join(
+        f"SELECT r, lang, source, '{k}' AS ratio, {spread} AS spread, {ratio[k]} AS v FROM b WHERE NOT base_failed"
+        for k, (_, _, _, spread, _) in RATIOS.items()
+    )
+    # A value's sketch cell keeps its six leading bits.
+    cell = "(v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0)"
+    quartiles = lambda keys: f"""SELECT {keys}, ratio, count(*) AS docs, max(spread) AS spread,
+        list_sort(list(c))[((count(*) + 3) // 4)::BIGINT] AS q25, list_sort(list(c))[((3 * count(*) + 3) // 4)::BIGINT] AS q75
+        FROM cells GROUP BY ALL"""
+    fence = lambda q: f"{q}.q25 - {SPREAD_FACTOR} * greatest({q}.q75 - {q}.q25, {q}.spread)", lambda q: (
+        f"{q}.q75 + {SPREAD_FACTOR} * greatest({q}.q75 - {q}.q25, {q}.spread)"
+    )
+    pick = lambda f: f"CASE WHEN a.docs >= {MIN_DOCS} THEN {f('a')} WHEN l.docs >= {MIN_DOCS} THEN {f('l')} ELSE {f('c')} END"
+    outside = " OR ".join(
+        f"(ratio = '{k}' AND (v > high{' OR v < low' if both else ''}))" for k, (_, _, _, _, both) in RATIOS.items()
+    )
+    return f"""
+    WITH {_STATS},
+    vals AS ({values}),
+    cells AS (SELECT *, {cell} AS c FROM vals),
+    q0 AS ({quartiles("lang, source")}), q1 AS ({quartiles("lang")}), q2 AS ({quartiles("1 AS one")}),
+    f AS (SELECT a.lang, a.source, a.ratio, {pick(fence[0])} AS low, {pick(fence[1])} AS high
+          FROM q0 a JOIN q1 l USING (lang, ratio) JOIN q2 c USING (ratio)),
+    bad AS (SELECT DISTINCT r FROM vals JOIN f USING (lang, source, ratio) WHERE {outside})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM b"""
+
+
+_WARC = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    m AS (SELECT html, max(page_id) AS largest FROM p GROUP BY html),
+    x AS (SELECT page_id, html, CASE WHEN strlen(html) >= {MIN_REVISIT} AND page_id <> largest THEN largest END AS refers_to
+          FROM p JOIN m USING (html))
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM x"""
+
+_LINES = rf"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no
+               FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k FROM l WHERE regexp_matches(line, '{_WORDY}')),
+    pairs AS (SELECT p.doc_id, p.k, p.no, length(p.line) AS chars, q.doc_id AS other, p.k - q.k AS shift
+              FROM k p JOIN k q ON p.line = q.line AND (q.doc_id < p.doc_id OR (q.doc_id = p.doc_id AND q.k < p.k))),
+    islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY k) AS island FROM pairs),
+    runs AS (SELECT *, sum(chars) OVER (PARTITION BY doc_id, other, shift, island) AS run_chars FROM islands),
+    dead AS (SELECT DISTINCT doc_id, no FROM runs WHERE run_chars >= {MIN_CHARS}),
+    kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) AS text, bool_or(regexp_matches(line, '{_WORDY}')) AS wordy
+             FROM l LEFT JOIN dead ON dead.doc_id = l.doc_id AND dead.no = l.no WHERE dead.no IS NULL GROUP BY l.doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id), x AS (SELECT doc_id, count(*) AS x FROM dead GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN x IS NULL THEN d.text WHEN wordy THEN kept.text ELSE '' END AS text,
+           coalesce(n, 0) AS n_lines, coalesce(x, 0) AS n_deleted
+    FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": _quality_rules(),
+    "op7_warc": _WARC,
+    "op8_line_dedup": _LINES,
+}
