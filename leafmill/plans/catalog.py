@@ -381,9 +381,9 @@ def summary_fanout(spark, d):
     return models.model_call(docs, F.col("text"), models.first_characters(500), "summary").select("doc_id", "summary")
 
 
-@query("chunk_order", "SELECT doc_id || '-' || k AS chunk_id, row_number() OVER (ORDER BY doc_id, k) AS pos FROM documents, (SELECT unnest([1, 2, 10]) AS k) WHERE doc_id < 100")
+@query("chunk_order", "SELECT doc_id || '-' || k AS chunk_id, row_number() OVER (ORDER BY doc_id, k) AS pos FROM documents, (SELECT unnest([1, 2, 10]) AS k)")
 def chunk_order(spark, d):
-    ids = _docs(spark, d).where("doc_id < 100").select(F.explode(F.expr("array(1, 2, 10)")).alias("k"), "doc_id")
+    ids = _docs(spark, d).select(F.explode(F.expr("array(1, 2, 10)")).alias("k"), "doc_id")
     return dedup.natural_chunk_order(ids.select(F.concat_ws("-", "doc_id", "k").alias("chunk_id")))
 
 
@@ -581,10 +581,10 @@ def feedback_batches(spark, d):
 @query(
     "lookup_by_ids",
     """WITH r AS (SELECT o_orderkey AS request_id, unnest([o_custkey, o_custkey % 10, o_custkey]) AS id, unnest([0, 1, 2]) AS pos
-       FROM orders WHERE o_orderkey % 5 = 0) SELECT request_id, pos, id, c_name AS name FROM r JOIN customer ON id = c_custkey""",
+       FROM orders) SELECT request_id, pos, id, c_name AS name FROM r JOIN customer ON id = c_custkey""",
 )
 def lookup_by_ids(spark, d):
-    orders = read_table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    orders = read_table(spark, d, "orders")
     asked = orders.select(F.col("o_orderkey").alias("request_id"), F.array("o_custkey", F.col("o_custkey") % 10, "o_custkey").alias("ids"))
     customers = read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("ord"))
     return allocation.lookup_by_ids(asked, customers).select("request_id", "pos", "id", "name")
@@ -661,18 +661,18 @@ def section_theta(spark, d):
 
 _ALLOCATE_SQL = """
     WITH s AS (SELECT item_id AS section_index, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS ws
-      FROM benchmark WHERE item_id < 8),
-    i AS (SELECT doc_id AS data_id, list_filter(string_split_regex(lower(left(text, 300)), '[^a-z]+'), lambda x: x <> '') AS ws FROM documents),
+      FROM benchmark),
+    i AS (SELECT doc_id AS data_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS ws FROM documents),
     p AS (SELECT data_id, section_index, coalesce(len(list_intersect(i.ws, s.ws))::DOUBLE / nullif(len(s.ws), 0), 0) AS score FROM i, s),
     b AS (SELECT data_id, section_index, score, row_number() OVER (PARTITION BY data_id ORDER BY score DESC, section_index) AS rn FROM p),
     m AS (SELECT data_id, (CASE WHEN score > 0 THEN section_index ELSE -1 END)::INT AS section_index, score AS confidence FROM b WHERE rn = 1)"""
 
 
 def _matches(spark, d) -> DataFrame:
-    sections = read_table(spark, d, "benchmark").where("item_id < 8").select(
+    sections = read_table(spark, d, "benchmark").select(
         F.col("item_id").alias("section_index"), F.array_distinct(text.tokens(F.col("text"))).alias("of")
     )
-    items = _docs(spark, d).select(F.col("doc_id").alias("data_id"), text.tokens(F.left("text", F.lit(300))).alias("words"))
+    items = _docs(spark, d).select(F.col("doc_id").alias("data_id"), F.array_distinct(text.tokens(F.col("text"))).alias("words"))
     return allocation.allocate(items, sections, allocation.overlap_score(F.col("words"), F.col("of")))
 
 
@@ -750,17 +750,14 @@ def _charts(spark, d) -> DataFrame:
 
 @query(
     "chart_sort",
-    f"""SELECT ord, title, section, priority, row_number() OVER (ORDER BY
-        CASE section WHEN '核心财务数据' THEN 1 WHEN '业务发展' THEN 2 WHEN '市场表现' THEN 3 WHEN '风险评估' THEN 4 ELSE 5 END,
-        CASE priority WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END, title, ord) AS place
-        FROM (SELECT {_CHART_COLS} FROM part) ORDER BY place LIMIT 50""",
+    f"""SELECT ord, title, section, priority,
+        CASE section WHEN '核心财务数据' THEN 1 WHEN '业务发展' THEN 2 WHEN '市场表现' THEN 3 WHEN '风险评估' THEN 4 ELSE 5 END AS section_place,
+        CASE priority WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END AS priority_place
+        FROM (SELECT {_CHART_COLS} FROM part)""",
 )
 def chart_sort(spark, d):
-    from pyspark.sql.window import Window
-
-    top = records.sorted_charts(_charts(spark, d)).limit(50)
-    order = Window.orderBy(records.section_place(), records.priority_place(), "title", "ord")
-    return top.select("ord", "title", "section", "priority").withColumn("place", F.row_number().over(order))
+    order = records.sorted_charts(_charts(spark, d)).select("ord", "title", "section", "priority")
+    return order.select("*", records.section_place().alias("section_place"), records.priority_place().alias("priority_place"))
 
 
 @query(
@@ -835,14 +832,14 @@ def global_citations(spark, d):
 
 @query(
     "report_stats",
-    """WITH s AS (SELECT source, string_agg(left(text, 80), chr(10) ORDER BY doc_id) AS content, count(*) FILTER (doc_id % 3 = 0) AS d,
+    """WITH s AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS content, count(*) FILTER (doc_id % 3 = 0) AS d,
        count(*) FILTER (doc_id % 11 = 0) AS c, count(DISTINCT lang) AS r FROM documents GROUP BY source)
        SELECT count(*) AS total_sections, count(*) FILTER (d > 0) AS sections_with_data, count(*) FILTER (d <= 0) AS sections_without_data,
        sum(c)::BIGINT AS total_charts, sum(length(content))::BIGINT AS total_words, sum(r)::BIGINT AS total_references FROM s""",
 )
 def report_stats(spark, d):
     docs = _docs(spark, d)
-    content = report.joined_in_order(docs, ["source"], "doc_id", F.left("text", F.lit(80)), "\n", "content")
+    content = report.joined_in_order(docs, ["source"], "doc_id", F.col("text"), "\n", "content")
     counts = docs.groupBy("source").agg(
         F.count_if(F.col("doc_id") % 3 == 0).alias("data_count"),
         F.count_if(F.col("doc_id") % 11 == 0).alias("chart_count"),
@@ -854,9 +851,9 @@ def report_stats(spark, d):
 @query(
     "markdown_report",
     """WITH s AS (SELECT lang AS report_id, source AS title, row_number() OVER (PARTITION BY lang ORDER BY min(doc_id)) AS number,
-         string_agg(left(text, 60), chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY lang, source),
+         string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY lang, source),
        r AS (SELECT lang AS report_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ref_num, source AS title, 'u' || doc_id AS url
-         FROM documents WHERE doc_id % 9 = 0),
+         FROM documents),
        t AS (SELECT report_id, string_agg(number || '. [' || title || '](#section-' || number || ')', chr(10) ORDER BY number) AS toc,
          string_agg('## ' || CASE WHEN number <= 10 THEN substr('一二三四五六七八九十', number::INT, 1) ELSE number::VARCHAR END || '、' || title
            || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY number) AS body FROM s GROUP BY report_id),
@@ -867,13 +864,13 @@ def markdown_report(spark, d):
     from pyspark.sql.window import Window
 
     docs = _docs(spark, d)
-    content = report.joined_in_order(docs, ["lang", "source"], "doc_id", F.left("text", F.lit(60)), "\n", "content")
+    content = report.joined_in_order(docs, ["lang", "source"], "doc_id", F.col("text"), "\n", "content")
     first = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
     sections = content.join(first, ["lang", "source"]).select(
         F.col("lang").alias("report_id"), F.col("source").alias("title"), "content",
         F.row_number().over(Window.partitionBy("lang").orderBy("first")).alias("number"),
     )
-    refs = docs.where("doc_id % 9 = 0").select(
+    refs = docs.select(
         F.col("lang").alias("report_id"), F.col("source").alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"),
         F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("ref_num"),
     )
