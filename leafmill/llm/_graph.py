@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): every node that an edge of (a, b) names, with the least node it reaches.
 
     Alternating large-star and small-star rounds; each round only takes minima by node
-    (combined before the shuffle) and joins them back, so a hub is never gathered in one
-    task. Every round is written to the shared folder. Null ends and loops are ignored;
+    (combined before the shuffle, then written) and joins them back, so a hub is never gathered
+    in one task: Spark splits the hot partitions of a join of two plain exchanges. Every round is written to the shared folder. Null ends and loops are ignored;
     an empty table of edges gives an empty result.
     """
     links = materialize(
@@ -24,10 +24,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(
+            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"
+        )
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(least, "u")
             .where("v <> m")

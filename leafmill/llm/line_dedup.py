@@ -19,8 +19,9 @@ Defined results: null text stays null and has no lines; blank lines stay, but a
 keeps no other line becomes empty; rows that repeat both doc_id and text count as one
 document and get the same result; a null doc_id sorts first; an empty table gives an
 empty result; other columns pass through. Only DataFrame operations are used. Copies of
-one line are combined before the shuffle and joined back, so a hot line is never gathered
-in one task.
+one line are combined before the shuffle. The combined table is written before it is
+joined back: both sides of that join are then plain exchanges, whose hot partitions Spark
+splits, so a hot line is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -64,7 +65,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _repeated(docs: DataFrame) -> DataFrame:
     """Lines that occur at least twice: ord (ascending in the corpus), id, chars, last (ord of the stretch's end)."""
     lines = materialize(_lines(docs), "lines")
-    often = lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    often = materialize(
+        lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "often"
+    )
     live = lines.join(often, ["x", "y"]).dropDuplicates(["doc_id", "h", "k"])
     placed = (
         live.repartitionByRange("doc_id", "h")
@@ -72,7 +75,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
         .withColumn("ord", F.monotonically_increasing_id())
     )
     placed = materialize(placed, "placed")
-    first = placed.groupBy("x", "y").agg(F.min("ord").alias("id"))
+    first = materialize(placed.groupBy("x", "y").agg(F.min("ord").alias("id")), "first")
     stretch = Window.partitionBy("doc_id", "h", F.col("ord") - F.col("k"))
     return materialize(
         placed.join(first, ["x", "y"])
@@ -116,7 +119,7 @@ def _blocks(rows: DataFrame, min_chars: int) -> DataFrame:
 def _interval(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``first``, the least ord of equal ``keys``; only keys that occur twice."""
     groups = rows.groupBy(*keys).agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(groups.drop("n"), keys)
+    return rows.join(materialize(groups.drop("n"), "groups"), keys)
 
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
