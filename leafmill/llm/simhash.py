@@ -148,7 +148,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) that connect what all links connect."""
     keyed = materialize(fps.select("fp").mapInArrow(_keyed, "key long, fp long"), "keyed")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = materialize(keyed.join(sizes, "key"), "shared")
     small = (
         shared.where(F.col("n") <= bucket_limit)
@@ -184,10 +184,11 @@ def components(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
     labelled = materialize(
         merged.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled"
     )
-    best = (
+    best = materialize(
         labelled.groupBy("label")
         .agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("best"))
-        .select("label", F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keeper_fp"))
+        .select("label", F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keeper_fp")),
+        "best",
     )
     return labelled.join(best, "label").select("fp", "component_id", "keeper_fp")
 
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     prints = materialize(
         fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_lm_fp").alias("fp")), "prints"
     )
-    groups = components(prints, bucket_limit)
+    groups = materialize(components(prints, bucket_limit), "groups")
     return prints.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -211,10 +212,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     prints = materialize(
         fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_lm_fp").alias("fp")), "prints"
     )
-    keepers = (
+    keepers = materialize(
         components(prints)
         .where("fp = keeper_fp")
-        .select(F.col("component_id").alias("_lm_id"), F.col("fp").alias("_lm_keep"))
+        .select(F.col("component_id").alias("_lm_id"), F.col("fp").alias("_lm_keep")),
+        "keepers",
     )
     full = fingerprints(docs)
     kept = full.join(
