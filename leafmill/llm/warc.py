@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import new_dir, read_table
+from leafmill.llm._common import materialize, new_dir, read_table
 
 MIN_REVISIT = 1000
 #: Fixed value: the profile that WARC/1.1 names for revisits of identical payloads.
@@ -53,7 +53,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     )
     facts.write.parquet(f"{path}/facts")
     facts = spark.read.parquet(f"{path}/facts")
-    first = facts.groupBy("sha256").agg(F.max("page_id").alias("largest"))
+    first = materialize(facts.groupBy("sha256").agg(F.max("page_id").alias("largest")), "first")
     sorted_out = facts.join(first, "sha256").withColumn(
         "refers_to",
         F.when(
