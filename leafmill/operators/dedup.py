@@ -73,9 +73,11 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def natural_chunk_order(df: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """Rows with ``pos``, their place when chunk ids '<doc>-<n>' are ordered by number, others after them by name."""
-    doc = F.expr(f"try_cast(regexp_extract({chunk_id}, '^(\\\\d+)-(\\\\d+)$', 1) as bigint)")
-    no = F.expr(f"try_cast(regexp_extract({chunk_id}, '^(\\\\d+)-(\\\\d+)$', 2) as bigint)")
-    return df.withColumn(
-        "pos", F.row_number().over(Window.orderBy(doc.isNull(), doc, no, F.col(chunk_id)))
-    )
+    """Rows with ``doc_no`` and ``chunk_no`` of chunk ids '<doc>-<n>' and ``pos``, the chunk's place in its document.
+
+    Ordering by (doc_no, chunk_no, id) is the natural order; other ids have null numbers.
+    """
+    part = lambda k: F.expr(f"try_cast(regexp_extract({chunk_id}, '^([0-9]+)-([0-9]+)$', {k}) as bigint)")
+    typed = df.withColumn("doc_no", part(1)).withColumn("chunk_no", part(2))
+    own = Window.partitionBy("doc_no", F.when(F.col("doc_no").isNull(), F.col(chunk_id))).orderBy("chunk_no", chunk_id)
+    return typed.withColumn("pos", F.row_number().over(own))

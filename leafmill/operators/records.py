@@ -36,12 +36,15 @@ def flatten_hits(hits: DataFrame, company: str, query: str, start_id: int, ord_c
     )
 
 
-def consecutive_ids(df: DataFrame, ord_col: str, start: int = 0, buckets: int = 64) -> DataFrame:
-    """``_id``: ``start`` for the row of least ``ord_col``, then one more for each, without one task that sees all rows."""
+def consecutive_ids(df: DataFrame, ord_col: str, start: int = 0, buckets: int | None = None) -> DataFrame:
+    """``_id``: ``start`` for the row of least ``ord_col``, then one more for each, without one task that sees all rows.
+
+    Rows are numbered in ``buckets`` ranges, as many as there are shuffle partitions unless given.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.approxQuantile(ord_col, [i / buckets for i in range(1, buckets)], 0.001)
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + (F.col(ord_col) > c).cast("int")
+    edges = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>")
+    bucket = F.size(F.filter(edges, lambda c: F.col(ord_col) > c))
     dealt = df.withColumn("_bucket", bucket)
     sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
@@ -145,7 +148,7 @@ def sorted_charts(charts: DataFrame) -> DataFrame:
     return charts.orderBy(section_place(), priority_place(), F.coalesce("title", F.lit("")), "ord")
 
 
-def pdf_first(df: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """``place``: PDFs first and in reverse, the others after them in order."""
+def pdf_first(df: DataFrame, group: str, ord_col: str = "ord") -> DataFrame:
+    """``place`` in each group: PDFs first and in reverse, the others after them in order."""
     key = F.when(F.col("is_pdf"), -F.col(ord_col)).otherwise(F.col(ord_col))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_pdf"), key)))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("is_pdf"), key)))

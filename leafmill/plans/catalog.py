@@ -381,7 +381,7 @@ def summary_fanout(spark, d):
     return models.model_call(docs, F.col("text"), models.first_characters(500), "summary").select("doc_id", "summary")
 
 
-@query("chunk_order", "SELECT doc_id || '-' || k AS chunk_id, row_number() OVER (ORDER BY doc_id, k) AS pos FROM documents, (SELECT unnest([1, 2, 10]) AS k)")
+@query("chunk_order", "SELECT doc_id || '-' || k AS chunk_id, doc_id AS doc_no, k AS chunk_no, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM documents, (SELECT unnest([1, 2, 10]) AS k)")
 def chunk_order(spark, d):
     ids = _docs(spark, d).select(F.explode(F.expr("array(1, 2, 10)")).alias("k"), "doc_id")
     return dedup.natural_chunk_order(ids.select(F.concat_ws("-", "doc_id", "k").alias("chunk_id")))
@@ -785,11 +785,13 @@ def usable_charts(spark, d):
 
 @query(
     "pdf_first",
-    """SELECT page_id AS ord, row_number() OVER (ORDER BY (page_id % 4 = 0) DESC, CASE WHEN page_id % 4 = 0 THEN -page_id ELSE page_id END) AS place FROM pages""",
+    """SELECT page_id AS ord, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY (page_id % 4 = 0) DESC, CASE WHEN page_id % 4 = 0 THEN -page_id ELSE page_id END) AS place FROM pages""",
 )
 def pdf_first(spark, d):
-    pages = read_table(spark, d, "pages").select(F.col("page_id").alias("ord"), (F.col("page_id") % 4 == 0).alias("is_pdf"))
-    return records.pdf_first(pages).select("ord", "place")
+    pages = read_table(spark, d, "pages").select(
+        F.col("page_id").alias("ord"), (F.col("page_id") % 4 == 0).alias("is_pdf"), text.netloc(F.col("url")).alias("host")
+    )
+    return records.pdf_first(pages, "host").select("ord", "place")
 
 
 @query("unmatched_sections", "SELECT DISTINCT p_brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_size > 40")

@@ -42,7 +42,7 @@ def first_readable(spark: SparkSession, folder: str, names: list[str], schema: s
         path = f"{folder}/{name}"
         if exists(spark, path):
             df = read_json(spark, path, schema)
-            if not df.isEmpty():
+            if df.take(1):
                 return df
     return None
 

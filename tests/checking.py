@@ -18,3 +18,9 @@ def same(spark_df, duck_rel) -> None:
     mine = sorted(tuple(value(r[n]) for n in names) for r in spark_df.collect())
     other = sorted(tuple(value(r[i]) for i in at) for r in duck_rel.fetchall())
     assert mine == other
+
+
+def rows_of(df) -> list[tuple]:
+    """Rows in a fixed order, columns by name."""
+    names = sorted(df.columns)
+    return sorted(tuple(str(r[n]) for n in names) for r in df.collect())
