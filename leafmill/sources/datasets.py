@@ -30,10 +30,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents with a fixed schema; damaged ones are left out."""
-    fields = f"{schema}, _damaged STRING"
-    df = spark.read.schema(fields).option("multiLine", True).option("columnNameOfCorruptRecord", "_damaged").json(path)
-    return df.where("_damaged is null").drop("_damaged")
+    """JSON documents with a fixed schema; damaged ones and those without any of its fields are left out."""
+    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    some = F.lit(False)
+    for c in df.columns:
+        some = some | F.col(c).isNotNull()
+    return df.where(some)
 
 
 def first_readable(spark: SparkSession, folder: str, names: list[str], schema: str) -> DataFrame | None:
