@@ -124,6 +124,31 @@ def allocate(items: DataFrame, sections: DataFrame, score: Column, item: str = "
     )
 
 
+def allocate_by_overlap(items: DataFrame, sections: DataFrame, item: str = "data_id") -> DataFrame:
+    """``allocate`` with the share of a section's distinct words (``of``) that the item's ``words`` have.
+
+    An equi-join of words: only sections that share one with an item are scored, counts are
+    combined where the item is read, and the sections' words are all that is broadcast.
+    """
+    wanted = sections.select(
+        "section_index", F.size("of").alias("size"), F.explode(F.array_distinct("of")).alias("word")
+    )
+    shared = (
+        items.select(item, F.explode(F.array_distinct("words")).alias("word"))
+        .join(F.broadcast(wanted), "word")
+        .groupBy(item, "section_index", "size")
+        .agg(F.count("*").alias("n"))
+    )
+    best = shared.groupBy(item).agg(
+        F.max(F.struct((F.col("n") / F.col("size")).alias("s"), (-F.col("section_index")).alias("i"))).alias("b")
+    )
+    return items.select(item).join(best, item, "left").select(
+        item,
+        F.coalesce(-F.col("b.i"), F.lit(-1)).cast("int").alias("section_index"),
+        F.coalesce("b.s", F.lit(0.0)).alias("confidence"),
+    )
+
+
 def distribute(matches: DataFrame, sections: DataFrame, n_sections: int, item: str = "data_id") -> DataFrame:
     """Each section's items in order, and the bucket ``n_sections`` for indexes out of range; errors go."""
     index = F.when(F.col("section_index").between(0, n_sections - 1), F.col("section_index")).otherwise(n_sections)

@@ -673,6 +673,14 @@ def _matches(spark, d) -> DataFrame:
         F.col("item_id").alias("section_index"), F.array_distinct(text.tokens(F.col("text"))).alias("of")
     )
     items = _docs(spark, d).select(F.col("doc_id").alias("data_id"), F.array_distinct(text.tokens(F.col("text"))).alias("words"))
+    return allocation.allocate_by_overlap(items, sections)
+
+
+@query("allocate_outline")
+def allocate_outline(spark, d):
+    """Items against a short outline with any score column; equals the join by words where the score is the overlap."""
+    sections = spark.createDataFrame([(0, ["the", "of"]), (1, ["de", "la", "que"]), (2, ["der", "und"])], "section_index int, of array<string>")
+    items = _docs(spark, d).select(F.col("doc_id").alias("data_id"), F.array_distinct(text.tokens(F.col("text"))).alias("words"))
     return allocation.allocate(items, sections, allocation.overlap_score(F.col("words"), F.col("of")))
 
 
