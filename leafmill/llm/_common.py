@@ -2,63 +2,54 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from leafmill.storage import materialize, new_dir, read_table, shared_dir
+
+__all__ = ["materialize", "new_dir", "read_table", "shared_dir"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine), a temporary folder is made
-    once per process, set as checkpoint folder and removed at exit.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    global _own_dir
-    if _own_dir is None:
-        local = tempfile.mkdtemp(prefix="leafmill-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        _own_dir = f"file://{local}"
-    spark.sparkContext.setCheckpointDir(_own_dir)
-    return _own_dir
-
+#: Texts have no greatest length, so what one Arrow batch can hold is bounded by rows.
+BATCH_ROWS = 1000
 
-def new_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/leafmill/{tag}-{uuid.uuid4().hex}"
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: later stages and lost executors reread the files instead of
-    computing the table again.
-    """
-    path = new_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path below the shared folder through Spark's own file system layer."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def map_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
+    """``mapInArrow`` in small batches, whose workers are left tidy."""
 
+    def tidily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidily, schema)
 
 
 def let(value: Column, body) -> Column:

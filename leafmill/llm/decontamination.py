@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import read_table
+from leafmill.llm._common import map_batches, read_table, small_batches, tidy
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -41,12 +41,12 @@ _WORD = re.compile(r"\w+")
 
 
 class _WordHashes(dict):
-    """Word to 64-bit hash; starts again empty beyond a million words."""
+    """Word to 64-bit hash; starts again empty beyond 300,000 words."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -200,7 +200,7 @@ def contaminated_pairs(
                     ["doc_id", "item_id", "n_item_words", "n_covered_words", "n_tiles", "coverage"],
                 )
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(search, PAIRS))
+        found = found.unionByName(map_batches(docs.select("doc_id", "text"), search, PAIRS))
     return found
 
 
@@ -208,7 +208,9 @@ def _clean(shared, coverage: float):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         known = _WordHashes()
-        return pd.Series([not matches(t, shared.value, known, coverage) for t in texts], dtype=bool)
+        got = pd.Series([not matches(t, shared.value, known, coverage) for t in texts], dtype=bool)
+        tidy()
+        return got
 
     return clean
 
@@ -218,6 +220,7 @@ def decontaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
     spark, kept = docs.sparkSession, docs
+    small_batches(spark)
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block, min_tile))
 

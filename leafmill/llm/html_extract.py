@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm._common import read_table
+from leafmill.llm._common import map_batches, read_table
 
 PATH_SIZE, WORD_SIZE, HIDDEN = 192, 48, 24
 MEASURES = 10
@@ -291,8 +291,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
-    return pages.select("page_id", "url", "html").mapInArrow(
-        _extract, "page_id long, url string, text string, n_chars long"
+    return map_batches(
+        pages.select("page_id", "url", "html"), _extract, "page_id long, url string, text string, n_chars long"
     )
 
 

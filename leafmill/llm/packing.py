@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.llm import _tokens
-from leafmill.llm._common import materialize, read_table
+from leafmill.llm._common import map_batches, materialize, read_table
 
 CAPACITY = 2048
 END_ID = 0
@@ -243,7 +243,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
+    return map_batches(docs.select("doc_id", "text"), encode, PIECES)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -289,7 +289,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return map_batches(ranked, place, f"{PIECES}, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

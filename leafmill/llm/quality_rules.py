@@ -140,7 +140,8 @@ def judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    stats = with_text_stats(docs)
+    # Written with their statistics: the optimiser would otherwise compute these anew wherever they are named.
+    stats = materialize(with_text_stats(docs), "stats")
     limits = materialize(fences(sketches(stats)), "fences")
     return judged(stats, limits).where("_lm_kept").select(*docs.columns)
 

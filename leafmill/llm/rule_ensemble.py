@@ -230,7 +230,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = with_statistics(texts).select("_lm_x", "_lm_y", "doc_id").collect()
     got.sort(key=lambda r: (r["doc_id"], r["_lm_y"], r["_lm_x"]))
-    return np.array([r["_lm_x"] for r in got]).reshape(len(got), -1), np.array([r["_lm_y"] for r in got])
+    return np.array([r["_lm_x"] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r["_lm_y"] for r in got])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from leafmill.llm._common import materialize, read_table
+from leafmill.llm._common import map_batches, materialize, read_table
 from leafmill.llm._graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -70,11 +70,13 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the signed 64-bit fingerprint in ``_lm_fp``."""
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(x) for x in texts), np.uint64, len(texts)).view(np.int64))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            got = np.fromiter((fingerprint(x) for x in texts), np.uint64, len(texts)).view(np.int64)
+            yield batch.append_column("_lm_fp", pa.array(got))
 
-    return docs.withColumn("_lm_fp", of(F.col(text)))
+    return map_batches(docs, add, StructType([*docs.schema.fields, StructField("_lm_fp", LongType())]))
 
 
 def pivots() -> np.ndarray:
@@ -147,16 +149,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) that connect what all links connect."""
-    keyed = materialize(fps.select("fp").mapInArrow(_keyed, "key long, fp long"), "keyed")
+    keyed = materialize(map_batches(fps.select("fp"), _keyed, "key long, fp long"), "keyed")
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = materialize(keyed.join(sizes, "key"), "shared")
-    small = (
-        shared.where(F.col("n") <= bucket_limit)
-        .groupBy("key")
-        .agg(F.collect_list("fp").alias("members"))
-        .select("members")
-        .mapInArrow(_linked, "a long, b long")
+    buckets = (
+        shared.where(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")
     )
+    small = map_batches(buckets, _linked, "a long, b long")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
     variants = (
         shared.where(F.col("n") > bucket_limit)

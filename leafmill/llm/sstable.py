@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.llm import _tokens
-from leafmill.llm._common import materialize, new_dir, read_table
+from leafmill.llm._common import map_batches, materialize, new_dir, read_table
 
 END_ID = 2
 BLOCK_BYTES = 64 * 1024
@@ -259,7 +259,7 @@ def write_shards(
         )
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(dealt.mapInArrow(write, MANIFEST), "manifest")
+    return materialize(map_batches(dealt, write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -287,15 +287,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             [pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"]
                         )
 
-    return based.repartition(max(1, min(n, 10_000))).mapInArrow(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return map_batches(
+        based.repartition(max(1, min(n, 10_000))), read, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
 def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
     """The ids stored under one identifier, from the shards whose range holds it."""
     found = []
-    rows = manifest.where(F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))).orderBy("part", "shard")
+    inside = (F.col("last_id") >= doc_id) & (F.coalesce(F.col("first_id"), F.lit(-(1 << 63))) <= doc_id)
+    rows = manifest.where(inside).orderBy("part", "shard")
     for row in rows.collect():
         store, inner = _open(row["path"])
         with store.open_input_file(inner) as file:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import _tokens
-from leafmill.llm._common import read_table
+from leafmill.llm._common import map_batches, read_table
 
 TABLE_ENTRIES = 65_536
 MAX_ENTRY_CHARS = 64
@@ -47,7 +47,7 @@ def frequent_pretokens(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES)
             [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"]
         )
 
-    summaries = docs.select("text").mapInArrow(summarise, "word string, n long")
+    summaries = map_batches(docs.select("text"), summarise, "word string, n long")
     top = summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
     return [r["word"] for r in top.collect()]
 
@@ -114,8 +114,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+    return map_batches(
+        docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
 
 
