@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import NUMERALS, numeral_value, strip
+from leafmill.storage import broadcast_if_small
 
 #: Least score of a keyword match, and the borders of the confidence classes.
 MIN_OVERLAP, HIGH, MEDIUM = 0.2, 0.8, 0.5
@@ -85,7 +86,7 @@ def match_sections(charts: DataFrame, sections: DataFrame, chart: str = "chart_i
         .when(share > MIN_OVERLAP, 4)
     )
     scored = (
-        own.crossJoin(F.broadcast(titles))
+        own.crossJoin(broadcast_if_small(titles))
         .withColumn("rule", rule)
         .withColumn("share", F.when(F.col("rule") == 4, share).otherwise(0.0))
         .where("rule is not null")
@@ -101,7 +102,7 @@ def match_sections(charts: DataFrame, sections: DataFrame, chart: str = "chart_i
 def match_sections_loosely(titles: DataFrame, keys: DataFrame) -> DataFrame:
     """(title, key) where the title contains the key, or any of the numerals one to six with '、'."""
     hit = F.contains("title", F.col("key")) | F.rlike("title", F.lit(f"[{NUMERALS[:6]}]、"))
-    return titles.join(F.broadcast(keys), hit)
+    return titles.join(broadcast_if_small(keys), hit)
 
 
 def overlap_score(words: Column, of: Column) -> Column:
@@ -115,7 +116,7 @@ def allocate(items: DataFrame, sections: DataFrame, score: Column, item: str = "
     ``items`` and ``sections`` have what ``score`` reads. Sections are an outline: few, and
     sent to every task; the arg-max is taken before the shuffle.
     """
-    scored = items.crossJoin(F.broadcast(sections)).select(item, "section_index", score.alias("s"))
+    scored = items.crossJoin(broadcast_if_small(sections)).select(item, "section_index", score.alias("s"))
     best = scored.groupBy(item).agg(F.max(F.struct("s", (-F.col("section_index")).alias("i"))).alias("b"))
     return best.select(
         item,
@@ -128,14 +129,14 @@ def allocate_by_overlap(items: DataFrame, sections: DataFrame, item: str = "data
     """``allocate`` with the share of a section's distinct words (``of``) that the item's ``words`` have.
 
     An equi-join of words: only sections that share one with an item are scored, counts are
-    combined where the item is read, and the sections' words are all that is broadcast.
+    combined where the item is read, and the sections' words are broadcast if they are few.
     """
     wanted = sections.select(
         "section_index", F.size("of").alias("size"), F.explode(F.array_distinct("of")).alias("word")
     )
     shared = (
         items.select(item, F.explode(F.array_distinct("words")).alias("word"))
-        .join(F.broadcast(wanted), "word")
+        .join(broadcast_if_small(wanted), "word")
         .groupBy(item, "section_index", "size")
         .agg(F.count("*").alias("n"))
     )
@@ -212,3 +213,38 @@ def first_successful_try(tries: DataFrame, group: str = "section_id", ord_col: s
 def with_chart_rank(charts: DataFrame, group: str = "section") -> DataFrame:
     """``chart_no`` from 1 in each section."""
     return charts.withColumn("chart_no", F.row_number().over(Window.partitionBy(group).orderBy("ord")))
+
+
+def lookup_or_empty(requests: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
+    """Each request with its record as a struct; an unknown id has a null one."""
+    value = [c for c in records.columns if c != key]
+    return requests.join(records.select(key, F.struct(*value).alias("record")), key, "left")
+
+
+def with_section_charts(sections: DataFrame, charts: DataFrame) -> DataFrame:
+    """Sections whose allocated ``charts`` are followed by those listed under their title."""
+    listed = charts.groupBy("title").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chart"))), lambda x: x["chart"]).alias("more"))
+    none = F.array().cast("array<string>")
+    return (
+        sections.join(listed, "title", "left")
+        .withColumn("charts", F.concat(F.coalesce("charts", none), F.coalesce("more", none)))
+        .drop("more")
+    )
+
+
+def chunks_of_referenced(chunks: DataFrame, referenced: DataFrame) -> DataFrame:
+    """Every chunk of the documents that a reference names."""
+    return chunks.join(referenced.select("doc_id"), "doc_id", "left_semi")
+
+
+def known_only(points: DataFrame, known: DataFrame, ids: str = "ids", key: str = "id", pos: str = "point_id") -> DataFrame:
+    """(point, ids): each point's known ids in order, repeats kept; a point without any keeps an empty array."""
+    good = (
+        points.select(pos, F.posexplode(ids).alias("p", key))
+        .join(known.select(key).distinct(), key)
+        .groupBy(pos)
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("p", key))), lambda x: x[key]).alias("kept"))
+    )
+    return points.select(pos).join(good, pos, "left").select(
+        pos, F.coalesce("kept", F.array().cast("array<bigint>")).alias(ids)
+    )
