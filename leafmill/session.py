@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,16 @@ def session(app: str = "leafmill", master: str | None = None, **conf: str) -> Sp
         **conf,
     }
     return builder.config(map=settings).getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers started from now on find this package where the driver found it.
+
+    For sessions whose workers share the driver's file system; on a cluster the package is
+    installed on every machine, and this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
