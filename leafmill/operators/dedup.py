@@ -80,4 +80,4 @@ def natural_chunk_order(df: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     part = lambda k: F.expr(f"try_cast(regexp_extract({chunk_id}, '^([0-9]+)-([0-9]+)$', {k}) as bigint)")
     typed = df.withColumn("doc_no", part(1)).withColumn("chunk_no", part(2))
     own = Window.partitionBy("doc_no", F.when(F.col("doc_no").isNull(), F.col(chunk_id))).orderBy("chunk_no", chunk_id)
-    return typed.withColumn("pos", F.row_number().over(own))
+    return typed.withColumn("pos", F.row_number().over(own).cast("long"))

@@ -151,4 +151,4 @@ def sorted_charts(charts: DataFrame) -> DataFrame:
 def pdf_first(df: DataFrame, group: str, ord_col: str = "ord") -> DataFrame:
     """``place`` in each group: PDFs first and in reverse, the others after them in order."""
     key = F.when(F.col("is_pdf"), -F.col(ord_col)).otherwise(F.col(ord_col))
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("is_pdf"), key)))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("is_pdf"), key)).cast("long"))

@@ -274,7 +274,7 @@ def max_record_id(spark, d):
 
 @query(
     "provider_flatten",
-    """SELECT source AS company, kind, pos, title FROM (
+    """SELECT source AS company, kind, pos::INT AS pos, title FROM (
        SELECT source, 'navs' AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, doc_id::VARCHAR AS title
        FROM documents WHERE doc_id % 2 = 0 UNION ALL
        SELECT source, 'news', row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1, doc_id::VARCHAR
@@ -381,7 +381,7 @@ def summary_fanout(spark, d):
     return models.model_call(docs, F.col("text"), models.first_characters(500), "summary").select("doc_id", "summary")
 
 
-@query("chunk_order", "SELECT doc_id || '-' || k AS chunk_id, doc_id AS doc_no, k AS chunk_no, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM documents, (SELECT unnest([1, 2, 10]) AS k)")
+@query("chunk_order", "SELECT doc_id || '-' || k AS chunk_id, doc_id AS doc_no, k::BIGINT AS chunk_no, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM documents, (SELECT unnest([1, 2, 10]) AS k)")
 def chunk_order(spark, d):
     ids = _docs(spark, d).select(F.explode(F.expr("array(1, 2, 10)")).alias("k"), "doc_id")
     return dedup.natural_chunk_order(ids.select(F.concat_ws("-", "doc_id", "k").alias("chunk_id")))
@@ -777,7 +777,7 @@ def priority_sort(spark, d):
     from pyspark.sql.window import Window
 
     order = Window.partitionBy("section").orderBy(records.priority_place(), "ord")
-    return _charts(spark, d).select("ord", "priority", F.row_number().over(order).alias("place"))
+    return _charts(spark, d).select("ord", "priority", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("section_counts", f"SELECT section, count(*) AS n, min(ord) AS first_ord FROM (SELECT {_CHART_COLS} FROM part) GROUP BY section")
