@@ -32,7 +32,7 @@ SPREAD_FACTOR = 3
 RATIOS = {
     "symbols": ("n_symbols", "n_words", 1000, 20, False),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 120, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 150, False),
     "upper": ("n_upper", "n_chars", 1000, 50, False),
     "exclaim": ("n_exclaim", "n_words", 1000, 50, False),
     "word_length": ("word_chars", "n_words", 100, 60, True),
