@@ -458,6 +458,15 @@ def hybrid_rrf(spark, d):
         (SELECT doc_id, unnest({_TOKENS_SQL}) AS token FROM documents) GROUP BY token""",
 )
 def corpus_stats(spark, d):
+    return retrieval.token_frequency(_docs(spark, d))
+
+
+@query(
+    "posting_stats",
+    f"""SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, token, count(*) AS tf FROM
+        (SELECT doc_id, unnest({_TOKENS_SQL}) AS token FROM documents) GROUP BY ALL) GROUP BY token""",
+)
+def posting_stats(spark, d):
     return retrieval.document_frequency(retrieval.postings(_docs(spark, d)))
 
 

@@ -16,12 +16,14 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine), a temporary folder is made once
-    per process, set as checkpoint folder and removed at exit.
+    Where a session on one machine names none (tests), a temporary folder is made once per
+    process, set as checkpoint folder and removed at exit; a session on a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     global _own_dir
     if _own_dir is None:
         local = tempfile.mkdtemp(prefix="leafmill-")
@@ -51,6 +53,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete every intermediate table of this library below the shared folder, once no result reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A table of more rows than this is not sent to every task.
 BROADCAST_ROWS = 500_000
 

@@ -105,3 +105,13 @@ def test_one_request_at_a_time(spark):
     df = spark.createDataFrame([(f"d{i % 3}", i) for i in range(12)], "domain string, n long")
     got = cache.one_at_a_time(df, lambda it: (p.assign(n=p.n * 2) for p in it), "domain string, n long")
     assert sorted(r["n"] for r in got.collect()) == [2 * i for i in range(12)]
+
+
+def test_intermediates_can_be_removed(spark):
+    from leafmill import storage
+
+    df = storage.materialize(spark.range(5).toDF("x"), "t")
+    path = df.inputFiles()[0]
+    assert datasets.exists(spark, path)
+    storage.remove_intermediates(spark)
+    assert not datasets.exists(spark, path)
