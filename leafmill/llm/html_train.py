@@ -189,9 +189,11 @@ class Page:
                 out.append(self.el(self.one(["pre", "div"]), self.t(self.prose(3))))
             else:
                 self.mark = OTHER
-                out.append(self.one([self.ad, self.ad, self.form, self.sidebar, self.notice, lambda: self.el("div", self.links(), ' class="share"')])())
+                out.append(self.one([self.ad, self.ad, self.form, self.sidebar, self.notice, self.nav, lambda: self.el("div", self.links(), ' class="share"')])())
                 self.mark = MAIN
         self.mark = OTHER
+        if self.chance(0.15):  # what follows the text may stand inside the same container
+            out.append(self.one([self.comments, self.comments, self.form, self.ad, self.footer])())
         inner = "".join(out)
         return self.one(
             [
