@@ -128,24 +128,26 @@ def fill_between(chunks: DataFrame, referenced: DataFrame) -> DataFrame:
     return chunks.join(span, "doc_id").where("chunk_no between low and high").drop("low", "high", "refs")
 
 
-def feedback_batches(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int, grow) -> DataFrame:
-    """Batches whose budget shrinks by what was generated from the batches before.
+def feedback_batches(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int, grow: Callable[[list[int], int], int]) -> DataFrame:
+    """``batch``: items join the open batch while they fit into what the text generated so far leaves of the budget.
 
-    ``grow(batch costs, generated so far)`` gives the length generated from a batch. Runs
-    as one pandas function for each group, as the state depends on the generator.
+    ``grow(costs of a batch, generated so far)`` gives the length generated from a batch.
     """
-    schema = df.select(*group, ord_col, cost).withColumn("batch", F.lit(0).cast("long")).schema
 
-    def fold(pdf):
-        pdf = pdf.sort_values(ord_col)
-        batch, used, generated, open_costs, marks = 0, 0, 0, [], []
-        for c in pdf[cost]:
+    def begin():
+        batch = used = generated = 0
+        open_costs: list[int] = []
+
+        def step(c: int) -> int:
+            nonlocal batch, used, generated
             if open_costs and used + c > budget - generated:
                 generated += grow(open_costs, generated)
-                batch, used, open_costs = batch + 1, 0, []
+                batch, used = batch + 1, 0
+                open_costs.clear()
             used += c
             open_costs.append(c)
-            marks.append(batch)
-        return pdf.assign(batch=marks)
+            return batch
 
-    return df.select(*group, ord_col, cost).groupBy(*group).applyInPandas(fold, schema)
+        return step
+
+    return _streamed(df, group, ord_col, cost, begin, pa.int64(), "batch")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from leafmill.functions import models
 from leafmill.operators import budget, dedup
 from pyspark.sql import functions as F
 
@@ -98,9 +99,31 @@ def test_prefix_and_suffix(spark):
 
 def test_feedback_batches(spark):
     df, rows = costs(spark, 4)
+    want = {}
+    for g, items in by_group(rows).items():
+        batch, generated, current = 0, 0, []
+        for o, c in items:
+            if current and sum(current) + c > 60 - generated:
+                generated += sum(current) // 4
+                batch, current = batch + 1, []
+            current.append(c)
+            want[g, o] = batch
     got = budget.feedback_batches(df, ["g"], "o", "c", 60, lambda costs, so_far: sum(costs) // 4).collect()
-    assert len(got) == len(rows)
-    assert all(r["batch"] >= 0 for r in got)
+    assert {(r["g"], r["o"]): r["batch"] for r in got} == want
+
+
+def test_refined(spark):
+    df, rows = costs(spark, 6)
+
+    def step(so_far, c):
+        if c == 0:
+            raise ValueError(c)
+        return so_far + str(c)
+
+    want = {g: ("".join(str(c) for _, c in items if c), sum(c == 0 for _, c in items)) for g, items in by_group(rows).items()}
+    got = models.refined(df, "g", "o", "c", step).collect()
+    assert {r["g"]: (r["result"], r["failures"]) for r in got} == want
+    assert models.refined(df.limit(0), "g", "o", "c", step).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
