@@ -200,7 +200,7 @@ def contaminated_pairs(
                     ["doc_id", "item_id", "n_item_words", "n_covered_words", "n_tiles", "coverage"],
                 )
 
-        found = found.unionByName(map_batches(docs.select("doc_id", "text"), search, PAIRS))
+        found = found.unionByName(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), search, PAIRS))
     return found
 
 

@@ -27,6 +27,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm._common import map_batches, read_table
 
@@ -292,7 +293,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     return map_batches(
-        pages.select("page_id", "url", "html"), _extract, "page_id long, url string, text string, n_chars long"
+        pages.select(F.col("page_id").cast("long"), "url", "html"), _extract, "page_id long, url string, text string, n_chars long"
     )
 
 

@@ -243,7 +243,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return map_batches(docs.select("doc_id", "text"), encode, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), encode, PIECES)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -258,7 +258,7 @@ def write_shards(
             ["part", "shard", "path", "n_entries", "n_ids", "first_id", "last_id"],
         )
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(map_batches(dealt, write, MANIFEST), "manifest")
 
 

@@ -115,7 +115,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             )
 
     return map_batches(
-        docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+        docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
 
 

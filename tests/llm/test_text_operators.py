@@ -385,3 +385,33 @@ def test_scores_of_odd_rows(spark, odd_docs):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
     none = rule_ensemble.quality_scores(odd_docs, labels.where("quality = 5")).collect()
     assert {r["score"] for r in none} == {0.5}
+
+
+def test_narrow_ids(spark, library):
+    docs = spark.createDataFrame([(1, "some words"), (2, "some more words")], "doc_id int, text string")
+    assert {r["doc_id"] for r in packing.pack(docs, TOKENIZER).collect()} == {1, 2}
+    assert {r["doc_id"] for r in token_counts.token_counts(docs, TOKENIZER).collect()} == {1, 2}
+    assert simhash.near_duplicates(docs).count() == 2
+
+
+def test_a_third_of_rows_alike(spark):
+    """Copies, near copies and one shared line that make up most rows."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(600)]
+    rows = []
+    for i in range(240):
+        if i % 3 == 0:
+            text = " ".join(base)
+        elif i % 3 == 1:
+            words = list(base)
+            words[rng.randrange(600)] = f"x{i}"
+            text = " ".join(words)
+        else:
+            text = "this line stands in very many of the documents\n" + " ".join(f"u{rng.randint(0, 9999)}" for _ in range(80))
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = reach({i: plain_fingerprint(t) for i, t in rows})
+    for limit in (simhash.BUCKET_LIMIT, 8):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, limit).collect()}
+        assert got == want
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == plain_line_dedup(rows)
