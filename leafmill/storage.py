@@ -38,14 +38,23 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/leafmill/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def write_table(df: DataFrame, path: str, files_per_core: int | None = 8) -> None:
+    """Write ``df`` as Parquet in at most ``files_per_core`` files for each core; None: one for each partition."""
+    if files_per_core:
+        df = df.coalesce(max(1, files_per_core * df.sparkSession.sparkContext.defaultParallelism))
+    df.write.parquet(path)
+
+
+def materialize(df: DataFrame, tag: str, files_per_core: int | None = 8) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later stages and lost executors reread the files instead of
-    computing the table again.
+    computing the table again. At most ``files_per_core`` files for each core are written
+    (partitions are read one after the other, so a task needs no more memory); None leaves
+    the partitions as they are.
     """
     path = new_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    write_table(df, path, files_per_core)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
