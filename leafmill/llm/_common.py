@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafmill.storage import materialize, new_dir, read_table, shared_dir
+from leafmill.storage import materialize, new_dir, read_table, shared_dir, write_table
 
-__all__ = ["materialize", "new_dir", "read_table", "shared_dir"]
+__all__ = ["materialize", "new_dir", "read_table", "shared_dir", "write_table"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,9 @@ BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 #: Texts have no greatest length, so what one Arrow batch can hold is bounded by rows.
 BATCH_ROWS = 1000
 
+#: Files for each core of tables that hold groups, keys or links and no texts.
+FEW_FILES = 2
+
 
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches of this session hold at most ``BATCH_ROWS`` rows."""

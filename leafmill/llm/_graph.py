@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import materialize
+from leafmill.llm._common import FEW_FILES, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,15 +21,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
+        FEW_FILES,
     )
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(
-            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"
+            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", FEW_FILES
         )
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = materialize(large, "large", FEW_FILES)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", FEW_FILES)
         small = (
             large.join(least, "u")
             .where("v <> m")
@@ -37,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = materialize(small, "small")
+        links = materialize(small, "small", FEW_FILES)
         many = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         inner = links.select(F.col("v").alias("u")).distinct().join(links.select("u").distinct(), "u", "left_semi")
         if many.select("u").unionByName(inner).isEmpty():

@@ -2,8 +2,7 @@
 
 The corpus is one sequence of non-blank lines, in order of doc_id, that no run crosses a
 document's border in. Only lines that occur at least twice can be part of a repeated run;
-they get consecutive ordinals, and a line's id is the ordinal of its first occurrence.
-Prefix doubling then gives every place the id of the block of 2^k lines that starts
+they get consecutive ordinals and the id of their text. Prefix doubling then gives every place the id of the block of 2^k lines that starts
 there: the first place with the same pair of ids of half that length. Places with equal
 ids are the suffix array's intervals whose longest common prefix is at least 2^k lines
 (ids need to tell blocks apart, not to sort them, as only intervals are read), and two
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm._common import BLANKS, let, materialize, read_table
+from leafmill.llm._common import BLANKS, FEW_FILES, let, materialize, read_table
 
 MIN_CHARS = 40
 
@@ -63,31 +62,22 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """Lines that occur at least twice: ord (ascending in the corpus), id, chars, last (ord of the stretch's end)."""
+    """Lines that occur at least twice: doc_id, h, k, no, chars, id (of the line), ord (ascending in the corpus)."""
     lines = materialize(_lines(docs), "lines")
-    often = materialize(
-        lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "often"
-    )
-    live = lines.join(often, ["x", "y"]).dropDuplicates(["doc_id", "h", "k"])
+    often = lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    often = materialize(often.withColumn("id", F.monotonically_increasing_id()), "often", FEW_FILES)
+    live = lines.join(often, ["x", "y"]).drop("x", "y").dropDuplicates(["doc_id", "h", "k"])
     placed = (
         live.repartitionByRange("doc_id", "h")
         .sortWithinPartitions("doc_id", "h", "k")
         .withColumn("ord", F.monotonically_increasing_id())
     )
-    placed = materialize(placed, "placed")
-    first = materialize(placed.groupBy("x", "y").agg(F.min("ord").alias("id")), "first")
-    stretch = Window.partitionBy("doc_id", "h", F.col("ord") - F.col("k"))
-    return materialize(
-        placed.join(first, ["x", "y"])
-        .select("doc_id", "h", "k", "no", "chars", "ord", "id")
-        .withColumn("last", F.max("ord").over(stretch)),
-        "repeated",
-    )
+    return materialize(placed, "placed", FEW_FILES)
 
 
 def _blocks(rows: DataFrame, min_chars: int) -> DataFrame:
     """(ord, m): the shortest blocks that count, from each first line on and from each last line back."""
-    stretch = Window.partitionBy("doc_id", "h", "last").orderBy("ord")
+    stretch = Window.partitionBy("doc_id", "h", F.col("ord") - F.col("k")).orderBy("ord")
 
     def shortest(chars):
         """Entries of ``chars`` until their sum is enough; null where it never is."""
@@ -119,13 +109,13 @@ def _blocks(rows: DataFrame, min_chars: int) -> DataFrame:
 def _interval(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``first``, the least ord of equal ``keys``; only keys that occur twice."""
     groups = rows.groupBy(*keys).agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(materialize(groups.drop("n"), "groups"), keys)
+    return rows.join(materialize(groups.drop("n"), "groups", FEW_FILES), keys)
 
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h, dead): line numbers that are later copies, by document (h: hash of its text)."""
     rows = _repeated(docs)
-    blocks = materialize(_blocks(rows, min_chars), "blocks")
+    blocks = materialize(_blocks(rows, min_chars), "blocks", FEW_FILES)
     ids = rows.select("ord", "id")
     later = _interval(blocks.where("m = 1").join(ids, "ord"), ["id"]).where("ord > first").select("ord", "m")
     longer = blocks.where("m > 1")
@@ -137,7 +127,7 @@ def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         half = 1 << (k - 1)
         ahead = level.select((F.col("ord") - half).alias("ord"), F.col("id").alias("next"))
         pairs = _interval(level.join(ahead, "ord"), ["id", "next"])
-        level = materialize(pairs.select("ord", F.col("first").alias("id")), f"level{k}")
+        level = materialize(pairs.select("ord", F.col("first").alias("id")), f"level{k}", FEW_FILES)
         of_size = longer.where((F.col("m") >= 1 << k) & (F.col("m") < 1 << (k + 1)))
         tail = level.select(F.col("ord").alias("at"), F.col("id").alias("tail"))
         keyed = of_size.join(level, "ord").join(tail, F.col("at") == F.col("ord") + F.col("m") - (1 << k))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.llm import _tokens
-from leafmill.llm._common import map_batches, materialize, read_table
+from leafmill.llm._common import FEW_FILES, map_batches, materialize, read_table
 
 CAPACITY = 2048
 END_ID = 0
@@ -249,7 +249,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece, with its sequence and its offset there."""
     spark = docs.sparkSession
-    cuts = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    cuts = materialize(pieces(docs, path, capacity, end_id), "pieces", FEW_FILES * 4)
     histogram = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(plan_of(complete_bins(histogram, capacity)))
     salts = max(16, -(-sum(histogram.values()) // ROWS_PER_SALT))

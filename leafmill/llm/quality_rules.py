@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm._common import materialize, read_table
+from leafmill.llm._common import FEW_FILES, materialize, read_table
 from leafmill.llm._stats import with_text_stats
 
 MIN_DOCS = 30
@@ -142,14 +142,14 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
     # Written with their statistics: the optimiser would otherwise compute these anew wherever they are named.
     stats = materialize(with_text_stats(docs), "stats")
-    limits = materialize(fences(sketches(stats)), "fences")
+    limits = materialize(fences(sketches(stats)), "fences", FEW_FILES)
     return judged(stats, limits).where("_lm_kept").select(*docs.columns)
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row for each of ``docs``: its counts and whether the rules keep it."""
-    stats = materialize(with_text_stats(docs).select("doc_id", "lang", "source", "_lm_stats"), "stats")
-    limits = materialize(fences(sketches(stats)), "fences")
+    stats = materialize(with_text_stats(docs).select("doc_id", "lang", "source", "_lm_stats"), "stats", FEW_FILES * 2)
+    limits = materialize(fences(sketches(stats)), "fences", FEW_FILES)
     s = "_lm_stats"
     return judged(stats, limits).select(
         "doc_id",

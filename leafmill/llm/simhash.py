@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from leafmill.llm._common import map_batches, materialize, read_table
+from leafmill.llm._common import FEW_FILES, map_batches, materialize, read_table
 from leafmill.llm._graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -149,9 +149,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) that connect what all links connect."""
-    keyed = materialize(map_batches(fps.select("fp"), _keyed, "key long, fp long"), "keyed")
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = materialize(keyed.join(sizes, "key"), "shared")
+    keyed = materialize(map_batches(fps.select("fp"), _keyed, "key long, fp long"), "keyed", FEW_FILES)
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes", FEW_FILES)
+    shared = materialize(keyed.join(sizes, "key"), "shared", FEW_FILES)
     buckets = (
         shared.where(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")
     )
@@ -178,16 +178,17 @@ def components(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
 
     Columns fp, component_id, and keeper_fp: the fingerprint of the row that stands for the component.
     """
-    merged = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    merged = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct", FEW_FILES)
     joined = connected_components(links(merged, bucket_limit)).select(F.col("node").alias("fp"), "label")
     labelled = materialize(
-        merged.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled"
+        merged.join(joined, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled", FEW_FILES
     )
     best = materialize(
         labelled.groupBy("label")
         .agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("best"))
         .select("label", F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keeper_fp")),
         "best",
+        FEW_FILES,
     )
     return labelled.join(best, "label").select("fp", "component_id", "keeper_fp")
 
@@ -195,9 +196,9 @@ def components(prints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     prints = materialize(
-        fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_lm_fp").alias("fp")), "prints"
+        fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_lm_fp").alias("fp")), "prints", FEW_FILES
     )
-    groups = materialize(components(prints, bucket_limit), "groups")
+    groups = materialize(components(prints, bucket_limit), "groups", FEW_FILES)
     return prints.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -209,13 +210,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat both doc_id and fingerprint count as one document.
     """
     prints = materialize(
-        fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_lm_fp").alias("fp")), "prints"
+        fingerprints(docs.select("doc_id", "text")).select("doc_id", F.col("_lm_fp").alias("fp")), "prints", FEW_FILES
     )
     keepers = materialize(
         components(prints)
         .where("fp = keeper_fp")
         .select(F.col("component_id").alias("_lm_id"), F.col("fp").alias("_lm_keep")),
         "keepers",
+        FEW_FILES,
     )
     full = fingerprints(docs)
     kept = full.join(

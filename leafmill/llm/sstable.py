@@ -259,7 +259,7 @@ def write_shards(
         )
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_batches(dealt, write, MANIFEST), "manifest")
+    return materialize(map_batches(dealt, write, MANIFEST), "manifest", None)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import materialize, new_dir, read_table
+from leafmill.llm._common import FEW_FILES, materialize, new_dir, read_table, write_table
 
 MIN_REVISIT = 1000
 #: Fixed value: the profile that WARC/1.1 names for revisits of identical payloads.
@@ -51,9 +51,9 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.sha1(_payload()).alias("sha1"),
         F.sha2(_payload(), 256).alias("sha256"),
     )
-    facts.write.parquet(f"{path}/facts")
+    write_table(facts, f"{path}/facts", FEW_FILES)
     facts = spark.read.parquet(f"{path}/facts")
-    first = materialize(facts.groupBy("sha256").agg(F.max("page_id").alias("largest")), "first")
+    first = materialize(facts.groupBy("sha256").agg(F.max("page_id").alias("largest")), "first", FEW_FILES)
     sorted_out = facts.join(first, "sha256").withColumn(
         "refers_to",
         F.when(
@@ -78,14 +78,14 @@ def write_archive(pages: DataFrame, path: str) -> None:
         line("Content-Length", F.col("size").cast("string")),
         F.lit("\r\n"),
     )
-    sorted_out.select("page_id", "sha256", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
+    write_table(sorted_out.select("page_id", "sha256", F.encode(header, "UTF-8").alias("header")), f"{path}/headers")
     # One key column, so that what the join is dealt by also serves the removal of repeated rows.
     key = lambda page_id: F.concat_ws(":", "sha256", F.coalesce(page_id.cast("string"), F.lit("null")))
     owners = first.select(key(F.col("largest")).alias("key"))
     mine = pages.select("page_id", _payload().alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     mine = mine.select(key(F.col("page_id")).alias("key"), "sha256", "payload")
     kept = mine.join(owners, "key", "left_semi").dropDuplicates(["key"])
-    kept.select("sha256", "payload").write.parquet(f"{path}/payloads")
+    write_table(kept.select("sha256", "payload"), f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
