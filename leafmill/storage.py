@@ -38,10 +38,20 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/leafmill/{tag}-{uuid.uuid4().hex}"
 
 
+def cores(spark: SparkSession) -> int | None:
+    """Cores of the session's executors; None where executors come and go (dynamic allocation)."""
+    conf = spark.sparkContext.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    asked = int(conf.get("spark.executor.instances", "1")) * int(conf.get("spark.executor.cores", "1"))
+    return max(1, spark.sparkContext.defaultParallelism, asked)
+
+
 def write_table(df: DataFrame, path: str, files_per_core: int | None = 8) -> None:
     """Write ``df`` as Parquet in at most ``files_per_core`` files for each core; None: one for each partition."""
-    if files_per_core:
-        df = df.coalesce(max(1, files_per_core * df.sparkSession.sparkContext.defaultParallelism))
+    n = cores(df.sparkSession)
+    if files_per_core and n:
+        df = df.coalesce(files_per_core * n)
     df.write.parquet(path)
 
 
