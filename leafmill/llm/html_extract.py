@@ -199,10 +199,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
+def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, live: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
     """States of one direction over x (time, batch, inputs); ``live`` (time, batch, 1) masks padding.
 
-    Also what training needs of each step.
+    With ``keep`` also what training needs of each step.
     """
     steps, batch, _ = x.shape
     size = u.shape[0]
@@ -217,7 +217,8 @@ def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, live: np.nd
         new_c = f * c + i * g
         tanh_c = np.tanh(new_c)
         m = live[t]
-        kept.append((h, c, i, f, o, g, tanh_c))
+        if keep:
+            kept.append((h, c, i, f, o, g, tanh_c))
         h, c = m * (o * tanh_c) + (1 - m) * h, m * new_c + (1 - m) * c
         out[t] = h
     return out, kept

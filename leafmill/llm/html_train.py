@@ -283,8 +283,8 @@ def train(n_pages: int = 3000, epochs: int = 5, seed: int = 9) -> dict[str, np.n
                 x[:n, k], y[:n, k, 0], live[:n, k] = pages[i][0], pages[i][1], 1
             drop = (rng.random((1, len(part), PATH_SIZE)) > 0.05).astype(np.float32)
             x[:, :, :PATH_SIZE] *= drop
-            hf, kf = lstm(x, q["wf"], q["uf"], q["bf"], live)
-            hb, kb = lstm(x[::-1], q["wb"], q["ub"], q["bb"], live[::-1])
+            hf, kf = lstm(x, q["wf"], q["uf"], q["bf"], live, True)
+            hb, kb = lstm(x[::-1], q["wb"], q["ub"], q["bb"], live[::-1], True)
             both = np.concatenate([hf, hb[::-1]], axis=2)
             p = 1 / (1 + np.exp(-(both @ q["wo"] + q["bo"])))
             n = live.sum()
