@@ -115,3 +115,46 @@ def test_intermediates_can_be_removed(spark):
     assert datasets.exists(spark, path)
     storage.remove_intermediates(spark)
     assert not datasets.exists(spark, path)
+
+
+def test_chart_folder(spark, tmp_path):
+    one = {"metadata": {"target_name": "acme"}, "charts": [{"chart_title": "a", "section": "s", "priority": "high", "png_path": "p"}]}
+    (tmp_path / "a.json").write_text(json.dumps(one))
+    (tmp_path / "b.json").write_text(json.dumps(one | {"metadata": {"target_name": "other"}}))
+    (tmp_path / "c.json").write_text("{broken")
+    assert [r["chart_title"] for r in datasets.chart_folder(spark, str(tmp_path), "acme").collect()] == ["a"]
+
+
+def test_provider_pages(spark):
+    df = spark.createDataFrame([("Company page", '<a href="u">x</a>'), ("latest news", "")], "title string, html string")
+    got = {r["title"]: (r["kind"], r["links"]) for r in datasets.split_provider_pages(df, ("news", "report")).collect()}
+    assert got == {"Company page": ("navs", ["u"]), "latest news": ("news", [])}
+
+
+def test_front_matter_and_docx_columns(spark):
+    from leafmill.sources import html
+
+    df = spark.createDataFrame([('a "b"', "u", "2024-05-01 10:00:00", "text", bytearray(b"junk"))], "t string, u string, d string, b string, f binary")
+    row = df.select(
+        html.front_matter(F.col("t"), F.col("u"), F.col("d"), F.col("b")).alias("m"),
+        html.front_matter(F.col("t"), F.col("u"), F.lit("soon"), F.col("b")).alias("n"),
+        html.docx_of(F.col("f")).alias("x"),
+    ).first()
+    assert row["m"] == '---\ntitle: "a \\"b\\""\nurl: "u"\ndate: 2024-05-01T10:00:00Z\n---\n\ntext'
+    assert "date" not in row["n"] and row["x"] == ""
+
+
+def test_chart_blocks_and_titles(spark):
+    df = spark.createDataFrame([("t", "p.png", ""), ("u", None, "d")], "t string, p string, d string")
+    got = df.select(report.chart_block(F.col("t"), F.col("p"), F.col("d")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["### t\n![t](p.png)", "### u\nd"]
+    titles = spark.range(1).select(*(report.section_title(F.lit("T"), F.lit(12), s).alias(s) for s in ("chinese", "arabic", "plain"))).first()
+    assert tuple(titles) == ("## 12、T", "## 12. T", "## T")
+
+
+def test_objects_of_variants(spark):
+    from leafmill.functions import jsonx
+
+    v = F.array(*(F.parse_json(F.lit(s)) for s in ('{"a":1}', "[1]", "2")))
+    row = spark.range(1).select(F.transform(jsonx.only_objects(v), lambda x: F.to_json(x)).alias("o"), F.to_json(jsonx.parsed_or(F.lit("{bad"), "[]")).alias("d")).first()
+    assert row["o"] == ['{"a":1}'] and row["d"] == "[]"
