@@ -47,7 +47,7 @@ def cores(spark: SparkSession) -> int | None:
     return max(1, spark.sparkContext.defaultParallelism, asked)
 
 
-def write_table(df: DataFrame, path: str, files_per_core: int | None = 8) -> None:
+def write_table(df: DataFrame, path: str, files_per_core: int | None = None) -> None:
     """Write ``df`` as Parquet in at most ``files_per_core`` files for each core; None: one for each partition."""
     n = cores(df.sparkSession)
     if files_per_core and n:
@@ -55,13 +55,14 @@ def write_table(df: DataFrame, path: str, files_per_core: int | None = 8) -> Non
     df.write.parquet(path)
 
 
-def materialize(df: DataFrame, tag: str, files_per_core: int | None = 8) -> DataFrame:
+def materialize(df: DataFrame, tag: str, files_per_core: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later stages and lost executors reread the files instead of
-    computing the table again. At most ``files_per_core`` files for each core are written
-    (partitions are read one after the other, so a task needs no more memory); None leaves
-    the partitions as they are.
+    computing the table again. With ``files_per_core``, at most so many files for each core
+    are written (partitions are read one after the other, so a task needs no more memory).
+    That is for small tables that come out of shuffles; a scan of texts keeps its partitions,
+    so that its tasks stay short at any size.
     """
     path = new_dir(df.sparkSession, tag)
     write_table(df, path, files_per_core)
