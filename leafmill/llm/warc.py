@@ -51,7 +51,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.sha1(_payload()).alias("sha1"),
         F.sha2(_payload(), 256).alias("sha256"),
     )
-    write_table(facts, f"{path}/facts", FEW_FILES)
+    write_table(facts, f"{path}/facts")
     facts = spark.read.parquet(f"{path}/facts")
     first = materialize(facts.groupBy("sha256").agg(F.max("page_id").alias("largest")), "first", FEW_FILES)
     sorted_out = facts.join(first, "sha256").withColumn(
