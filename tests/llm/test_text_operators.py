@@ -10,7 +10,7 @@ import pytest
 from checking import SMALL, same
 from pyspark.sql import functions as F
 
-from leafmill.llm import _tokens, line_dedup, packing, quality_rules, registry, rule_ensemble, simhash, sstable, token_counts
+from leafmill.llm import _tokens, line_dedup, near_text, packing, quality_rules, registry, rule_ensemble, simhash, sstable, token_counts
 from leafmill.llm._common import new_dir, read_table
 from leafmill.llm._graph import connected_components
 
@@ -247,6 +247,81 @@ def test_near_duplicates_of_odd_rows(odd_docs):
     assert kept.count() == len(set(groups.values()))
 
 
+def plain_shingles(text, size=5):
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def plain_similar(rows):
+    """Positions of ``rows`` (doc_id, text) by the least position they reach over similarities of at least 0.8."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited(rng, words, times, tag):
+    """``words`` with so many of them replaced, far enough apart to change five shingles each."""
+    out = list(words)
+    for k, at in enumerate(rng.sample(range(5, len(words) - 5, 6), times)):
+        out[at] = f"{tag}x{k}"
+    return out
+
+
+def similar_rows(seed):
+    """Texts, near copies of similarity 0.5 to 1, chains of them, and unlike texts that share a passage."""
+    rng, rows = random.Random(seed), []
+    passage = " ".join(f"p{i}" for i in range(30))
+    for g in range(14):
+        words = [f"g{g}w{rng.randint(0, 5000)}" for _ in range(rng.choice([40, 90, 130, 400, 700]))]
+        chain = words
+        for k in range(rng.choice([1, 2, 6, 25])):
+            few = rng.randint(0, max(1, len(words) // 50))
+            rows.append((len(rows), " ".join(edited(rng, words, few, f"k{k}"))))
+            chain = edited(rng, chain, few, f"c{k}")
+            rows.append((len(rows), " ".join(chain)))
+    rows += [(len(rows) + i, f"{passage} " + " ".join(f"u{i}n{j}" for j in range(25))) for i in range(40)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed, block", [(1, None), (2, 7)])
+def test_similar_texts_against_all_pairs(spark, seed, block):
+    rows = similar_rows(seed)
+    sets = [plain_shingles(t) for _, t in rows]
+    close = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.8 <= j < 0.95 for j in close) > 20 and sum(0.6 < j < 0.8 for j in close) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    root = plain_similar(rows)
+    want = {min(rows[j][0] for j in range(len(rows)) if root[j] == r) for r in set(root)}
+    got = near_text.keep_one_of_similar(docs, *([block] if block else []))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
+def test_bounds_lose_no_similar_set():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60, 127, 128, 500, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            cut = rng.integers(0, n // 4 + 1, 2)
+            b = np.unique(np.r_[a[cut[0] :], rng.integers(0, 1 << 63, cut[1], dtype=np.uint64)])
+            if len(b) and near_text.similar(a, b):
+                assert near_text.may_be_similar(len(a), near_text.parities(a), len(b), near_text.parities(b))
+                assert set(a[: len(a) // 5 + 1].tolist()) & set(b[: len(b) // 5 + 1].tolist())
+
+
+def test_similar_texts_of_odd_rows(spark, odd_docs, no_docs):
+    rows = odd_docs.collect()
+    root = plain_similar([(r["doc_id"], r["text"]) for r in rows])
+    kept = near_text.keep_one_of_similar(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert kept.count() == len(set(root))
+    assert near_text.keep_one_of_similar(no_docs).count() == 0
+
+
 def test_connected_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, None), (3, 3)]
