@@ -3,8 +3,8 @@
 Each document's ids (and a closing id) are cut only where they exceed the capacity; then
 pieces are packed. Only lengths matter for packing, so the corpus is reduced to at most
 ``capacity`` counts, which is all the driver sees at any corpus size. ``complete_bins``
-packs the histogram: around the largest remaining length it enumerates undominated
-fillings, prunes by the waste that a better solution could still afford, and keeps the
+packs the histogram: around the largest remaining length it tries up to ``FILLINGS``
+fillings (not all undominated ones, so a better packing can be missed), prunes by the waste that a better solution could still afford, and keeps the
 best-fit-decreasing packing as the first incumbent; a filling is repeated as often as the
 counts allow, so the work depends on the number of distinct lengths and not of documents.
 Pieces get their place by rank within their length, counted in salted groups.
