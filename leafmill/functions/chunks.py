@@ -1,9 +1,15 @@
-"""Splitters of long texts: by characters, by tokens along separators, and by searched token length."""
+"""Splitters of long texts: by characters, by tokens along separators, and by searched token length.
+
+All find the places of their cuts first, by bisection over ascending candidate places, and slice then.
+A token count must not fall when a text gets longer.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,90 +26,90 @@ def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
 
+def _runs(widths: Sequence[int], glue: int, size: int) -> Iterator[slice]:
+    """The longest runs of fields that are at most ``size`` wide when glued; a wider field is a run of its own."""
+    ends = list(accumulate(w + glue for w in widths))
+    start = 0
+    while start < len(ends):
+        room = size + glue + (ends[start - 1] if start else 0)
+        stop = max(start + 1, bisect_right(ends, room, start))
+        yield slice(start, stop)
+        start = stop
+
+
 def split_chars(text: str | None, size: int = 4000, overlap: int = 0) -> list[str]:
     """Chunks of at most ``size`` characters, cut at the most preferred separator that helps.
 
-    Parts are stripped and the separator at a cut is dropped. With ``overlap``, a chunk
-    starts with the end of the one before it (and may then be longer than ``size``).
+    Chunks are stripped; the separator at a cut and blank fields are dropped. A field that is
+    too long is split by the separators that follow. With ``overlap``, a chunk starts with the
+    last characters of the one before it if that is longer (and may then exceed ``size``); this
+    holds for the chunks of a long field and again for all chunks of the text that has it.
     """
     if not text:
         return []
-    return [text] if len(text) <= size else _by_chars(text, CHAR_SEPARATORS, size, overlap)
-
-
-def _by_chars(text: str, separators: tuple[str, ...], size: int, overlap: int) -> list[str]:
-    if not separators:
-        step = max(1, size - overlap)
-        return [c for c in (text[i : i + size].strip() for i in range(0, len(text), step)) if c]
-    sep, rest = separators[0], separators[1:]
-    parts = list(text) if sep == "" else [p for p in text.split(sep) if p.strip()]
-    if len(parts) <= 1:
-        return _by_chars(text, rest, size, overlap)
-    chunks, current = [], ""
-    for part in parts:
-        if len(part) > size:
-            if current:
-                chunks.append(current.strip())
-            current = ""
-            chunks += _by_chars(part, rest, size, overlap)
-        elif current and len(current) + len(sep) + len(part) > size:
-            chunks.append(current.strip())
-            current = part
-        else:
-            current = current + sep + part if current else part
-    if current:
-        chunks.append(current.strip())
-    if overlap and len(chunks) > 1:
-        chunks = [chunks[0], *(a[-overlap:] + b for a, b in zip(chunks, chunks[1:], strict=False))]
-    return [c for c in chunks if c]
+    return [text] if len(text) <= size else _char_chunks(text, CHAR_SEPARATORS, size, overlap)
+
+
+def _char_chunks(text: str, separators: Sequence[str], size: int, overlap: int) -> list[str]:
+    fields, level = [], 0
+    for level, separator in enumerate(separators):
+        fields = [x for x in text.split(separator) if x.strip()] if separator else list(text)
+        if len(fields) > 1:
+            break
+    found: list[str] = []
+    for run in _runs([len(x) for x in fields], len(separators[level]), size):
+        joined = separators[level].join(fields[run])
+        found += [joined.strip()] if len(joined) <= size else _char_chunks(joined, separators[level + 1 :], size, overlap)
+    tails = ["", *(x[-overlap:] if 0 < overlap < len(x) else "" for x in found)]
+    return [chunk for chunk in map("".join, zip(tails, found, strict=False)) if chunk]
 
 
 def split_tokens(text: str | None, size: int = 500, overlap: int = 0, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Chunks of at most ``size`` tokens that keep every separator; ``overlap`` characters may exceed the size."""
+    """Chunks of at most ``size`` tokens that keep every separator; ``overlap`` characters may exceed the size.
+
+    A character of more than ``size`` tokens is a chunk of its own.
+    """
     if overlap >= size:
         raise ValueError("overlap must be smaller than the chunk size")
-    if not text:
-        return []
-    chunks = _by_tokens(text, TOKEN_SEPARATORS, size, count)
-    if overlap and len(chunks) > 1:
-        return [chunks[0], *(a[-overlap:] + b for a, b in zip(chunks, chunks[1:], strict=False))]
-    return chunks
-
-
-def _by_tokens(text: str, separators: tuple[str, ...], size: int, count: Callable[[str], int]) -> list[str]:
-    if count(text) <= size:
-        return [text]
-    if not separators:
-        return [text]
-    sep, rest = separators[0], separators[1:]
-    if sep == "":
-        parts = list(text)
-    else:
-        pieces = text.split(sep)
-        parts = [p for p in (*(x + sep for x in pieces[:-1]), pieces[-1]) if p]
-    chunks, current, used = [], "", 0
-    for part in parts:
-        n = count(part)
-        if used + n <= size + 1 and count(current + part) <= size:
-            current += part
-            used = count(current) if len(part) < 8 else used + n
-            continue
-        if current:
-            chunks.append(current)
-        current, used = "", 0
-        if n > size:
-            chunks += _by_tokens(part, rest, size, count)
+    places = [0, *_token_places(text or "", 0, len(text or ""), 0, size, count)]
+    chunks = [text[a:b] for a, b in zip(places, places[1:], strict=False)]
+    tails = ["", *(x[-overlap:] if overlap else "" for x in chunks)]
+    return list(map("".join, zip(tails, chunks, strict=False)))
+
+
+def _token_places(text: str, start: int, stop: int, level: int, size: int, count: Callable[[str], int]) -> Iterator[int]:
+    """Where the chunks of ``text[start:stop]`` end, cut behind separators of ``level`` or, in fields that are too long, later ones."""
+    if start == stop:
+        return
+    if level == len(TOKEN_SEPARATORS) or count(text[start:stop]) <= size:
+        yield stop
+        return
+    separator = TOKEN_SEPARATORS[level]
+    ends: Sequence[int] = range(start + 1, stop + 1)
+    if separator:
+        ends = [m.end() for m in re.finditer(re.escape(separator), text[start:stop])]
+        ends = [start + e for e in ends]
+        if not ends or ends[-1] != stop:
+            ends.append(stop)
+    at, tried = start, 0
+    while at < stop:
+        width = 1  # doubled until too wide, so that counting takes time in proportion to a chunk
+        while tried + width < len(ends) and count(text[at : ends[tried + width]]) <= size:
+            width *= 2
+        fit = bisect_right(ends, size, tried, min(len(ends), tried + width + 1), key=lambda e: count(text[at:e]))  # noqa: B023
+        if fit > tried:
+            yield ends[fit - 1]
         else:
-            current, used = part, n
-    if current:
-        chunks.append(current)
-    return chunks
+            fit = tried + 1
+            yield from _token_places(text, at, ends[tried], level + 1, size, count)
+        at, tried = ends[fit - 1], fit
 
 
 def split_fast(text: str | None, size: int = 500, overlap: int = 0, count: Callable[[str], int] = count_tokens) -> list[str]:
     """Chunks of at most ``size`` tokens found by bisection and snapped to a separator near the cut.
 
-    The snapped cut is measured from the chunk's own start. ``overlap`` characters are
+    How far a chunk can reach is estimated from the text's first 1000 characters. The snapped
+    cut is measured from the chunk's own start. Chunks are stripped. ``overlap`` characters are
     shortened until the chunk fits again.
     """
     if not text:
@@ -112,40 +118,36 @@ def split_fast(text: str | None, size: int = 500, overlap: int = 0, count: Calla
         return [text]
     sample = text[:1000]
     reach = max(1, int(size * len(sample) / max(1, count(sample)) * 1.2))
-    chunks, at = [], 0
-    while at < len(text):
-        low, high = 0, min(reach, len(text) - at)
-        if count(text[at : at + high]) <= size:
-            low = high
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if count(text[at : at + mid]) <= size else (low, mid - 1)
-        end = at + low
-        if end < len(text):
-            end = _snapped(text, at, end, min(200, reach // 4), size, count)
-        piece = text[at:end].strip()
-        if piece:
-            chunks.append(piece)
-        at = max(end, at + 1)
+    places = [0]
+    while places[-1] < len(text):
+        places.append(_fast_place(text, places[-1], reach, size, count))
+    chunks = [x for x in (text[a:b].strip() for a, b in zip(places, places[1:], strict=False)) if x]
     if not overlap:
         return chunks
     out = chunks[:1]
     for before, chunk in zip(chunks, chunks[1:], strict=False):
-        low, high = 0, min(overlap, len(before))
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if count(before[-mid:] + chunk) <= size else (low, mid - 1)
-        out.append((before[-low:] if low else "") + chunk)
+        widths = range(1, min(overlap, len(before)) + 1)
+        width = bisect_right(widths, size, key=lambda n: count(before[-n:] + chunk))  # noqa: B023
+        out.append(before[len(before) - width :] + chunk)
     return out
 
 
-def _snapped(text: str, start: int, end: int, reach: int, size: int, count: Callable[[str], int]) -> int:
-    low, high = max(start, end - reach), min(len(text), end + reach)
-    for sep in TOKEN_SEPARATORS[:-1]:
-        places = [m.end() + low for m in re.finditer(re.escape(sep), text[low:high])]
-        for place in sorted(places, key=lambda p: abs(p - end)):
-            if place > start and count(text[start:place]) <= size:
-                return place
+def _fast_place(text: str, at: int, reach: int, size: int, count: Callable[[str], int]) -> int:
+    """Where the chunk that begins at ``at`` ends."""
+
+    def furthest(low: int, high: int) -> int:
+        return low + bisect_right(range(low + 1, high + 1), size, key=lambda p: count(text[at:p]))
+
+    end = max(at + 1, furthest(at, min(at + reach, len(text))))
+    if end == len(text):
+        return end
+    near = min(200, reach // 4)
+    low, high = max(at, end - near), min(len(text), end + near)
+    last = furthest(end, high)
+    for separator in TOKEN_SEPARATORS[:-1]:
+        behind = (low + m.end() for m in re.finditer(re.escape(separator), text[low:high]))
+        if fitting := [p for p in behind if at < p <= last]:
+            return min(fitting, key=lambda p: abs(p - end))
     return end
 
 

@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Levels of one kind of bracket in JSON that is read; bounds the work on hostile texts.
+MAX_NESTING = 200
 _FENCE = re.compile(r"```json\s*([\s\S]*?)\s*```")
 
 
 def _valid(text: str) -> bool:
     try:
         json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return True
 
@@ -26,48 +28,42 @@ def _fenced(text: str) -> str | None:
     return body if found and _valid(body) else None
 
 
-def _end(text: str, start: int) -> int:
-    """The place after the bracket that closes the one at ``start``, or -1; a quote counts unless a backslash is before it."""
-    opening = text[start]
-    closing = {"[": "]", "{": "}"}[opening]
-    depth, quoted = 0, False
-    for at in range(start, len(text)):
-        c = text[at]
-        if c == '"' and text[at - 1 : at] != "\\":
-            quoted = not quoted
-        elif not quoted and c == opening:
-            depth += 1
-        elif not quoted and c == closing:
-            depth -= 1
-            if depth == 0:
-                return at + 1
-    return -1
-
-
-def _first_valid(text: str, opening: str) -> str | None:
-    start = text.find(opening)
-    while start >= 0:
-        end = _end(text, start)
-        if end > 0 and _valid(text[start:end]):
-            return text[start:end]
-        start = text.find(opening, start + 1)
-    return None
+def _balanced(text: str, pair: str) -> list[tuple[int, int, int]]:
+    """(start, end, quotes) of what stands between matching brackets of ``pair``, by start; one pass.
+
+    A quote behind a backslash does not count. Brackets match among those with as many quotes
+    before them, odd or even, so what stands in a string, seen from a bracket, is left out. What
+    has more than ``MAX_NESTING`` levels is no JSON that is read.
+    """
+    waiting: tuple[list[list[int]], list[list[int]]] = [], []  # of open brackets: the place, and the levels inside so far
+    odd, found = 0, []
+    for mark in re.finditer(rf'(?<!\\)"|[{re.escape(pair)}]', text):
+        stack = waiting[odd]
+        if mark[0] == '"':
+            odd = 1 - odd
+        elif mark[0] == pair[0]:
+            stack.append([mark.start(), 0])
+        elif stack:
+            start, levels = stack.pop()
+            if stack:
+                stack[-1][1] = max(stack[-1][1], levels + 1)
+            if levels < MAX_NESTING:
+                found.append((start, mark.end(), odd))
+    return sorted(found)
+
+
+def _first_valid(text: str, pair: str) -> str | None:
+    return next((text[a:b] for a, b, _ in _balanced(text, pair) if _valid(text[a:b])), None)
 
 
 def _top_objects(text: str) -> str | None:
-    """All valid top-level objects as one array."""
-    found, at, quoted = [], 0, False
-    while at < len(text):
-        c = text[at]
-        if c == '"' and text[at - 1 : at] != "\\":
-            quoted = not quoted
-        if c == "{" and not quoted:
-            end = _end(text, at)
-            if end > 0:
-                if _valid(text[at:end]):
-                    found.append(text[at:end])
-                at = end - 1
-        at += 1
+    """All valid objects outside strings and outside other balanced braces, as one array."""
+    found, over = [], 0
+    for a, b, odd in _balanced(text, "{}"):
+        if not odd and a >= over:
+            over = b
+            if _valid(text[a:b]):
+                found.append(text[a:b])
     return f"[{','.join(found)}]" if found else None
 
 
@@ -77,7 +73,7 @@ def find_json_array(text: str | None, mode: str = "auto") -> str | None:
     Modes: 'jsonblock' a fenced block; 'array' the first balanced valid array; 'objects' all
     top-level objects as an array; 'auto' the first of these that finds something.
     """
-    steps = {"jsonblock": _fenced, "array": lambda t: _first_valid(t, "["), "objects": _top_objects}
+    steps = {"jsonblock": _fenced, "array": lambda t: _first_valid(t, "[]"), "objects": _top_objects}
     for name in steps if mode == "auto" else (mode,):
         found = steps[name](text or "")
         if found is not None:
@@ -88,7 +84,7 @@ def find_json_array(text: str | None, mode: str = "auto") -> str | None:
 def find_json_object(text: str | None) -> str | None:
     """The first JSON object of a text: a fenced block, else the first balanced valid object."""
     found = _fenced(text or "")
-    return found if found is not None else _first_valid(text or "", "{")
+    return found if found is not None else _first_valid(text or "", "{}")
 
 
 def json_array(text: Column, mode: str = "auto") -> Column:

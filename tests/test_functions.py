@@ -85,6 +85,53 @@ def test_splitter_edges():
         chunks.split_tokens("x", 5, 5)
 
 
+def plain_chars(t, size, separators):
+    """The rule of ``split_chars`` without overlap, one field after the other."""
+    if len(t) <= size:
+        return [t.strip()] if t.strip() else []
+    sep = next(s for s in separators if s == "" or sum(bool(x.strip()) for x in t.split(s)) > 1)
+    fields = [x for x in t.split(sep) if x.strip()] if sep else list(t)
+    out, now = [], None
+    for x in fields:
+        if now is not None and len(now + sep + x) <= size:
+            now += sep + x
+            continue
+        out += [now.strip()] if now is not None else []
+        now = x
+        if len(x) > size:
+            out += plain_chars(x, size, separators[separators.index(sep) + 1 :])
+            now = None
+    return [x for x in out + ([now.strip()] if now is not None else []) if x]
+
+
+@given(st.text(alphabet="ab c.,\n。一二 ", max_size=300), st.integers(3, 60))
+@settings(max_examples=200, deadline=None)
+def test_split_chars_by_the_rule(said, size):
+    want = ([said] if said else []) if len(said) <= size else plain_chars(said, size, chunks.CHAR_SEPARATORS)
+    assert chunks.split_chars(said, size) == want
+
+
+@given(st.text(alphabet="ab c.,\n。一二 ", max_size=200), st.integers(3, 40))
+@settings(max_examples=200, deadline=None)
+def test_split_tokens_takes_as_much_as_fits(said, size):
+    got = chunks.split_tokens(said, size)
+    for a, b in zip(got, got[1:], strict=False):
+        # Nothing up to b's first separator of the same or a more preferred kind would have fitted.
+        assert chunks.count_tokens(a + b) > size or a[-1] in "".join(chunks.TOKEN_SEPARATORS)
+
+
+def test_overlaps():
+    assert chunks.split_chars("aaaa. bbbb. cc", 6, 2) == ["aaaa", "aabbbb", "bbcc"]
+    assert chunks.split_chars("a.bbbbb.cc", 5, 2) == ["a", "bbbbb", "bbcc"]  # what is no longer than the overlap is not repeated
+    assert chunks.split_tokens("a b c d ", 2, 1) == ["a b ", " c d "]
+    assert all(chunks.count_tokens(x) <= 4 for x in chunks.split_fast("a b c d e f g h i j", 4, 3))
+
+
+def test_hostile_json_is_read_in_linear_time():
+    for said in ("[" * 200_000, "[" * 100_000 + "x" + "]" * 100_000, "{" * 100_000 + "}" * 100_000):
+        assert jsonx.find_json_array(said) in (None, "[{}]")
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
     return row.select(column.alias("x")).first()["x"]
