@@ -12,13 +12,14 @@ index and filter, the numbers of entries and ids, the width of an id and a magic
 A lookup reads the footer, asks the filter, bisects the index and scans one block (and
 the next ones, while a key repeats).
 
-Spark deals rows by ranges of ``doc_id``, sorts each range, and every task streams its
-rows into shards. A shard is written under another name and renamed when it is whole; the
+Spark deals rows by ranges of ``doc_id`` (and of a hash of the text and a random number, so
+that rows of one id can go to several ranges), sorts each range, and every task streams its
+rows into shards of at most ``SHARD_BYTES`` and ``SHARD_ENTRIES``. A shard is written under another name and renamed when it is whole; the
 manifest of a job lists only shards of tasks that Spark committed, so lost executors and
 repeated tasks leave at most unlisted files.
 
 Defined results: null or empty text has the end id alone; null ids sort first; rows that
-repeat an id are all stored, ordered by text; an empty table gives no shard and an empty
+repeat an id are all stored, in the order of a hash of their text; an empty table gives no shard and an empty
 result; other columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -43,6 +45,9 @@ from leafmill.llm._common import map_batches, materialize, new_dir, read_table
 END_ID = 2
 BLOCK_BYTES = 64 * 1024
 SHARD_BYTES = 64 * 1024 * 1024
+SHARD_ENTRIES = 1 << 20
+RANGE_BYTES = 64 * 1024 * 1024
+MOST_RANGES = 20_000
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 MAGIC = b"LMSSTAB1"
@@ -80,11 +85,16 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bloom_places(key: bytes, n_bits: int) -> list[int]:
+def _key_hashes(key: bytes) -> tuple[int, int]:
     import xxhash
 
-    a, b = xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
-    return [(a + i * b) % (1 << 64) % n_bits for i in range(BLOOM_HASHES)]
+    return xxhash.xxh64_intdigest(key, 1), xxhash.xxh64_intdigest(key, 2) | 1
+
+
+def _bloom_places(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    """The bits of keys by their two hashes, (keys, 2)."""
+    steps = np.arange(BLOOM_HASHES, dtype=np.uint64)
+    return ((hashes[:, :1] + steps * hashes[:, 1:]) % np.uint64(n_bits)).astype(np.int64)
 
 
 class Writer:
@@ -96,11 +106,14 @@ class Writer:
         self.file, self.id_bytes, self.pack = file, id_bytes, zstandard.ZstdCompressor(level=1)
         self.block, self.last, self.at = bytearray(), b"", 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
-        self.n_ids = 0
+        self.first: bytes | None = None
+        self.hashes = array("Q")
+        self.n_entries = self.n_ids = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.keys and key < self.keys[-1]:
+        if self.first is None:
+            self.first = key
+        elif key < self.last:
             raise ValueError("keys descend")
         shared = 0
         if self.block:
@@ -108,8 +121,10 @@ class Writer:
                 shared += 1
         value = ids.astype(f"<u{self.id_bytes}").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        if key != self.last or not self.n_entries:
+            self.hashes.extend(_key_hashes(key))
         self.last = key
-        self.keys.append(key)
+        self.n_entries += 1
         self.n_ids += len(ids)
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -126,15 +141,16 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) for k, at, n in self.index)
-        bits = np.zeros(max(64, len(self.keys) * BLOOM_BITS_PER_KEY), np.bool_)
-        for key in self.keys:
-            bits[_bloom_places(key, len(bits))] = True
+        hashes = np.array(self.hashes, np.uint64).reshape(-1, 2)
+        bits = np.zeros(max(64, len(hashes) * BLOOM_BITS_PER_KEY), np.bool_)
+        for k in range(0, len(hashes), 1 << 16):
+            bits[_bloom_places(hashes[k : k + (1 << 16)], len(bits))] = True
         bloom = struct.pack("<Q", len(bits)) + np.packbits(bits, bitorder="little").tobytes()
         self.file.write(index + bloom)
         at = self.at
         self.file.write(
             FOOTER.pack(
-                at, len(index), at + len(index), len(bloom), len(self.keys), self.n_ids, self.id_bytes, MAGIC
+                at, len(index), at + len(index), len(bloom), self.n_entries, self.n_ids, self.id_bytes, MAGIC
             )
         )
 
@@ -189,7 +205,8 @@ class Reader:
             data = self._read(self.bloom_at, self.bloom_n)
             n = struct.unpack("<Q", data[:8])[0]
             self.bloom = np.unpackbits(np.frombuffer(data, np.uint8, offset=8), bitorder="little")[:n]
-        return bool(self.bloom[_bloom_places(key, len(self.bloom))].all())
+        places = _bloom_places(np.array([_key_hashes(key)], np.uint64), len(self.bloom))
+        return bool(self.bloom[places].all())
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry of that key."""
@@ -213,8 +230,20 @@ def _open(path: str):
     return store, inner
 
 
+def _ranges(docs: DataFrame) -> int:
+    """Ranges of about ``RANGE_BYTES`` by the planner's size of the table, where it knows one; at least the session's partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_RANGES, -(-size // RANGE_BYTES))) if size < 1 << 50 else least
+
+
 def write_shards(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    shard_bytes: int = SHARD_BYTES,
+    shard_entries: int = SHARD_ENTRIES,
 ) -> DataFrame:
     """Write all of ``docs`` as shards below ``path``; returns the manifest, one row for each shard."""
 
@@ -233,9 +262,8 @@ def write_shards(
             writer.file.close()
             name = f"part-{part:05d}-{shard:04d}-{uuid.uuid4().hex}.sst"
             store.move(writer.path, f"{folder}/{name}")
-            keys = writer.keys
             done.append(
-                (part, shard, f"{path}/{name}", len(keys), writer.n_ids, id_of(keys[0]), id_of(keys[-1]))
+                (part, shard, f"{path}/{name}", writer.n_entries, writer.n_ids, id_of(writer.first), id_of(writer.last))
             )
             writer, shard = None, shard + 1
 
@@ -247,7 +275,7 @@ def write_shards(
                     writer = Writer(store.open_output_stream(temporary), id_bytes)
                     writer.path = temporary
                 writer.add(key_of(doc_id), np.frombuffer(ids + end, "<u4"))
-                if writer.at >= shard_bytes:
+                if writer.at >= shard_bytes or writer.n_entries >= shard_entries:
                     finish()
         if writer is not None:
             finish()
@@ -258,8 +286,11 @@ def write_shards(
             ["part", "shard", "path", "n_entries", "n_ids", "first_id", "last_id"],
         )
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_batches(dealt, write, MANIFEST), "manifest")
+    keyed = docs.select(
+        F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.rand(11).alias("salt")
+    )
+    dealt = keyed.repartitionByRange(_ranges(docs), "doc_id", "hash", "salt").sortWithinPartitions("doc_id", "hash", "text")
+    return materialize(map_batches(dealt.select("doc_id", "text"), write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

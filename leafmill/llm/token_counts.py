@@ -1,15 +1,20 @@
 """Token counts by a broadcast table of frequent pre-tokens and worker caches (operator 4).
 
-Pass one keeps, in each task, a bounded summary of its most frequent pre-tokens (counts
-are halved away when the summary outgrows its bound) over all documents; the summaries,
-not the pre-tokens, are added up and the ``TABLE_ENTRIES`` heaviest become a table of
-lengths in tokens, which is broadcast: at most that many strings of at most
-``MAX_ENTRY_CHARS`` characters. Pass two splits every whole text, sums the lengths that
-the table knows, and encodes the others with the library through a bounded cache in the
-worker. Counts never depend on what the table holds.
+A compact hash table of the lengths in tokens of frequent pre-tokens (two 64-bit hashes and
+a length for each of at most ``TABLE_ENTRIES``) is broadcast to the executors. Every whole
+text is split where it is; pre-tokens that the table has are summed from it, the others come
+from the worker's cache, and what that does not have is encoded with the library. No
+pre-token is shuffled, and only the counts leave a task.
+
+The table is fitted on a bounded sample: about ``SAMPLE_ROWS`` rows drawn at random from all
+of the table (all rows where it has no more). It only decides which tier answers, never a
+count, so it need not see every document. The sampled texts go to ``SAMPLE_TASKS`` tasks,
+each of which returns its ``TABLE_ENTRIES`` most frequent pre-tokens of at most
+``MAX_ENTRY_CHARS`` characters, which the driver adds up.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows are each
-counted; an empty table gives an empty result; other columns are ignored.
+counted; an empty table gives an empty result; other columns are ignored. Sentencepiece
+models and tokenizers that are no byte-level BPE encode every text with their library.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,81 +32,108 @@ from leafmill.llm._common import map_batches, read_table
 
 TABLE_ENTRIES = 65_536
 MAX_ENTRY_CHARS = 64
-SUMMARY_ENTRIES = 8_192
+SAMPLE_ROWS = 10_000
+SAMPLE_TASKS = 8
 LIMIT = 512
 
 
-def frequent_pretokens(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> list[str]:
-    """The heaviest pre-tokens of the bounded summaries of all tasks."""
+def frequent_pretokens(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES, rows: int = SAMPLE_ROWS) -> list[str]:
+    """The most frequent pre-tokens of a sample of about ``rows`` rows."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _tokens.encoder(path)
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and enc.splits(text):
-                    seen.update(_tokens._PATTERN.findall(text))
-                if len(seen) > 16 * SUMMARY_ENTRIES:
-                    seen = Counter(dict(seen.most_common(8 * SUMMARY_ENTRIES)))
-        top = [(w, n) for w, n in seen.most_common(SUMMARY_ENTRIES) if len(w) <= MAX_ENTRY_CHARS]
+                if text and enc.plain(text):
+                    for part in _tokens.parts(text):
+                        found = _tokens.PreTokens([part])
+                        seen.update(found.words(np.arange(len(found.start))))
+                if len(seen) > 8 * entries:
+                    seen = Counter(dict(seen.most_common(4 * entries)))
+        top = [(w, n) for w, n in seen.most_common(entries) if len(w) <= MAX_ENTRY_CHARS]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"]
+            [pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))],
+            ["words", "counts"],
         )
 
-    summaries = map_batches(docs.select("text"), summarise, "word string, n long")
-    top = summaries.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
-    return [r["word"] for r in top.collect()]
+    total = docs.count()
+    sample = docs.select("text")
+    if total > rows:
+        sample = sample.where(F.rand(7) < rows / total)
+    summed: Counter = Counter()
+    for row in map_batches(sample.repartition(SAMPLE_TASKS), summarise, "words array<string>, counts array<long>").toLocalIterator():
+        summed.update(dict(zip(row["words"], row["counts"], strict=True)))
+    return sorted(summed, key=lambda w: (-summed[w], w))[:entries]
+
+
+class LengthTable:
+    """Lengths of pre-tokens by their hashes, in an open-addressed table."""
+
+    def __init__(self, key: np.ndarray, check: np.ndarray, length: np.ndarray):
+        table = _tokens.WordTable(len(key))
+        table.insert(key, check, np.zeros(len(key), np.int64), length)
+        self.bits, self.key, self.check, self.length = table.bits, table.key, table.check, table.length
+
+    find = _tokens.WordTable.find
+
+
+def length_table(words: list[str], path: str) -> LengthTable:
+    """The compact table of ``words``, whose lengths the library tells."""
+    found = _tokens.PreTokens(words)
+    assert len(found.start) == len(words)  # each is one pre-token
+    at, length = _tokens.encoder(path).encoded(words, _tokens.WordTable(0))
+    first = np.unique(found.key, return_index=True)[1]
+    return LengthTable(found.key[first], found.check[first], length[first])
 
 
 class TwoTierCounter:
-    """Counts tokens: first by the shared table of frequent pre-tokens, then by a worker's cache."""
+    """Counts tokens: first by the shared table of frequent pre-tokens, then by the worker's cache."""
 
-    def __init__(self, path: str, table: dict[str, int]):
-        self.encoder, self.table, self.cache = _tokens.encoder(path), table, {}
+    def __init__(self, path: str, shared: LengthTable):
+        self.encoder, self.shared = _tokens.encoder(path), shared
+
+    def _plain(self, texts: list[str]) -> list[int]:
+        enc, table = self.encoder, self.encoder.cache
+        found = _tokens.PreTokens(texts)
+        slot = self.shared.find(found.key, found.check)
+        length = self.shared.length[slot].astype(np.int64)
+        rare = np.flatnonzero(slot < 0)
+        length[rare] = table.length[enc.slots(found, table, rare)]
+        return np.diff(np.concatenate([[0], np.cumsum(length)])[found.first]).tolist()
 
     def counts(self, texts: list[str]) -> Iterator[int]:
-        enc, table, cache = self.encoder, self.table, self.cache
-        known = table.get
+        enc = self.encoder
         for a, b in _tokens.slices(texts):
-            split = [_tokens._PATTERN.findall(t) if enc.splits(t) else None for t in texts[a:b]]
-            seen = set().union(*(w for w in split if w))
-            missing = {w for w in seen if w not in table and w not in cache}
-            stay = len(cache) + len(missing) <= enc.entries
-            cache |= {w: len(ids) // 4 for w, ids in enc.pretokens(missing).items()}
-            for text, words in zip(texts[a:b], split, strict=True):
-                if words is None:
-                    yield len(enc.whole(text)) // 4
-                else:
-                    yield sum([known(w) or cache[w] for w in words])
-            if not stay:
-                for w in missing:
-                    del cache[w]
-
+            plain = [enc.plain(t) for t in texts[a:b]]
+            if b - a == 1 and plain[0]:
+                yield sum(n for part in _tokens.parts(texts[a]) for n in self._plain([part]))
+                continue
+            known = iter(self._plain([t for t, p in zip(texts[a:b], plain, strict=True) if p]))
+            for text, p in zip(texts[a:b], plain, strict=True):
+                yield next(known) if p else len(enc.whole(text))
 
-def piece_counter(path: str):
-    """A function from whole texts to their numbers of sentencepiece pieces."""
-    import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda texts: (len(model.encode(t, num_threads=1)) for t in texts)
+def library_counter(path: str):
+    """A function from whole texts to their numbers of tokens by the library alone."""
+    if path.endswith(".model"):
+        import sentencepiece
 
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: (len(model.encode(t, num_threads=1)) for t in texts)
+    library = _tokens.load(path)
+    return lambda texts: (len(library.encode(t, add_special_tokens=False)) for t in texts)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row."""
-    spark = docs.sparkSession
     shared = None
-    if not path.endswith(".model"):
+    if not path.endswith(".model") and _tokens.encoder(path).by_words:
         words = frequent_pretokens(docs, path)
-        library = _tokens.load(path)
-        lengths = {}
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            lengths |= zip(part, map(len, library.encode_batch(part, add_special_tokens=False)), strict=True)
-        shared = spark.sparkContext.broadcast(lengths)
+        shared = docs.sparkSession.sparkContext.broadcast(length_table(words, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = piece_counter(path) if shared is None else TwoTierCounter(path, shared.value).counts
+        counts = library_counter(path) if shared is None else TwoTierCounter(path, shared.value).counts
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n_bytes, n_tokens = [len(t.encode()) for t in texts], list(counts(texts))

@@ -46,7 +46,7 @@ def test_encoder_equals_library(library, odd_docs):
     for entries in (10**6, 50):
         enc = _tokens.CachedEncoder(TOKENIZER, entries)
         assert [list(np.frombuffer(x, "<u4")) for x in enc.ids(texts)] == [ids_of(library, t) for t in texts]
-        assert len(enc.cache) <= entries
+        assert len(enc.cache) <= max(2 * entries, len({w for t in texts if t and enc.plain(t) for w in _tokens.PreTokens([t]).words(slice(None))}))
 
 
 def test_packing_places_every_id(spark, library, odd_docs):
@@ -133,7 +133,8 @@ def test_token_counts_with_sentencepiece(spark):
 
 def test_shards(spark, library, odd_docs):
     manifest = sstable.write_shards(odd_docs, new_dir(spark, "t"), TOKENIZER, shard_bytes=20_000)
-    rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
+    hashed = odd_docs.withColumn("hash", F.xxhash64("text")).collect()
+    rows = sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["hash"]))
     want, start = [], 0
     for r in rows:
         ids = ids_of(library, r["text"]) + [2]
@@ -168,6 +169,22 @@ def test_shard_refuses_damage(tmp_path):
         list(sstable.Reader(f).block(0))
 
 
+def test_shards_of_many_tiny_documents(spark):
+    docs = spark.range(30_000).select(F.floor(F.col("id") / 3).alias("doc_id"), F.lit("").alias("text"))
+    manifest = sstable.write_shards(docs, new_dir(spark, "t"), TOKENIZER, shard_entries=1000)
+    assert manifest.agg(F.max("n_entries")).first()[0] == 1000
+    got = sorted(map(tuple, sstable.read_shards(manifest).collect()), key=lambda r: r[1])
+    assert [(r[0], r[1], r[2]) for r in got] == [(i // 3, i, 1) for i in range(30_000)]
+    assert [len(sstable.lookup(manifest, i)) for i in (0, 333, 9_999, 10_000)] == [3, 3, 3, 0]
+
+
+def test_rows_of_one_id_are_dealt_to_several_ranges(spark):
+    docs = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    manifest = sstable.write_shards(docs, new_dir(spark, "t"), TOKENIZER)
+    assert manifest.agg(F.max("n_entries")).first()[0] < 10_000
+    assert sstable.read_shards(manifest).count() == 20_000
+
+
 # ---- near duplicates ----
 
 
