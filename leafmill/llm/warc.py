@@ -4,11 +4,15 @@
 archive's folder: ``headers`` has each record's exact header bytes with the SHA-256 of
 its payload, ``payloads`` has the bytes of each distinct payload once under that digest.
 ``read_archive`` joins the two, recomputes the digest of every payload, fails on any
-difference, and puts the original records together again, byte for byte.
+difference, and puts the original records together again, byte for byte. ``read_index``
+joins the headers with what each payload's bytes give (digests and length, recomputed where
+the payload is read), so that payloads do not cross a shuffle to be read: the bytes are
+shuffled once, when copies are merged (in each task first, so a hot payload is not gathered).
 
 Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the largest
 page_id is the response and the others are revisits that refer to it; smaller payloads
-are always responses. Equality is by SHA-256 and length.
+are always responses. Equality is by SHA-256. A revisit's record has no body of its own
+(Content-Length 0); its payload is that of the record that it refers to.
 
 Defined results: null html is the empty payload; a null url writes no target; carriage
 returns and line feeds of a url are percent-encoded; a null page_id ranks below every other, and
@@ -75,51 +79,77 @@ def write_archive(pages: DataFrame, path: str) -> None:
             F.concat(line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE))),
         ).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.col("size").cast("string")),
+        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
         F.lit("\r\n"),
     )
     write_table(sorted_out.select("page_id", "sha256", F.encode(header, "UTF-8").alias("header")), f"{path}/headers")
-    # One key column, so that what the join is dealt by also serves the removal of repeated rows.
-    key = lambda page_id: F.concat_ws(":", "sha256", F.coalesce(page_id.cast("string"), F.lit("null")))
-    owners = first.select(key(F.col("largest")).alias("key"))
-    mine = pages.select("page_id", _payload().alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    mine = mine.select(key(F.col("page_id")).alias("key"), "sha256", "payload")
-    kept = mine.join(owners, "key", "left_semi").dropDuplicates(["key"])
-    write_table(kept.select("sha256", "payload"), f"{path}/payloads")
+    payload = pages.select(F.sha2(_payload(), 256).alias("sha256"), _payload().alias("payload"))
+    write_table(payload.groupBy("sha256").agg(F.first("payload").alias("payload")), f"{path}/payloads")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload): every record put together again; fails on a payload that its digest does not fit."""
+def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The archive's headers (sha256, header) and its payloads, checked against their digests."""
     headers = spark.read.parquet(f"{path}/headers").select("sha256", "header")
-    payloads = spark.read.parquet(f"{path}/payloads")
-    checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(
-        F.raise_error(F.lit("a payload is missing or damaged")).cast("binary")
+    fits = F.sha2("payload", 256) == F.col("sha256")
+    damaged = F.raise_error(F.lit("a payload is damaged")).cast("binary")
+    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", F.when(fits, F.col("payload")).otherwise(damaged).alias("payload"))
+    return headers, payloads
+
+
+def _present(column: str, kind: str) -> Column:
+    return F.coalesce(column, F.raise_error(F.lit("a payload is missing")).cast(kind)).alias(column)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """(header, payload): every record put together again; fails on a payload that is missing or damaged."""
+    headers, payloads = _tables(spark, path)
+    return headers.join(payloads, "sha256", "left").select("header", _present("payload", "binary"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(header, sha1, size): every record's header with the digest and length of its payload's bytes."""
+    headers, payloads = _tables(spark, path)
+    return headers.join(payloads.select("sha256", *payload_facts()), "sha256", "left").select(
+        "header", _present("sha1", "string"), _present("size", "long")
     )
-    return headers.join(payloads, "sha256", "left").select("header", checked.alias("payload"))
+
+
+def payload_facts() -> list[Column]:
+    """Digest and length of the bytes in ``payload``."""
+    return [F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size")]
 
 
 def record_bytes() -> Column:
-    """The whole record as WARC/1.1 writes it."""
-    return F.concat("header", "payload", F.encode(F.lit("\r\n\r\n"), "UTF-8"))
+    """The whole record as WARC/1.1 writes it; a revisit has no body."""
+    revisit = F.decode("header", "UTF-8").startswith("WARC/1.1\r\nWARC-Type: revisit\r\n")
+    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    return F.concat("header", body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
 def parsed(records: DataFrame) -> DataFrame:
     """What the records' own headers say of each page, checked against their payloads."""
+    return described(records.select("header", *payload_facts()))
+
+
+def described(index: DataFrame) -> DataFrame:
+    """What the headers of (header, sha1, size) say of each page, checked against digest and length of the payload."""
     text = F.decode("header", "UTF-8")
     field = lambda name, pattern: F.nullif(F.regexp_extract(text, f"\r\n{name}: {pattern}\r\n", 1), F.lit(""))
     page = lambda name: F.expr("try_cast(%s as bigint)" % name)
-    fields = records.select(
-        "payload",
+    fields = index.select(
+        "sha1",
+        "size",
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Record-ID", "<urn:page:(-?\\d+)>").alias("id"),
         field("WARC-Refers-To", "<urn:page:(-?\\d+)>").alias("to"),
         field("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("digest"),
         field("Content-Length", "(\\d+)").cast("long").alias("length"),
     )
-    fits = (F.sha1("payload") == F.col("digest")) & (F.octet_length("payload") == F.col("length"))
+    body = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("size"))
+    fits = (F.col("sha1") == F.col("digest")) & (F.col("length") == body)
     return fields.select(
         page("id").alias("page_id"),
-        F.col("length").alias("payload_bytes"),
+        F.col("size").alias("payload_bytes"),
         F.when(fits, F.col("digest")).otherwise(F.raise_error(F.lit("a header does not fit its payload"))).alias(
             "payload_digest"
         ),
@@ -131,4 +161,4 @@ def parsed(records: DataFrame) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "warc")
     write_archive(read_table(spark, sf_dir, "pages"), path)
-    return parsed(read_archive(spark, path))
+    return described(read_index(spark, path))
