@@ -5,7 +5,15 @@ interrupts, with character references decoded and white space collapsed. Each bl
 vector of its tag path (hashed tags, classes, ids and roles of its ancestors), its hashed
 words and a few measures. A bidirectional LSTM, in numpy, reads all blocks of the page in
 both directions and labels each as main text or not; the main blocks are joined by line
-feeds in page order. Scripts, styles, templates and comments are no text at all.
+feeds in page order. Scripts, styles, templates and comments are no text at all; formulas,
+drawings and the contents of embedded objects are text of the block that they stand in.
+
+A page of any nesting and number of blocks takes time in proportion to its length: what a
+block needs of its ancestors (which buckets of the path vector they fill, the last four
+tokens, the depth) is kept up as elements open and close, vectors are made for
+``STEP_CELLS`` blocks at a time, and the network keeps one number for each block. An element
+whose end tag may be left out is looked for among the ``CLOSE_WITHIN`` innermost elements
+that are not inline.
 
 The weights in ``html_labeller.npz`` come from ``html_train.py``: pages made by its
 generator from a fixed seed, so training needs no other data and repeats exactly.
@@ -21,8 +29,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections import Counter
+from collections.abc import Callable, Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +43,19 @@ from leafmill.llm._common import map_batches, read_table
 PATH_SIZE, WORD_SIZE, HIDDEN = 192, 48, 24
 MEASURES = 10
 BATCH_CHARS = 4_000_000
+STEP_CELLS = 20_000
+CLOSE_WITHIN = 64
 WEIGHTS = os.path.join(os.path.dirname(__file__), "html_labeller.npz")
 
 #: Fixed values of HTML: tags that do not interrupt a run of text, tags without an end, tags whose content is no text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr".split()
+    " span strike strong sub sup time tt u var wbr audio canvas iframe math noscript object svg video"
+    " annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt"
+    " mstyle msub msubsup msup mtext munder munderover semantics text tspan".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript svg math object iframe canvas audio video".split())
+SILENT = frozenset("script style template".split())
 #: Fixed values of HTML: a start of the first ends an open element of the second.
 ENDS = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -54,51 +67,146 @@ _NO_P_INSIDE = frozenset(
 _TOKEN = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
-_STOPS = str.maketrans("", "", ".,;:!?")
+_STOPS = ".,;:!?"
+
+
+#: Elements beyond which an optional end tag is not supplied.
+_KEEPS_OPEN = frozenset("ul ol dl table div section article select".split())
 
 
 class Block:
-    __slots__ = ("text", "path", "link_chars", "tags")
+    """A run of text and what its vector needs of the elements around it that are not inline.
+
+    ``path``: a bit for each bucket of their tokens; ``near``: the buckets of the last four tokens.
+    """
+
+    __slots__ = ("text", "path", "near", "tag", "depth", "link_chars")
+
+    def __init__(self, text: str, place: tuple[int, tuple[int, ...], str, int], link_chars: int):
+        self.text, self.link_chars = text, link_chars
+        self.path, self.near, self.tag, self.depth = place
 
-    def __init__(self, text: str, path: tuple[str, ...], tags: tuple[str, ...], link_chars: int):
-        self.text, self.path, self.tags, self.link_chars = text, path, tags, link_chars
 
+#: Where markup begins: a tag, a comment, a CDATA section, or another declaration that ends at the next '>'.
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|(!\[CDATA\[)|[!?/])")
+#: The rest of a start tag; quotes only count behind '='.
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_BARE_END = re.compile(r"""=\s*[^\s"'>][^\s>]*$""")
+_COMMENT_END = re.compile(r"--!?\s*>")
+#: Elements whose content is not parsed.
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style")}
+_PATH_ATTRIBUTES = frozenset(("class", "id", "role", "itemprop"))
+
+
+class _Blocks:
+    """Reads a page once from left to right; markup that is not ended ends the page."""
 
-class _Blocks(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[str] = []
+        self.outer: list[tuple[int, int]] = []  # of each element that is not inline: its place in the stack, its tokens
+        self.trail: list[int] = []  # buckets of all their tokens
+        self.count = [0] * PATH_SIZE
+        self.path = 0
+        self.open: Counter = Counter()
+        self.inline_open: list[Counter] = [Counter()]  # inline elements since each element that is not inline
         self.parts: list[str] = []
         self.blocks: list[Block] = []
         self.silent = self.links = self.link_chars = 0
-        self.place: tuple | None = None
+        self.place: tuple[int, tuple[int, ...], str, int] | None = None
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            stack = self.place or ()
-            self.blocks.append(
-                Block(text, tuple(t for _, tokens in stack for t in tokens), tuple(tag for tag, _ in stack), self.link_chars)
-            )
+        if self.place is not None:
+            self.blocks.append(Block(" ".join("".join(self.parts).split()), self.place, self.link_chars))
         self.parts, self.link_chars, self.place = [], 0, None
 
+    def _push(self, tag: str, attributes: str) -> None:
+        self.open[tag] += 1
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+        self.stack.append(tag)
+        if tag in INLINE:
+            self.inline_open[-1][tag] += 1
+            return
+        tokens = [tag]
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            if (name := name.lower()) in _PATH_ATTRIBUTES:
+                tokens += [f"{name[0]}:{t}" for t in _TOKEN.findall(unescape("".join(values)).lower())]
+        for token in tokens:
+            at = _paths[token]
+            self.trail.append(at)
+            self.count[at] += 1
+            self.path |= 1 << at
+        self.outer.append((len(self.stack) - 1, len(tokens)))
+        self.inline_open.append(Counter())
+
+    def _pop(self) -> None:
+        tag = self.stack.pop()
+        self.open[tag] -= 1
+        self.silent -= tag in SILENT
+        self.links -= tag == "a"
+        if tag in INLINE:
+            self.inline_open[-1][tag] -= 1
+            return
+        for _ in range(self.outer.pop()[1]):
+            at = self.trail.pop()
+            self.count[at] -= 1
+            if not self.count[at]:
+                self.path &= ~(1 << at)
+        self.inline_open.pop()
+
     def _pop_to(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
-            self.silent -= tag in SILENT
-            self.links -= tag == "a"
-        del self.stack[at:]
+        while len(self.stack) > at:
+            self._pop()
 
-    def _close(self, tags: tuple[str, ...], within: int = 6) -> None:
+    def _close(self, tags: tuple[str, ...]) -> None:
         """Close the nearest open element of ``tags``, unless a list, table or section stands between."""
-        for at in range(len(self.stack) - 1, max(-1, len(self.stack) - 1 - within), -1):
-            tag = self.stack[at][0]
-            if tag in tags:
-                self._pop_to(at)
-                return
-            if tag in ("ul", "ol", "dl", "table", "div", "section", "article", "select"):
-                return
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if any(self.open[t] for t in tags):
+            for at, _ in self.outer[: -CLOSE_WITHIN - 1 : -1]:
+                if self.stack[at] in tags:
+                    self._pop_to(at)
+                    return
+                if self.stack[at] in _KEEPS_OPEN:
+                    return
+
+    def read(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            mark = _MARKUP.search(html, at)
+            stop = mark.start() if mark else len(html)
+            if stop > at:
+                self.data(unescape(html[at:stop]))
+            if not mark:
+                break
+            at = self._markup(html, mark)
+        self.flush()
+
+    def _markup(self, html: str, mark: re.Match) -> int:
+        """Handle what begins at ``mark``; returns where it ends."""
+        at, tag = mark.end(), (mark[2] or "").lower()
+        if tag and not mark[1]:
+            rest = _REST.match(html, at)
+            if not rest:
+                return len(html)
+            self.start(tag, rest[1])
+            if rest[1].endswith("/") and not _BARE_END.search(rest[1]):
+                if tag not in VOID:
+                    self.end(tag)
+            elif tag in _RAW_END:
+                raw_end = _RAW_END[tag].search(html, rest.end())
+                return raw_end.start() if raw_end else len(html)
+            return rest.end()
+        if mark[3]:
+            end = _COMMENT_END.search(html, mark.start() + 2)
+            return end.end() if end else len(html)
+        if mark[4] and (end := html.find("]]>", at)) >= 0:
+            return end + 3
+        end = html.find(">", at - (not tag))
+        if tag and end >= 0:
+            self.end(tag)
+        return end + 1 if end >= 0 else len(html)
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self.flush()
             if tag in ENDS:
@@ -107,90 +215,77 @@ class _Blocks(HTMLParser):
                 self._close(("p",))
         elif tag == "br":
             self.parts.append(" ")
-        if tag in VOID:
-            return
-        tokens = [tag]
-        for name, value in attrs:
-            if value and name in ("class", "id", "role", "itemprop"):
-                tokens += [f"{name[0]}:{t}" for t in _TOKEN.findall(value.lower())]
-        self.stack.append((tag, tuple(tokens)))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.handle_endtag(tag)
+            self._push(tag, attributes)
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
+        """Close the nearest such element; an inline one only if none that is not inline stands between."""
         if tag not in INLINE:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self._pop_to(at)
-                return
-            if tag in INLINE and self.stack[at][0] not in INLINE:
-                return
-
-    def handle_data(self, data: str) -> None:
+        elif not self.inline_open[-1][tag]:
+            return
+        if self.open[tag]:
+            while self.stack[-1] != tag:
+                self._pop()
+            self._pop()
+
+    def data(self, data: str) -> None:
         if self.silent:
             return
         if self.place is None and not data.isspace():
-            self.place = tuple(x for x in self.stack if x[0] not in INLINE)
+            tag = self.stack[self.outer[-1][0]] if self.outer else ""
+            self.place = self.path, tuple(self.trail[-4:]), tag, len(self.outer)
         if self.links:
             self.link_chars += len(data)
         self.parts.append(data)
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.blocks
+    reader = _Blocks()
+    reader.read(html or "")
+    return reader.blocks
+
+
+class _Buckets(dict):
+    """Token to one of ``size`` buckets; starts again empty beyond 300,000 tokens."""
 
+    def __init__(self, size: int):
+        self.size = size
 
-def _bucket(token: str, size: int, known: dict[str, int]) -> int:
-    at = known.get(token)
-    if at is None:
-        known[token] = at = zlib.crc32(token.encode("utf-8", "replace")) % size
-    return at
+    def __missing__(self, token: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = at = zlib.crc32(token.encode("utf-8", "replace")) % self.size
+        return at
 
 
-_paths: dict[str, int] = {}
-_words: dict[str, int] = {}
+_paths, _words = _Buckets(PATH_SIZE), _Buckets(WORD_SIZE)
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """(blocks, PATH_SIZE + WORD_SIZE + MEASURES) in float32."""
-    for known in (_paths, _words):
-        if len(known) > 300_000:
-            known.clear()
     out = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + MEASURES), np.float32)
+    paths = np.frombuffer(b"".join([b.path.to_bytes(PATH_SIZE // 8, "little") for b in blocks]), np.uint8)
+    out[:, :PATH_SIZE] = 0.7 * np.unpackbits(paths.reshape(-1, PATH_SIZE // 8), axis=1, bitorder="little")
+    out[np.repeat(np.arange(len(blocks)), [len(b.near) for b in blocks]), [at for b in blocks for at in b.near]] = 1
     for row, b in zip(out, blocks, strict=True):
-        for depth, token in enumerate(reversed(b.path)):
-            at = _bucket(token, PATH_SIZE, _paths)
-            row[at] = max(row[at], 1.0 if depth < 4 else 0.7)
         words = _WORD.findall(b.text.lower())
-        for w in words:
-            if w not in _words:
-                _bucket(w, WORD_SIZE, _words)
         places = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
         counts = np.bincount(places, minlength=WORD_SIZE)
         row[PATH_SIZE : PATH_SIZE + WORD_SIZE] = counts / np.sqrt((counts * counts).sum() or 1.0)
         n, text = len(b.text), b.text
-        last = b.tags[-1] if b.tags else ""
+        last = b.tag
         row[PATH_SIZE + WORD_SIZE :] = (
             np.log1p(len(words)) / 5,
             np.log1p(n) / 7,
             min(1.0, b.link_chars / n),
-            (n - len(text.translate(_STOPS))) / max(1, len(words)),
+            sum(map(text.count, _STOPS)) / max(1, len(words)),
             text[-1] in ".!?…\"'”»",
             _DIGIT.search(text) is not None,
             last == "p",
             last in ("h1", "h2", "h3", "h4", "h5", "h6"),
             last in ("li", "dt", "dd", "td", "th"),
-            len(b.tags) / 10,
+            b.depth / 10,
         )
     return out
 
@@ -199,53 +294,63 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, live: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """States of one direction over x (time, batch, inputs); ``live`` (time, batch, 1) masks padding.
+def cell(z: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gates i, f, o and g, the new state and its tangent, from the gates' inputs and the state."""
+    size = c.shape[-1]
+    gates = _sigmoid(z[..., : 3 * size])
+    i, f, o = gates[..., :size], gates[..., size : 2 * size], gates[..., 2 * size :]
+    g = np.tanh(z[..., 3 * size :])
+    new = f * c + i * g
+    return i, f, o, g, new, np.tanh(new)
 
-    With ``keep`` also what training needs of each step.
+
+def scores(pages: list, weights: dict[str, np.ndarray], rows: Callable = lambda page, a, b: page[a:b]) -> list[np.ndarray]:
+    """For each page the probability of every block to be main text.
+
+    ``rows(page, a, b)`` are the vectors of its blocks a to b. Pages of like length are read
+    together, in both directions at once, ``STEP_CELLS`` blocks at a time.
     """
-    steps, batch, _ = x.shape
-    size = u.shape[0]
-    h, c = np.zeros((batch, size), x.dtype), np.zeros((batch, size), x.dtype)
-    given = x @ w + b
-    out, kept = np.empty((steps, batch, size), x.dtype), []
-    for t in range(steps):
-        z = given[t] + h @ u
-        gates = _sigmoid(z[:, : 3 * size])
-        i, f, o = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :]
-        g = np.tanh(z[:, 3 * size :])
-        new_c = f * c + i * g
-        tanh_c = np.tanh(new_c)
-        m = live[t]
-        if keep:
-            kept.append((h, c, i, f, o, g, tanh_c))
-        h, c = m * (o * tanh_c) + (1 - m) * h, m * new_c + (1 - m) * c
-        out[t] = h
-    return out, kept
-
-
-def scores(pages: list[np.ndarray], weights: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """For each page the probability of every block to be main text."""
     out: list[np.ndarray] = [np.empty(0, np.float32)] * len(pages)
     order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+    w, u, b = (np.stack([weights[k + "f"], weights[k + "b"]]) for k in "wub")
+    wo = weights["wo"].reshape(2, -1, 1)
     at = 0
     while at < len(order):
         part: list[int] = []
-        while at < len(order) and len(part) < 256 and (not part or len(pages[order[at]]) * (len(part) + 1) <= 20_000):
+        while at < len(order) and len(part) < 256 and (not part or len(pages[order[at]]) * (len(part) + 1) <= STEP_CELLS):
             part.append(order[at])
             at += 1
-        steps = len(pages[part[-1]])
-        x = np.zeros((steps, len(part), pages[part[0]].shape[1]), np.float32)
-        live = np.zeros((steps, len(part), 1), np.float32)
-        for k, i in enumerate(part):
-            x[: len(pages[i]), k] = pages[i]
-            live[: len(pages[i]), k] = 1
-        forth, _ = lstm(x, weights["wf"], weights["uf"], weights["bf"], live)
-        back, _ = lstm(x[::-1], weights["wb"], weights["ub"], weights["bb"], live[::-1])
-        both = np.concatenate([forth, back[::-1]], axis=2)
-        p = _sigmoid(both @ weights["wo"] + weights["bo"])[:, :, 0]
+        length = np.array([len(pages[i]) for i in part])
+        steps = int(length[-1])
+
+        def given(a: int, z: int, part=part) -> np.ndarray:
+            x = np.zeros((z - a, len(part), w.shape[1]), np.float32)
+            for k, i in enumerate(part):
+                n = min(z, len(pages[i])) - a
+                if n > 0:
+                    x[:n, k] = rows(pages[i], a, a + n)
+            return x
+
+        h = c = np.zeros((2, len(part), u.shape[1]), np.float32)
+        total = np.full((steps, len(part)), weights["bo"], np.float32)
+        each = max(1, STEP_CELLS // len(part))
+        for a in range(0, steps, each):
+            n = min(each, steps - a)
+            ahead = given(a, a + n)
+            behind = ahead if n == steps else given(steps - a - n, steps - a)
+            z = np.stack([ahead @ w[0] + b[0], behind[::-1] @ w[1] + b[1]], axis=1)
+            time = np.arange(a, a + n)
+            live = (np.stack([time, steps - 1 - time], axis=1)[:, :, None] < length)[..., None].astype(np.float32)
+            state = np.empty((n, *h.shape), np.float32)
+            for t in range(n):
+                _, _, o, _, new, tangent = cell(z[t] + h @ u, c)
+                h, c = live[t] * (o * tangent) + (1 - live[t]) * h, live[t] * new + (1 - live[t]) * c
+                state[t] = h
+            said = (state @ wo)[..., 0]
+            total[a : a + n] += said[:, 0]
+            total[steps - a - n : steps - a] += said[::-1, 1]
         for k, i in enumerate(part):
-            out[i] = p[: len(pages[i]), k]
+            out[i] = _sigmoid(total[: len(pages[i]), k])
     return out
 
 
@@ -266,7 +371,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
     size = 0
 
     def label() -> None:
-        for blocks, p in zip(part, scores([vectors(b) for b in part], weights()), strict=True):
+        for blocks, p in zip(part, scores(part, weights(), lambda page, a, b: vectors(page[a:b])), strict=True):
             out.append("\n".join(b.text for b, q in zip(blocks, p, strict=True) if q >= 0.5))
         part.clear()
 

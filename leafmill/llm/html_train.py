@@ -13,7 +13,7 @@ import sys
 
 import numpy as np
 
-from leafmill.llm.html_extract import HIDDEN, MEASURES, PATH_SIZE, WEIGHTS, WORD_SIZE, blocks_of, lstm, scores, vectors
+from leafmill.llm.html_extract import HIDDEN, MEASURES, PATH_SIZE, WEIGHTS, WORD_SIZE, blocks_of, cell, scores, vectors
 
 MAIN, OTHER = "\ue001", "\ue000"
 #: Syllables and common words for invented prose in four languages.
@@ -236,6 +236,18 @@ def example(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     return vectors(kept), np.array(labels, np.float32)
 
 
+def forward(x, w, u, b, live):
+    """States of one direction over x (time, batch, inputs), and what ``backward`` needs; ``live`` masks padding."""
+    h = c = np.zeros((x.shape[1], u.shape[0]), x.dtype)
+    given, out, kept = x @ w + b, [], []
+    for t in range(len(x)):
+        i, f, o, g, new_c, tanh_c = cell(given[t] + h @ u, c)
+        kept.append((h, c, i, f, o, g, tanh_c))
+        h, c = live[t] * (o * tanh_c) + (1 - live[t]) * h, live[t] * new_c + (1 - live[t]) * c
+        out.append(h)
+    return np.stack(out), kept
+
+
 def backward(x, w, u, kept, live, d_out):
     """Gradients of one direction for d_out = d loss / d states."""
     steps, batch, _ = x.shape
@@ -283,8 +295,8 @@ def train(n_pages: int = 3000, epochs: int = 5, seed: int = 9) -> dict[str, np.n
                 x[:n, k], y[:n, k, 0], live[:n, k] = pages[i][0], pages[i][1], 1
             drop = (rng.random((1, len(part), PATH_SIZE)) > 0.05).astype(np.float32)
             x[:, :, :PATH_SIZE] *= drop
-            hf, kf = lstm(x, q["wf"], q["uf"], q["bf"], live, True)
-            hb, kb = lstm(x[::-1], q["wb"], q["ub"], q["bb"], live[::-1], True)
+            hf, kf = forward(x, q["wf"], q["uf"], q["bf"], live)
+            hb, kb = forward(x[::-1], q["wb"], q["ub"], q["bb"], live[::-1])
             both = np.concatenate([hf, hb[::-1]], axis=2)
             p = 1 / (1 + np.exp(-(both @ q["wo"] + q["bo"])))
             n = live.sum()
