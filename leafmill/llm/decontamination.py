@@ -1,16 +1,20 @@
 """Benchmark decontamination by greedy string tiling (operator 1).
 
-Words are the lower-cased runs of letters, digits and underscores. Every document is
-searched for seeds, runs of ``MIN_TILE`` words that a benchmark item has too, with a
-Karp-Rabin hash of each run against a table of the items' runs. For an item that shares
-seeds, tiling marks the longest match of words that are free on both sides, again and
-again, each word once, until no match of ``MIN_TILE`` words is left; matches are compared
-word by word. A document is contaminated by an item when tiles cover at least ``COVERAGE``
-of the item's words, in any order and at any distance.
+Words are the lower-cased runs of letters, digits and underscores, told by 64 bits of hash.
+Every document is searched for seeds, runs of ``MIN_TILE`` words that a benchmark item has
+too, with a Karp-Rabin hash of each run against a table of the items' runs. The seeds that a
+document shares are counted once each, however often they come up; items of which they cover
+too little are out. For the others, tiling finds the length of the longest run that is free
+on both sides by Karp-Rabin hashes of prefix sums and bisection, marks all matches of that
+length (the earliest place in the item first, then in the document) and goes on until no
+match of ``MIN_TILE`` words is left. Pairs of places are never listed, so a word that is
+repeated a thousand times costs no more than others. A document is contaminated by an item
+when tiles cover at least ``COVERAGE`` of the item's words, in any order and at any distance.
 
 The benchmark is a stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of
 text, each broadcast once, and every block meets all documents where they are, without a
-shuffle; documents are never paired with each other.
+shuffle: one pass over the documents for each ``BLOCK_BYTES`` of benchmark. Documents are
+never paired with each other.
 
 Defined results: null or empty texts and items share nothing; items of fewer words than
 a tile match as a whole; repeated rows (documents or items) give a pair each; empty tables
@@ -19,7 +23,6 @@ give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -35,7 +38,8 @@ MIN_TILE = 5
 COVERAGE = 0.5
 BLOCK_BYTES = 16 * 1024 * 1024
 BASE = 0x9E3779B97F4A7C15
-FILTER_BITS = 20
+#: Bits of the filter of seeds for each seed, and at least.
+FILTER_BITS_PER_SEED, MIN_FILTER_BITS = 16, 16
 
 _WORD = re.compile(r"\w+")
 
@@ -68,6 +72,30 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Seeds:
+    """The runs of ``n`` words of some items, sorted by hash, with a filter of their leading bits."""
+
+    def __init__(self, runs: list[np.ndarray], items: list[int]):
+        hashes = np.concatenate(runs)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item = np.repeat(np.array(items), [len(r) for r in runs])[order]
+        self.place = np.concatenate([np.arange(len(r)) for r in runs])[order]
+        bits = max(MIN_FILTER_BITS, (FILTER_BITS_PER_SEED * len(hashes) - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        marks = np.zeros(1 << bits, np.bool_)
+        marks[hashes >> self.shift] = True
+        self.marks = np.packbits(marks, bitorder="little")
+
+    def shared(self, runs: np.ndarray) -> np.ndarray:
+        """The numbers of all seeds that are among ``runs``."""
+        slot = (runs >> self.shift).astype(np.int64)
+        known = np.unique(runs[(self.marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(np.bool_)])
+        low = np.searchsorted(self.hashes, known, "left")
+        n = np.searchsorted(self.hashes, known, "right") - low
+        return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Index:
     """The seeds of a block of items (item_id, text)."""
 
@@ -75,68 +103,92 @@ class Index:
         known = _WordHashes()
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(t, known) for _, t in items]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         self.tile = [min(min_tile, len(w)) for w in self.words]
+        self.by_length: dict[int, Seeds] = {}
         for n in sorted(set(self.tile) - {0}):
             of = [k for k, t in enumerate(self.tile) if t == n]
-            runs = [rolling(self.words[k], n) for k in of]
-            seed = np.concatenate(runs)
-            item = np.repeat(np.array(of), [len(r) for r in runs])
-            place = np.concatenate([np.arange(len(r)) for r in runs])
-            order = np.argsort(seed, kind="stable")
-            bits = np.zeros(1 << FILTER_BITS, np.bool_)
-            bits[seed >> np.uint64(64 - FILTER_BITS)] = True
-            self.by_length[n] = seed[order], item[order], place[order], bits
-
-    def seeds(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Item to (place in the document, place in the item) of every shared run."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for n, (seed, item, place, bits) in self.by_length.items():
-            runs = rolling(words, n)
-            at = np.flatnonzero(bits[runs >> np.uint64(64 - FILTER_BITS)])
-            if not len(at):
-                continue
-            low = np.searchsorted(seed, runs[at], "left")
-            high = np.searchsorted(seed, runs[at], "right")
-            for d, a, b in zip(at[high > low], low[high > low], high[high > low], strict=True):
-                for k in range(a, b):
-                    found.setdefault(int(item[k]), []).append((int(d), int(place[k])))
+            self.by_length[n] = Seeds([rolling(self.words[k], n) for k in of], of)
+
+    def reached(self, words: np.ndarray) -> dict[int, int]:
+        """Item to how many of its words lie in runs that ``words`` has too."""
+        found: dict[int, int] = {}
+        for n, seeds in self.by_length.items():
+            hits = seeds.shared(rolling(words, n))
+            if len(hits):
+                item, place = seeds.item[hits], seeds.place[hits]
+                order = np.lexsort((place, item))
+                item, place = item[order], place[order]
+                first = np.flatnonzero(np.diff(item, prepend=-1))
+                new = np.minimum(np.diff(place, append=0), n)
+                new[np.append(first[1:], len(item)) - 1] = n
+                found |= zip(item[first].tolist(), np.add.reduceat(new, first).tolist(), strict=True)
         return found
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
+class _Side:
+    """One side of a tiling: words, which of them are free, and hashes of free runs of any length."""
+
+    def __init__(self, words: np.ndarray, free: np.ndarray, powers: np.ndarray):
+        self.words, self.free, self.powers = words, free, powers
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)])])
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the free runs of ``length`` words, in order."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[length:] == taken[:-length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.powers[len(self.powers) - 1 - at]
+
+    def longest_free(self) -> int:
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], self.free, [False]])))
+        return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+def _longest_common(a: _Side, b: _Side, least: int) -> int:
+    """The length of the longest free run of both; 0 if none has ``least`` words."""
+    most = min(a.longest_free(), b.longest_free())
+    common = lambda n: n <= most and bool(np.isin(a.runs(n)[1], b.runs(n)[1]).any())
+    if not common(least):
+        return 0
+    low, step = least, 1
+    while common(low + step):
+        low, step = low + step, 2 * step
+    while step > 1:
+        step //= 2
+        if common(low + step):
+            low += step
+    return low
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in doc, place in item, length) of tiles of at least ``n`` words."""
-    diagonals: dict[int, list[int]] = {}
-    for d, i in sorted(seeds):
-        diagonals.setdefault(d - i, []).append(d)
-    heap = []
-    for shift, starts in diagonals.items():
-        first = last = starts[0]
-        for d in [*starts[1:], None]:
-            if d is not None and d == last + 1:
-                last = d
-                continue
-            length = last - first + n
-            if np.array_equal(doc[first : first + length], item[first - shift : first - shift + length]):
-                heap.append((-length, first - shift, first))
-            if d is not None:
-                first = last = d
-    heapq.heapify(heap)
-    doc_free, item_free = np.ones(len(doc), np.bool_), np.ones(len(item), np.bool_)
-    left, found = len(item), []
-    while heap and left >= n:
-        length, i, d = heapq.heappop(heap)
-        length = -length
-        free = doc_free[d : d + length] & item_free[i : i + length]
-        if free.all():
-            doc_free[d : d + length] = item_free[i : i + length] = False
-            left -= length
-            found.append((d, i, length))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            if b - a >= n:
-                heapq.heappush(heap, (-int(b - a), i + int(a), d + int(a)))
+    shared = np.zeros(len(doc) + 1, np.int64)
+    at = np.flatnonzero(np.isin(rolling(doc, n), rolling(item, n)))
+    np.add.at(shared, at, 1)
+    np.add.at(shared, at + n, -1)
+    inside = np.cumsum(shared)[:-1] > 0
+    kept = np.flatnonzero(inside | np.concatenate([[False], inside[:-1]]))  # a word behind each stretch keeps them apart
+    powers = np.full(max(len(kept), len(item)) + 1, BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    ours = _Side(doc[kept], inside[kept], powers)
+    theirs = _Side(item, np.ones(len(item), np.bool_), powers)
+    found: list[tuple[int, int, int]] = []
+    while length := _longest_common(ours, theirs, n):
+        waiting: dict[int, list[int]] = {}
+        places, hashes = ours.runs(length)
+        same = np.isin(hashes, theirs.runs(length)[1])
+        for d, h in zip(places[same][::-1].tolist(), hashes[same][::-1].tolist(), strict=True):
+            waiting.setdefault(h, []).append(d)
+        before = len(found)
+        for i, h in zip(*(x.tolist() for x in theirs.runs(length)), strict=True):
+            # Of equally long runs those that meet a marked one have a marked end.
+            while theirs.free[i] and theirs.free[i + length - 1] and waiting.get(h):
+                d = waiting[h].pop()
+                if ours.free[d] and ours.free[d + length - 1] and np.array_equal(ours.words[d : d + length], item[i : i + length]):
+                    ours.free[d : d + length] = theirs.free[i : i + length] = False
+                    found.append((int(kept[d]), i, length))
+        if len(found) == before:  # hashes of runs met, their words did not
+            break
     return found
 
 
@@ -144,15 +196,11 @@ def matches(text: str | None, index: Index, known: _WordHashes, coverage: float)
     """(item's number, words of the item, words covered, tiles) of every item that covers enough."""
     words = word_hashes(text, known)
     out = []
-    for k, seeds in sorted(index.seeds(words).items()):
-        size, n = len(index.words[k]), index.tile[k]
-        reach = np.zeros(size + 1, np.int64)
-        for i in {i for _, i in seeds}:
-            reach[i] += 1
-            reach[i + n] -= 1
-        if np.count_nonzero(np.cumsum(reach)) < coverage * size:
+    for k, reach in sorted(index.reached(words).items()):
+        size = len(index.words[k])
+        if reach < coverage * size:
             continue
-        got = tiles(words, index.words[k], seeds, n)
+        got = tiles(words, index.words[k], index.tile[k])
         covered = sum(t[2] for t in got)
         if covered >= coverage * size:
             out.append((k, size, covered, len(got)))

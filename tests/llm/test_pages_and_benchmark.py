@@ -63,6 +63,39 @@ def test_tiling_against_brute_force(seed):
             assert got.get(k) == (want if want >= 0.5 * len(words_i) else None)
 
 
+def test_repetitive_texts_take_little(spark):
+    """Repeated words and periods: no list of pairs of places, and the tiles that the rule gives."""
+    began = time.process_time()
+    known, index = decontamination._WordHashes(), decontamination.Index([(0, "word " * 5000), (1, "a b c " * 1500), (2, "a b c d e f g")])
+    assert decontamination.matches("word " * 50_000, index, known, 0.5) == [(0, 5000, 5000, 1)]
+    assert decontamination.matches("word " * 3000, index, known, 0.5) == [(0, 5000, 3000, 1)]
+    assert decontamination.matches("a b c " * 20_000, index, known, 0.5) == [(1, 4500, 4500, 1)]
+    assert decontamination.matches(("word " * 30 + "x ") * 1000, index, known, 0.5) == [(0, 5000, 5000, 167)]  # 166 of 30 words and one of 20
+    assert time.process_time() - began < 60
+
+
+def test_several_blocks_and_odd_rows(spark, odd_docs, monkeypatch):
+    """Pairs by the brute-force tiling, whatever the number of blocks."""
+    items = [(k, t) for k, t in enumerate(["one two three four five six", "six seven eight nine ten", "", None, "one", "x y z " * 9])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "one two three four five six"), (2, "zero one"), (3, "x y z " * 40), (None, "ten nine eight"), (5, "six seven eight nine ten, six SEVEN"), (5, "six seven eight nine ten, six SEVEN")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    want = Counter()
+    for r in docs.collect():
+        words = re.findall(r"\w+", (r["text"] or "").lower())
+        for k, t in items:
+            item = re.findall(r"\w+", (t or "").lower())
+            if item and len(words) < 500:
+                covered = plain_coverage(words, item, min(5, len(item)))
+                if 2 * covered >= len(item):
+                    want[r["doc_id"], k, covered] += 1
+    for size in (16 * 1024 * 1024, 30):
+        monkeypatch.setattr(decontamination.blocks, "__defaults__", (size,))
+        got = decontamination.contaminated_pairs(docs, bench).collect()
+        long = {r["doc_id"] for r in docs.collect() if len((r["text"] or "").split()) >= 500}
+        assert Counter((r["doc_id"], r["item_id"], r["n_covered_words"]) for r in got if r["doc_id"] not in long) == Counter({k: v for k, v in want.items() if k[0] not in long})
+
+
 def test_reordered_passages_are_caught(spark):
     item = "the quick brown fox jumps over a lazy dog while seven wizards mix strange potions at midnight"
     w = item.split()
