@@ -289,9 +289,13 @@ def input_kind(text: Column) -> Column:
     )
 
 
+#: A retrieval token of a lower-cased text: a run of a-z, or one Han character (no word list is at hand).
+TOKEN = "[a-z]+|[一-鿿]"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of a-z."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda x: x != "")
+    """Lower-cased runs of a-z, and every Han character on its own."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def token_count(text: Column) -> Column:

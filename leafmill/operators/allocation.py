@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import NUMERALS, numeral_value, strip
-from leafmill.storage import broadcast_if_small
+from leafmill.operators.dedup import first_wins
+from leafmill.storage import broadcast_blocks, materialize
 
 #: Least score of a keyword match, and the borders of the confidence classes.
 MIN_OVERLAP, HIGH, MEDIUM = 0.2, 0.8, 0.5
@@ -16,7 +19,7 @@ MIN_OVERLAP, HIGH, MEDIUM = 0.2, 0.8, 0.5
 def lookup_by_ids(requests: DataFrame, records: DataFrame, request: str = "request_id", ids: str = "ids", key: str = "id", ord_col: str = "ord") -> DataFrame:
     """Records for each id of an array, in the array's order; repeats stay, unknown ids go, the last record of an id wins."""
     value = [c for c in records.columns if c != key]
-    last = records.groupBy(key).agg(F.max_by(F.struct(*value), ord_col).alias("r"))
+    last = materialize(records.groupBy(key).agg(F.max_by(F.struct(*value), ord_col).alias("r")), "last")
     return (
         requests.select(request, F.posexplode(ids).alias("pos", key)).join(last, key).select(request, "pos", key, "r.*")
     )
@@ -40,6 +43,11 @@ def positional_join(sections: DataFrame, allocations: DataFrame) -> DataFrame:
     )
 
 
+def _against(df: DataFrame, outline: DataFrame) -> DataFrame:
+    """Every row with every row of an outline, which is sent to all tasks, in parts where it is large."""
+    return reduce(DataFrame.unionByName, [df.crossJoin(part) for part in broadcast_blocks(outline)])
+
+
 def _keywords(title: Column) -> Column:
     """Maximal runs of Han characters, the enumeration comma deleted."""
     return F.array_distinct(F.regexp_extract_all(F.replace(title, F.lit("、"), F.lit("")), F.lit("[一-鿿]+"), F.lit(0)))
@@ -86,7 +94,7 @@ def match_sections(charts: DataFrame, sections: DataFrame, chart: str = "chart_i
         .when(share > MIN_OVERLAP, 4)
     )
     scored = (
-        own.crossJoin(broadcast_if_small(titles))
+        _against(own, titles)
         .withColumn("rule", rule)
         .withColumn("share", F.when(F.col("rule") == 4, share).otherwise(0.0))
         .where("rule is not null")
@@ -102,7 +110,7 @@ def match_sections(charts: DataFrame, sections: DataFrame, chart: str = "chart_i
 def match_sections_loosely(titles: DataFrame, keys: DataFrame) -> DataFrame:
     """(title, key) where the title contains the key, or any of the numerals one to six with '、'."""
     hit = F.contains("title", F.col("key")) | F.rlike("title", F.lit(f"[{NUMERALS[:6]}]、"))
-    return titles.join(broadcast_if_small(keys), hit)
+    return _against(titles, keys).where(hit)
 
 
 def overlap_score(words: Column, of: Column) -> Column:
@@ -116,7 +124,7 @@ def allocate(items: DataFrame, sections: DataFrame, score: Column, item: str = "
     ``items`` and ``sections`` have what ``score`` reads. Sections are an outline: few, and
     sent to every task; the arg-max is taken before the shuffle.
     """
-    scored = items.crossJoin(broadcast_if_small(sections)).select(item, "section_index", score.alias("s"))
+    scored = _against(items, sections).select(item, "section_index", score.alias("s"))
     best = scored.groupBy(item).agg(F.max(F.struct("s", (-F.col("section_index")).alias("i"))).alias("b"))
     return best.select(
         item,
@@ -128,18 +136,41 @@ def allocate(items: DataFrame, sections: DataFrame, score: Column, item: str = "
 def allocate_by_overlap(items: DataFrame, sections: DataFrame, item: str = "data_id") -> DataFrame:
     """``allocate`` with the share of a section's distinct words (``of``) that the item's ``words`` have.
 
-    An equi-join of words: only sections that share one with an item are scored, counts are
-    combined where the item is read, and the sections' words are broadcast if they are few.
+    ``item`` tells rows apart. The outline's words get numbers; an item's words are looked up
+    where it is read and only the numbers of those that the outline has are gathered again, one
+    short array an item. Its sections are counted and the best one is found inside the row. An
+    outline that is too large to be sent to every task is joined by words instead.
     """
-    wanted = sections.select(
-        "section_index", F.size("of").alias("size"), F.explode(F.array_distinct("of")).alias("word")
+    wanted = materialize(
+        sections.select("section_index", F.size("of").alias("size"), F.explode(F.array_distinct("of")).alias("word")), "outline"
     )
-    shared = (
-        items.select(item, F.explode(F.array_distinct("words")).alias("word"))
-        .join(broadcast_if_small(wanted), "word")
-        .groupBy(item, "section_index", "size")
-        .agg(F.count("*").alias("n"))
+    words = items.select(item, F.explode_outer(F.array_distinct("words")).alias("word"))
+    if len(broadcast_blocks(wanted)) > 1:
+        return _allocated_by_words(items, words.where("word is not null"), wanted, item)
+    known = wanted.groupBy("word").agg(F.collect_list(F.struct("section_index", "size")).alias("of"))
+    listed = known.agg(F.array_sort(F.collect_list(F.struct("word", "of"))).alias("all"))
+    numbers = listed.select(F.posexplode("all").alias("no", "x")).select("no", "x.word")
+    found = words.join(F.broadcast(numbers), "word", "left").groupBy(item).agg(F.collect_list("no").alias("nos"))
+    hits = F.flatten(F.transform("nos", lambda n: F.get("all", n)["of"]))
+    best = F.transform(
+        F.array(hits),
+        lambda h: F.array_max(
+            F.transform(
+                F.array_distinct(h),
+                lambda x: F.struct((F.size(F.filter(h, lambda y: y == x)) / x["size"]).alias("s"), (-x["section_index"]).alias("i")),
+            )
+        ),
+    )[0]
+    chosen = found.join(F.broadcast(listed)).select(item, best.alias("b"))
+    return chosen.select(
+        item,
+        F.coalesce(-F.col("b.i"), F.lit(-1)).cast("int").alias("section_index"),
+        F.coalesce("b.s", F.lit(0.0)).alias("confidence"),
     )
+
+
+def _allocated_by_words(items: DataFrame, words: DataFrame, wanted: DataFrame, item: str) -> DataFrame:
+    shared = words.join(wanted, "word").groupBy(item, "section_index", "size").agg(F.count("*").alias("n"))
     best = shared.groupBy(item).agg(
         F.max(F.struct((F.col("n") / F.col("size")).alias("s"), (-F.col("section_index")).alias("i"))).alias("b")
     )
@@ -191,17 +222,22 @@ def coverage(allocated: DataFrame) -> DataFrame:
     )
 
 
-def back_join(raw: DataFrame, assessed: DataFrame, key: str = "url", ord_col: str = "ord") -> DataFrame:
-    """Raw rows whose key has a good assessment, with the first such assessment; rows share it by key."""
-    good = assessed.where("is_high_quality").groupBy(key).agg(F.min_by("reason", ord_col).alias("reason"))
+def back_join(raw: DataFrame, assessed: DataFrame, key: str = "url", ord_col: str = "ord", fall_back: bool = True) -> DataFrame:
+    """Raw rows whose key has a good assessment, with the first such assessment; rows share it by key.
+
+    Where no assessment at all is good, every raw row stays with a null reason, unless ``fall_back`` is false.
+    """
+    good = materialize(
+        assessed.where("is_high_quality").groupBy(key).agg(F.min_by("reason", ord_col).alias("reason")), "good"
+    )
+    if fall_back and good.isEmpty():
+        return raw.withColumn("reason", F.lit(None).cast("string"))
     return raw.join(good, key)
 
 
 def unseen(hits: DataFrame, seen: DataFrame, key: str = "url", ord_col: str = "ord") -> DataFrame:
     """Hits whose key was not seen before, neither in ``seen`` nor earlier in ``hits``."""
-    left = hits.join(seen.select(key), key, "left_anti")
-    first = left.groupBy(key).agg(F.min(ord_col).alias(ord_col))
-    return left.join(first, [key, ord_col], "left_semi")
+    return first_wins(hits.join(seen.select(key), key, "left_anti").where(F.col(key).isNotNull()), F.col(key), ord_col)
 
 
 def first_successful_try(tries: DataFrame, group: str = "section_id", ord_col: str = "try_no") -> DataFrame:

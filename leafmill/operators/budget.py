@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from leafmill.operators.dedup import first_wins
+
 
 def prefix_within(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int, base: int = 0) -> DataFrame:
     """Items until the first that overflows: base + running sum of (non-negative) costs stays within the budget."""
@@ -101,8 +103,14 @@ def greedy_batches_base(df: DataFrame, group: list[str], ord_col: str, cost: str
     return _streamed(df, group, ord_col, cost, begin, pa.int64(), "batch")
 
 
-def fill_skipping(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int) -> DataFrame:
-    """Items that still fit when they come up; one that does not is skipped and the next tried."""
+def fill_skipping(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int, id_col: str | None = None) -> DataFrame:
+    """Items that still fit when they come up; one that does not is skipped and the next tried.
+
+    With ``id_col``, an id counts once in each group: rows of one id are alike, and as what is
+    used only grows, one that did not fit never fits later, so only the first of them is tried.
+    """
+    if id_col:
+        df = first_wins(df, [*(F.col(c) for c in group), F.col(id_col)], ord_col)
 
     def begin():
         used = 0

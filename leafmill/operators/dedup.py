@@ -10,11 +10,14 @@ from leafmill.storage import materialize
 
 
 def first_wins(df: DataFrame, key: Column | list[Column], ord_col: str) -> DataFrame:
-    """Of rows with equal keys the one with the least ``ord_col``; keys are combined before the shuffle."""
+    """Of rows with equal keys the one with the least ``ord_col``.
+
+    One scan; rows are combined in each task before the shuffle, which has one for each key and task.
+    """
     keys = key if isinstance(key, list) else [key]
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    best = df.select(*named, ord_col).groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.min(ord_col).alias(ord_col))
-    return df.join(best.select(ord_col), ord_col, "left_semi")
+    row = F.struct(*df.columns)
+    best = df.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(row, ord_col).alias("_row"))
+    return best.select("_row.*")
 
 
 def array_key(ids: Column) -> Column:
@@ -46,8 +49,9 @@ def url_or_content(df: DataFrame, url: str, content: str, ord_col: str) -> DataF
     open_rows = materialize(df.select(F.col(ord_col).alias("o"), F.col(url).alias("u"), F.col(content).alias("c")), "open")
     kept = None
     while not open_rows.isEmpty():
-        by_u = open_rows.where("u is not null").groupBy("u").agg(F.min("o").alias("mu"))
-        by_c = open_rows.where("c is not null").groupBy("c").agg(F.min("o").alias("mc"))
+        # Written before they are joined back: both sides of a join are then plain exchanges, whose hot keys Spark splits.
+        by_u = materialize(open_rows.where("u is not null").groupBy("u").agg(F.min("o").alias("mu")), "by_u")
+        by_c = materialize(open_rows.where("c is not null").groupBy("c").agg(F.min("o").alias("mc")), "by_c")
         winners = materialize(
             open_rows.join(by_u, "u", "left")
             .join(by_c, "c", "left")
@@ -67,6 +71,34 @@ def url_or_content(df: DataFrame, url: str, content: str, ord_col: str) -> DataF
     return df.join(kept.select(F.col("o").alias(ord_col)), ord_col, "left_semi")
 
 
+def block_stats(pieces: DataFrame, item: str = "doc_id", text: str = "piece", split: str = "split") -> DataFrame:
+    """One row of what asking once for each distinct text saves, from the pieces of items.
+
+    ``split`` tells the blocks of long items from contents that stay whole. Columns: items,
+    long_items, blocks, average_blocks (of long items), unique_contents, unique_blocks,
+    unique_calls, and saved, the share in per cent of the calls for each item.
+    """
+    whole, long = F.when(~F.col(split), F.md5(text)), F.when(F.col(split), F.md5(text))
+    told = pieces.agg(
+        F.count_distinct(item).alias("items"),
+        F.count_distinct(F.when(F.col(split), F.col(item))).alias("long_items"),
+        F.count_if(split).alias("blocks"),
+        F.count_distinct(whole).alias("unique_contents"),
+        F.count_distinct(long).alias("unique_blocks"),
+    )
+    calls = F.col("unique_contents") + F.col("unique_blocks")
+    return told.select(
+        "items",
+        "long_items",
+        "blocks",
+        F.round(F.coalesce(F.try_divide("blocks", "long_items"), F.lit(0.0)), 1).alias("average_blocks"),
+        "unique_contents",
+        "unique_blocks",
+        calls.alias("unique_calls"),
+        F.round(F.coalesce(F.try_divide((F.col("items") - calls) * 100.0, F.col("items")), F.lit(0.0)), 6).alias("saved"),
+    )
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, n) of keys that occur more than once."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

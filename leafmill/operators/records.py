@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leafmill.storage import materialize
+
 from leafmill.functions.text import first_filled, forward_slashes, truncated
 
 #: Places of sections and priorities in sorted chart lists.
@@ -39,20 +41,22 @@ def flatten_hits(hits: DataFrame, company: str, query: str, start_id: int, ord_c
 def consecutive_ids(df: DataFrame, ord_col: str, start: int = 0, buckets: int | None = None) -> DataFrame:
     """``_id``: ``start`` for the row of least ``ord_col``, then one more for each, without one task that sees all rows.
 
-    Rows are numbered in ``buckets`` ranges, as many as there are shuffle partitions unless given.
+    Rows are sorted in ``buckets`` ranges, as many as there are shuffle partitions unless
+    given, and written; a row's id is its place in its range plus the rows of those before.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.approxQuantile(ord_col, [i / buckets for i in range(1, buckets)], 0.001)
-    edges = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>")
-    bucket = F.size(F.filter(edges, lambda c: F.col(ord_col) > c))
-    dealt = df.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    numbered = materialize(
+        df.repartitionByRange(buckets, ord_col)
+        .sortWithinPartitions(ord_col)
+        .withColumn("_bucket", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "numbered",
+    )
+    sizes = numbered.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    row = F.row_number().over(Window.partitionBy("_bucket").orderBy(ord_col))
     return (
-        dealt.withColumn("_row", row)
-        .join(F.broadcast(before), "_bucket")
-        .withColumn("_id", F.col("_before") + F.col("_row") - 1 + start)
+        numbered.join(F.broadcast(before), "_bucket")
+        .withColumn("_id", F.col("_before") + F.col("_row") + start)
         .drop("_bucket", "_row", "_before")
     )
 
@@ -148,6 +152,21 @@ def sorted_charts(charts: DataFrame) -> DataFrame:
     return charts.orderBy(section_place(), priority_place(), F.coalesce("title", F.lit("")), "ord")
 
 
+def placed_charts(charts: DataFrame) -> DataFrame:
+    """``charts`` with ``place``, from 1, in the order of ``sorted_charts`` among the charts of equal section and priority."""
+    own = Window.partitionBy(section_place(), priority_place()).orderBy(F.coalesce("title", F.lit("")), "ord")
+    return charts.withColumn("place", F.row_number().over(own).cast("long"))
+
+
+def with_fields(df: DataFrame, *names: str) -> DataFrame:
+    """Rows in which every named field is there and not empty (zero and false are empty too)."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "0.0", "false")
+    kept = df
+    for name in names:
+        kept = kept.where(~filled(name))
+    return kept
+
+
 def pdf_first(df: DataFrame, group: str, ord_col: str = "ord") -> DataFrame:
     """``place`` in each group: PDFs first and in reverse, the others after them in order."""
     key = F.when(F.col("is_pdf"), -F.col(ord_col)).otherwise(F.col(ord_col))

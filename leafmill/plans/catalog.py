@@ -159,7 +159,7 @@ def key_facts(spark, d):
     return _docs(spark, d).select("doc_id", text.key_facts(F.col("text")).alias("k")).select("doc_id", "k.years", "k.numbers")
 
 
-_CITED = "concat('见【数据', doc_id, '】和[数据', doc_id % 10, ']，数据ID: ', doc_id % 7)"
+_CITED = "concat('见【数据', doc_id, '】', text, '和[数据', doc_id % 10, ']，数据ID: ', doc_id % 7)"
 
 
 @query(
@@ -172,24 +172,24 @@ def extract_refs(spark, d):
 
 @query("cascade_replace")
 def cascade_replace(spark, d):
-    body = F.expr("concat('a [3] b [1] c [', doc_id % 5, '] d [7]')")
+    body = F.expr("concat('a [3] b [1] c [', doc_id % 5, '] d [7]', text)")
     pair = lambda a, b: F.struct(a.cast("long").alias("from"), b.cast("long").alias("to"))
     refs = F.array(pair(F.lit(3), F.lit(1)), pair(F.lit(1), F.lit(2)), pair(F.col("doc_id") % 5, F.lit(9)))
     return _docs(spark, d).select("doc_id", text.replace_in_turn(body, refs).alias("replaced"))
 
 
 SQL["cascade_replace"] = """
-    SELECT doc_id, replace(replace(replace('a [3] b [1] c [' || (doc_id % 5) || '] d [7]', '[3]', '[1]'), '[1]', '[2]'),
+    SELECT doc_id, replace(replace(replace('a [3] b [1] c [' || (doc_id % 5) || '] d [7]' || text, '[3]', '[1]'), '[1]', '[2]'),
     '[' || (doc_id % 5) || ']', '[9]') AS replaced FROM documents"""
 
 
 @query(
     "data_marks",
     """SELECT doc_id, 'x [' || CASE WHEN doc_id % 3 = 1 THEN 10 WHEN doc_id % 3 = 2 THEN 20 ELSE 0 END || '] y ['
-       || (doc_id + 100) || ']' AS marked FROM documents""",
+       || (doc_id + 100) || ']' || text AS marked FROM documents""",
 )
 def data_marks(spark, d):
-    body = F.expr("concat('x 【数据', doc_id % 3, '】 y 【数据', doc_id + 100, '】')")
+    body = F.expr("concat('x 【数据', doc_id % 3, '】 y 【数据', doc_id + 100, '】', text)")
     numbers = F.create_map(F.lit("1"), F.lit(10), F.lit("2"), F.lit(20))
     return _docs(spark, d).select("doc_id", text.replace_data_marks(body, numbers).alias("marked"))
 
@@ -389,7 +389,7 @@ def chunk_order(spark, d):
 
 # ---- retrieval -----------------------------------------------------------------------
 
-_TOKENS_SQL = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')"
+_TOKENS_SQL = "regexp_extract_all(lower(text), '[a-z]+|[一-鿿]')"
 
 
 def _bm25_sql(limit: int, where: str = "true") -> str:
@@ -637,24 +637,22 @@ def positional_join(spark, d):
     return allocation.positional_join(sections, allocated).select("section_index", F.array_join("ids", ",").alias("ids"))
 
 
-_TITLES = ("一、投资摘要与核心观点", "二、公司基本面分析：AI解决方案提供商", "三、财务分析与预测", "四、估值分析与投资建议", "五、风险因素分析")
-_CHARTS = (
-    "四、估值与预测模型", "二、公司基本面与行业地位分析", "三、三大会计报表与财务比率分析", "一、投资摘要与核心观点", "五", "2", "12",
-    "风险因素分析", "无关", "十一、投资摘要",
-)
+#: An outline, and what every third document's charts name as their section.
+_TITLES = ("一、公司概况", "二、行业趋势：增长动力", "三、盈利能力比较", "四、资本结构", "五、主要风险")
+_MATCH_SQL = """
+    SELECT doc_id AS chart_id, section,
+      CASE k WHEN 0 THEN '二、行业趋势：增长动力' WHEN 1 THEN '四、资本结构' WHEN 2 THEN '五、主要风险' WHEN 5 THEN '二、行业趋势：增长动力' WHEN 6 THEN '二、行业趋势：增长动力' END AS matched_title,
+      CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 4 ELSE 0 END AS rule
+    FROM (SELECT doc_id, doc_id % 8 AS k, CASE doc_id % 8 WHEN 0 THEN '二' WHEN 1 THEN ' 4 ' WHEN 2 THEN '五、' || source WHEN 3 THEN '12'
+      WHEN 4 THEN '十一、公司' WHEN 5 THEN '增长动力' WHEN 6 THEN source || ' 增长动力' ELSE text END AS section FROM documents)"""
 
 
-@query(
-    "section_match",
-    """SELECT * FROM (VALUES (0, '四、估值与预测模型', '四、估值分析与投资建议', 3), (1, '二、公司基本面与行业地位分析', '二、公司基本面分析：AI解决方案提供商', 3),
-       (2, '三、三大会计报表与财务比率分析', '三、财务分析与预测', 3), (3, '一、投资摘要与核心观点', '一、投资摘要与核心观点', 3),
-       (4, '五', '五、风险因素分析', 1), (5, '2', '二、公司基本面分析：AI解决方案提供商', 2), (6, '12', NULL, 0), (7, '风险因素分析', NULL, 0),
-       (8, '无关', NULL, 0), (9, '十一、投资摘要', NULL, 0)) t(chart_id, section, matched_title, rule)""",
-)
+@query("section_match", _MATCH_SQL)
 def section_match(spark, d):
-    charts = spark.createDataFrame(list(enumerate(_CHARTS)), "chart_id int, section string")
+    said = """case doc_id % 8 when 0 then '二' when 1 then ' 4 ' when 2 then concat('五、', source) when 3 then '12'
+              when 4 then '十一、公司' when 5 then '增长动力' when 6 then concat(source, ' 增长动力') else text end"""
     sections = spark.createDataFrame(list(enumerate(_TITLES)), "section_index int, title string")
-    return allocation.match_sections(charts, sections)
+    return allocation.match_sections(_docs(spark, d).select(F.col("doc_id").alias("chart_id"), F.expr(said).alias("section")), sections)
 
 
 @query(
@@ -671,9 +669,9 @@ def section_theta(spark, d):
 
 
 _ALLOCATE_SQL = """
-    WITH s AS (SELECT item_id AS section_index, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS ws
+    WITH s AS (SELECT item_id AS section_index, list_distinct(regexp_extract_all(lower(text), '[a-z]+|[一-鿿]')) AS ws
       FROM benchmark),
-    i AS (SELECT doc_id AS data_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS ws FROM documents),
+    i AS (SELECT doc_id AS data_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+|[一-鿿]')) AS ws FROM documents),
     p AS (SELECT data_id, section_index, coalesce(len(list_intersect(i.ws, s.ws))::DOUBLE / nullif(len(s.ws), 0), 0) AS score FROM i, s),
     b AS (SELECT data_id, section_index, score, row_number() OVER (PARTITION BY data_id ORDER BY score DESC, section_index) AS rn FROM p),
     m AS (SELECT data_id, (CASE WHEN score > 0 THEN section_index ELSE -1 END)::INT AS section_index, score AS confidence FROM b WHERE rn = 1)"""
@@ -771,11 +769,13 @@ def _charts(spark, d) -> DataFrame:
     "chart_sort",
     f"""SELECT ord, title, section, priority,
         CASE section WHEN '核心财务数据' THEN 1 WHEN '业务发展' THEN 2 WHEN '市场表现' THEN 3 WHEN '风险评估' THEN 4 ELSE 5 END AS section_place,
-        CASE priority WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END AS priority_place
+        CASE priority WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END AS priority_place,
+        row_number() OVER (PARTITION BY CASE section WHEN '核心财务数据' THEN 1 WHEN '业务发展' THEN 2 WHEN '市场表现' THEN 3 WHEN '风险评估' THEN 4 ELSE 5 END,
+        CASE priority WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END ORDER BY coalesce(title, ''), ord) AS place
         FROM (SELECT {_CHART_COLS} FROM part)""",
 )
 def chart_sort(spark, d):
-    order = records.sorted_charts(_charts(spark, d)).select("ord", "title", "section", "priority")
+    order = records.sorted_charts(records.placed_charts(_charts(spark, d))).select("ord", "title", "section", "priority", "place")
     return order.select("*", records.section_place().alias("section_place"), records.priority_place().alias("priority_place"))
 
 
@@ -898,14 +898,63 @@ def markdown_report(spark, d):
     return report.markdown(sections, refs)
 
 
+#: Some sections are white space alone, null or without a title, and all have white space around them.
+_SECTIONS_SQL = r"""WITH t AS (SELECT doc_id AS section_index, CASE WHEN doc_id % 9 = 0 THEN '' ELSE source END AS title,
+       CASE WHEN doc_id % 7 = 0 THEN repeat(chr(10), 120) WHEN doc_id % 7 = 1 THEN NULL ELSE chr(10) || '  ' || text || chr(9) || ' ' END AS content FROM documents),
+       s AS (SELECT *, length(regexp_replace(coalesce(content, ''), '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')) AS n FROM t) """
+
+
+def _sections(spark, d) -> DataFrame:
+    return _docs(spark, d).select(
+        F.col("doc_id").alias("section_index"),
+        F.expr("if(doc_id % 9 = 0, '', source)").alias("title"),
+        F.expr("case doc_id % 7 when 0 then repeat(chr(10), 120) when 1 then null else concat(chr(10), '  ', text, chr(9), ' ') end").alias("content"),
+    )
+
+
 @query(
     "structure_check",
-    """SELECT count(*) AS sections, count(*) FILTER (length(trim(text)) < 100) AS empty_sections,
-       (sum(length(trim(text))) FILTER (length(trim(text)) >= 100) // nullif(count(*) FILTER (length(trim(text)) >= 100), 0))::BIGINT AS average_length
-       FROM documents""",
+    _SECTIONS_SQL
+    + """SELECT count(*) AS sections, count(*) FILTER (n < 100) AS empty_sections, coalesce(sum(length(content)) FILTER (n >= 100), 0)::BIGINT AS content_length,
+       coalesce(sum(length(content)) FILTER (n >= 100) // nullif(count(*) FILTER (n >= 100), 0), 0)::BIGINT AS average_length FROM s""",
 )
 def structure_check(spark, d):
-    return report.structure_check(_docs(spark, d).select(F.col("text").alias("content")))
+    return report.structure_check(_sections(spark, d))
+
+
+@query(
+    "structure_issues",
+    _SECTIONS_SQL
+    + """SELECT section_index, 'no_title' AS issue FROM s WHERE coalesce(title, '') = ''
+       UNION ALL SELECT section_index, 'short_content' FROM s WHERE n < 100""",
+)
+def structure_issues(spark, d):
+    return report.structure_issues(_sections(spark, d))
+
+
+@query("report_titles", "SELECT n_nationkey, n_name || '研究报告' AS title, n_name || r_name AS other FROM nation JOIN region ON n_regionkey = r_regionkey")
+def report_titles(spark, d):
+    n = read_table(spark, d, "nation").join(F.broadcast(read_table(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
+    return n.select(
+        "n_nationkey", report.report_title(F.col("n_name")).alias("title"), report.report_title(F.col("n_name"), F.col("r_name")).alias("other")
+    )
+
+
+@query("summaries_key", "SELECT o_custkey, md5(string_agg(s, '|' ORDER BY s) || '|m') AS cache_key FROM (SELECT o_custkey, o_orderkey::VARCHAR AS s FROM orders) GROUP BY 1")
+def summaries_key(spark, d):
+    asked = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("s"))
+    return asked.select("o_custkey", report.summaries_key(F.col("s"), F.lit("m")).alias("cache_key"))
+
+
+@query(
+    "visual_stats",
+    """WITH r AS (SELECT p_size % 3 > 0 AS v, CASE WHEN p_size % 3 > 0 THEN p_size % 4 ELSE 0 END AS images FROM part)
+       SELECT count(*) AS contents, count(*) FILTER (v) AS visualisable, count(*) FILTER (images > 0) AS drawn, sum(images)::BIGINT AS images,
+       round(count(*) FILTER (v)::DOUBLE / count(*), 6) AS visualisation_rate, round(count(*) FILTER (images > 0)::DOUBLE / count(*) FILTER (v), 6) AS success_rate FROM r""",
+)
+def visual_stats(spark, d):
+    can = F.col("p_size") % 3 > 0
+    return report.visual_stats(read_table(spark, d, "part").select(can.alias("visualisable"), F.when(can, F.col("p_size") % 4).otherwise(0).alias("images")))
 
 
 @query(
@@ -1056,9 +1105,14 @@ def html_markdown(spark, d):
     return read_table(spark, d, "pages").select("page_id", html.markdown_of(F.col("html"), F.col("url")).alias("markdown"))
 
 
-@query("json_extract", "SELECT doc_id, '[' || doc_id || ',{\"a\":1}]' AS found, '{\"a\":1}' AS object FROM documents")
+@query(
+    "json_extract",
+    r"""SELECT doc_id, '[' || doc_id || ',{"a":"' || t || '"}]' AS found, '{"a":"' || t || '"}' AS object
+        FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 .]+', ' ', 'g') AS t FROM documents)""",
+)
 def json_extract(spark, d):
-    said = F.expr("""concat('so ', left(text, 0), '[x] then [', doc_id, ',{"a":1}] and {"b":2}')""")
+    plain = "regexp_replace(text, '[^A-Za-z0-9 .]+', ' ')"
+    said = F.expr(f"""concat({plain}, '[x] then [', doc_id, ',{{"a":"', {plain}, '"}}] and {{"b":2}}')""")
     return _docs(spark, d).select("doc_id", jsonx.json_array(said).alias("found"), jsonx.json_object(said).alias("object"))
 
 
@@ -1070,17 +1124,145 @@ def props_variant(spark, d):
     return read_table(spark, d, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("ok"))
 
 
-@query("model_errors", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'low' END AS verdict, doc_id % 2 = 1 AS failed FROM documents")
+@query(
+    "model_errors",
+    """SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN CASE WHEN length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) >= 100 THEN 'high' ELSE 'low' END END AS verdict,
+       length(text) % 2 = 1 AS failed FROM documents""",
+)
 def model_errors(spark, d):
     def call(said: str) -> str:
-        if int(said) % 2:
+        if len(said) % 2:
             raise ValueError("odd")
         return models.long_enough()(said)
 
-    answered = models.model_call(_docs(spark, d), F.col("doc_id").cast("string"), call, "verdict")
+    answered = models.model_call(_docs(spark, d), F.col("text"), call, "verdict")
     return answered.select("doc_id", "verdict", F.col("verdict_error").isNotNull().alias("failed"))
 
 
+_BLOCKS_SQL = r"""
+    WITH t AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'own' ELSE '' END AS summary,
+        len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS n FROM documents),
+    p AS (SELECT doc_id, n > 150 AS split, unnest(CASE WHEN n <= 150 THEN [text] WHEN n <= 2000 THEN string_split(text, '. ') END) AS piece,
+        generate_subscripts(CASE WHEN n <= 150 THEN [text] WHEN n <= 2000 THEN string_split(text, '. ') END, 1) AS no
+        FROM t WHERE text <> '' AND summary = '')"""
+
+
+def _summary_rows(spark, d) -> DataFrame:
+    return _docs(spark, d).select(
+        "doc_id", F.col("text").alias("content"), F.expr("if(doc_id % 4 = 0, 'own', '')").alias("summary")
+    )
+
+
+@query(
+    "block_summaries",
+    _BLOCKS_SQL
+    + """, s AS (SELECT doc_id, left(string_agg(CASE WHEN left(piece, 20) = '' THEN left(piece, 300) ELSE left(piece, 20) END, chr(10) ORDER BY no), 300) AS s FROM p GROUP BY 1)
+    SELECT doc_id, CASE WHEN summary <> '' THEN summary ELSE coalesce(s, '') END AS summary FROM t LEFT JOIN s USING (doc_id)""",
+)
+def block_summaries(spark, d):
+    blocks = F.split("content", r"\. ")
+    done = models.summarised_by_block(_summary_rows(spark, d), "doc_id", models.first_characters(20), 150, 300, 2000, blocks)
+    return done.select("doc_id", "summary")
+
+
+@query(
+    "block_stats",
+    _BLOCKS_SQL
+    + """, c AS (SELECT count(DISTINCT doc_id) AS items, count(DISTINCT doc_id) FILTER (split) AS long_items, count(*) FILTER (split) AS blocks,
+        count(DISTINCT piece) FILTER (NOT split) AS unique_contents, count(DISTINCT piece) FILTER (split) AS unique_blocks FROM p)
+    SELECT *, unique_contents + unique_blocks AS unique_calls, round(blocks::DOUBLE / long_items, 1) AS average_blocks,
+        round((items - unique_contents - unique_blocks) * 100.0::DOUBLE / items, 6) AS saved FROM c""",
+)
+def block_stats(spark, d):
+    rows = _summary_rows(spark, d).where("summary = ''")
+    return dedup.block_stats(models.pieces(rows, "doc_id", "content", 150, 2000, F.split("content", r"\. ")))
+
+
+@query(
+    "token_budget",
+    r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'))::BIGINT AS tokens FROM documents
+        WHERE len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) <= 300""",
+)
+def token_budget(spark, d):
+    return _docs(spark, d).select("doc_id", text.token_count(F.col("text")).alias("tokens")).where("tokens <= 300")
+
+
+@query(
+    "required_fields",
+    """SELECT c_custkey FROM customer WHERE coalesce(c_name, '') <> '' AND coalesce(c_mktsegment, '') <> '' AND c_nationkey <> 0""",
+)
+def required_fields(spark, d):
+    return records.with_fields(read_table(spark, d, "customer"), "c_name", "c_mktsegment", "c_nationkey").select("c_custkey")
+
+
+@query(
+    "no_good_assessment",
+    "SELECT doc_id, doc_id % 300 AS url, NULL::VARCHAR AS reason FROM documents",
+)
+def no_good_assessment(spark, d):
+    docs = _docs(spark, d).select("doc_id", (F.col("doc_id") % 300).alias("url"))
+    assessed = docs.select(F.col("doc_id").alias("ord"), "url", F.lit(False).alias("is_high_quality"), F.lit("x").alias("reason"))
+    return allocation.back_join(docs, assessed)
+
+
+@query(
+    "model_matches",
+    """SELECT doc_id, CASE k WHEN 0 THEN -1 WHEN 1 THEN -1 ELSE (length(text) % 5)::INT END AS section_index,
+       CASE k WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 0.75::DOUBLE ELSE 0 END AS confidence, k < 2 AS error FROM (SELECT *, length(text) % 4 AS k FROM documents)""",
+)
+def model_matches(spark, d):
+    def call(said: str) -> str:
+        kind, section = len(said) % 4, len(said) % 5
+        if kind == 0:
+            raise ValueError("no answer")
+        return ("none", f'so {{"section_index": {section}, "confidence": 0.5}}', f'[{{"section_index": {section}, "confidence": 0.75}}]')[kind - 1]
+
+    return models.matched(_docs(spark, d), F.col("text"), call).select("doc_id", "section_index", "confidence", "error")
+
+
+@query(
+    "model_objects",
+    """SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN '{"n":' || length(text) || '}' ELSE '{"a":1},{"b":2}' END AS objects FROM documents""",
+)
+def model_objects(spark, d):
+    def call(said: str) -> str:
+        return ("nothing", f'```json\n[{{"n": {len(said)}}}, 3]\n```', '{"a": 1} and {"b": 2}')[len(said) % 3]
+
+    asked = models.objects(_docs(spark, d), F.col("text"), call)
+    return asked.select("doc_id", F.array_join("objects", ",").alias("objects"))
+
+
+@query("model_fallback", "SELECT doc_id, CASE WHEN length(text) % 2 = 1 THEN left(text, 10) ELSE source || ': ' || lang END AS answer FROM documents")
+def model_fallback(spark, d):
+    docs = _docs(spark, d)
+    said = models.text_or(docs, F.col("text"), lambda t: t[:10] if len(t) % 2 else "", F.concat_ws(": ", "source", "lang"))
+    return said.select("doc_id", "answer")
+
+
+@query("index_rows")
+def index_rows(spark, d):
+    """Documents by made-up urls and contents; half of them have a vector, a fifth of the others cannot be embedded."""
+
+    def embed(said: str) -> list[float]:
+        if len(said) % 5 == 0:
+            raise ValueError("no vector")
+        return [float(len(said))]
+
+    rows = _docs(spark, d).select(
+        F.col("doc_id").alias("ord"),
+        F.expr("concat(source, substr(md5(text), 1, 1))").alias("url"),
+        F.expr("substr(md5(text), 3, 2)").alias("content"),
+        F.expr("left(text, 7 + doc_id % 11)").alias("summary"),
+        F.expr("if(doc_id % 2 = 0, array(1.5D), null)").alias("vector"),
+    )
+    return models.index_rows(rows, embed).select("ord", F.element_at("vector", 1).alias("value"))
+
+
+_DEDUP_SQL = SQL["dedup_url_or_content"]
+SQL["index_rows"] = f"""SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN 1.5::DOUBLE ELSE length(left(text, 7 + doc_id % 11))::DOUBLE END AS value
+    FROM ({_DEDUP_SQL}) JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 OR length(left(text, 7 + doc_id % 11)) % 5 <> 0"""
+
+
 @query("cached_pages", "SELECT url, html FROM pages")
 def cached_pages(spark, d):
     pages = read_table(spark, d, "pages").select("url", "html", "page_id")

@@ -79,10 +79,28 @@ def remove_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A table of more rows than this is not sent to every task.
-BROADCAST_ROWS = 500_000
+#: A table of more rows, or of more bytes as JSON, than this is not sent to every task.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, which is counted; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _blocks_of(df: DataFrame, rows: int, size: int) -> int:
+    """Into how many parts ``df`` must be cut so that each has about ``rows`` rows and ``size`` bytes at most."""
+    told = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return max(1, -(-told["n"] // rows), -(-(told["bytes"] or 0) // size))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, which is counted; else as it is."""
+    return F.broadcast(df) if _blocks_of(df, rows, size) == 1 else df
+
+
+def broadcast_blocks(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """``df`` in parts that can each be sent to every task: one if it is small, else by a hash of its rows.
+
+    For a stated set (an outline) that every row of another table is compared with.
+    """
+    n = _blocks_of(df, rows, size)
+    if n == 1:
+        return [F.broadcast(df)]
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(2 * n))
+    return [F.broadcast(df.where(part == i)) for i in range(2 * n)]
