@@ -3,10 +3,11 @@
 Each document's ids (and a closing id) are cut only where they exceed the capacity; then
 pieces are packed. Only lengths matter for packing, so the corpus is reduced to at most
 ``capacity`` counts, which is all the driver sees at any corpus size. ``complete_bins``
-packs the histogram: around the largest remaining length it tries up to ``FILLINGS``
-fillings (not all undominated ones, so a better packing can be missed), prunes by the waste that a better solution could still afford, and keeps the
-best-fit-decreasing packing as the first incumbent; a filling is repeated as often as the
-counts allow, so the work depends on the number of distinct lengths and not of documents.
+packs the histogram: around the largest remaining length it enumerates the undominated
+fillings one after the other, least waste first, prunes by the waste that a better solution
+could still afford, and keeps the best-fit-decreasing packing as the first incumbent; a
+filling is repeated as often as the counts allow (and less often on the way back), so the
+work depends on the number of distinct lengths and not of documents. ``NODE_LIMIT`` bounds it.
 Pieces get their place by rank within their length, counted in salted groups.
 
 Defined results: null or empty text is the closing id alone; a null ``doc_id`` is packed
@@ -20,6 +21,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from leafmill.llm._common import map_batches, materialize, read_table
 
 CAPACITY = 2048
 END_ID = 0
-NODE_LIMIT = 10_000
-FILLINGS = 6
+#: Nodes of the search, repeats that are tried one by one, and items of a filling whose dominance is looked at.
+NODE_LIMIT, REPEATS, DOMINANCE_ITEMS = 10_000, 8, 10
+#: Fillings of a node that the first rounds of the search try.
+WIDTHS = (6, 48)
 ROWS_PER_SALT = 200_000
 
 Bins = list[tuple[tuple[int, ...], int]]  # (lengths in one bin, number of such bins)
@@ -93,108 +97,165 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _two_at_most(left: np.ndarray, room: int, want: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of one or two items: the largest item that fits, and for each
-    first item the largest second one where the two fill more than that; least waste first."""
-    sizes = np.flatnonzero(left[: room + 1])
-    if not len(sizes):
-        return [()]
-    rest = room - sizes
-    at = np.searchsorted(sizes, np.minimum(rest, sizes), side="right") - 1
-    second = np.where(at >= 0, sizes[np.maximum(at, 0)], 0)
-    alone = (second == sizes) & (left[sizes] < 2)
-    second = np.where(alone, np.where(at > 0, sizes[np.maximum(at - 1, 0)], 0), second)
-    total = np.where(second > 0, sizes + second, 0)
-    good = np.flatnonzero(total > sizes[-1])
-    if len(good) > want:
-        good = good[np.argpartition(-total[good], want)[:want]]
-    found = [(int(sizes[-1]),), *((int(sizes[i]), int(second[i])) for i in good)]
-    return sorted(found, key=lambda f: (room - sum(f), len(f)))
-
-
-def fillings(left: np.ndarray, room: int, want: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Ways to fill ``room`` from ``left[size]`` counts, least waste first.
-
-    Where one or two items leave waste, fillings of more items are tried: one of the
-    largest items, or as many of the largest as fit, each completed by at most two.
-    """
-    found = _two_at_most(left, room, want)
-    if found == [()] or sum(found[0]) == room:
-        return found[:want]
-    took: list[int] = []
-    rest = room
-    try:
-        for _ in range(32):
-            sizes = np.flatnonzero(left[: rest + 1])
-            if len(sizes) < 2 or rest < 3 * sizes[0]:
-                break
-            first = int(sizes[np.searchsorted(sizes, rest - 2 * sizes[0], side="right") - 1])
-            left[first] -= 1
-            took.append(first)
-            rest -= first
-            best = _two_at_most(left, rest, 1)[0]
-            found.append((*took, *best))
-            if sum(best) == rest:
-                break
-    finally:
-        for s in took:
-            left[s] += 1
-    return sorted(set(found), key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))[:want]
+class _Room:
+    """The undominated ways to fill ``room`` from ``left[size]`` counts, least waste first."""
+
+    def __init__(self, left: np.ndarray, room: int):
+        self.left, self.room = left[: room + 1].copy(), room
+        self.sizes = np.flatnonzero(self.left)[::-1].tolist()
+        bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
+        self.there, self.mirror = bits(self.left > 0), bits(self.left[::-1] > 0)  # bit s: size s, size room - s
+        self.reach: list[int] = []
+
+    def __iter__(self) -> Iterator[tuple[int, ...]]:
+        if not self.sizes:
+            yield ()
+            return
+        every = sum(s * int(self.left[s]) for s in self.sizes)
+        if every <= self.room:
+            yield tuple(s for s in self.sizes for _ in range(int(self.left[s])))
+            return
+        # An item is left over, and would be added if the waste had room for it.
+        for waste in range(min(self.sizes[0], self.room)):
+            total = self.room - waste
+            for f in self._of_one_or_two(total):
+                if not self._dominated(f, waste):
+                    yield f
+            for f in self._of_more(total):
+                if not self._dominated(f, waste):
+                    yield f
+
+    def _of_one_or_two(self, total: int) -> Iterator[tuple[int, ...]]:
+        if self.left[total]:
+            yield (total,)
+        # Bits b for which there are both b and total - b; the most even pair first.
+        pairs = self.there & (self.mirror >> (self.room - total)) & ((2 << (total // 2)) - 1)
+        while pairs:
+            b = pairs.bit_length() - 1
+            pairs ^= 1 << b
+            if b and (2 * b < total or self.left[b] > 1):
+                yield total - b, b
+
+    def _of_more(self, total: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of three items or more that sum up to ``total``, by depth-first search among sums that can be reached."""
+        if total < 3 * self.sizes[-1]:
+            return
+        if not self.reach:  # bit t of entry k: whether sizes from the k-th on can sum up to t
+            mask = (1 << (self.room + 1)) - 1
+            self.reach = [1]
+            for s in reversed(self.sizes):
+                sums, rest, step = self.reach[-1], min(int(self.left[s]), self.room // s), 1
+                while rest:
+                    step = min(step, rest)
+                    sums |= sums << (step * s) & mask
+                    rest, step = rest - step, 2 * step
+                self.reach.append(sums)
+            self.reach.reverse()
+
+        def search(k: int, rest: int, n: int) -> Iterator[tuple[int, ...]]:
+            for at in range(k, len(self.sizes)):
+                if not self.reach[at] >> rest & 1:
+                    return  # nor can the smaller ones
+                s = self.sizes[at]
+                for each in range(min(int(self.left[s]), rest // s), 0, -1):
+                    if each * s == rest:
+                        if n + each > 2:
+                            yield (s,) * each
+                    elif self.reach[at + 1] >> (rest - each * s) & 1:
+                        for f in search(at + 1, rest - each * s, n + each):
+                            yield (s,) * each + f
+
+        yield from search(0, total, 0)
+
+    def _dominated(self, filling: tuple[int, ...], waste: int) -> bool:
+        """Whether an item that is left over could take the place of some of the filling's items and of waste.
+
+        The items that go must fit into the one that comes. Looked at for fillings of up to
+        ``DOMINANCE_ITEMS`` items; a longer one counts as undominated.
+        """
+        if len(filling) > DOMINANCE_ITEMS:
+            return False
+        over = self.there
+        for s, n in Counter(filling).items():
+            if n == self.left[s]:
+                over &= ~(1 << s)
+        sums = {(0, 0)}
+        for s in filling:
+            sums |= {(total + s, min(n + 1, 2)) for total, n in sums}
+        for total, n in sums:
+            low = max(1, total + (n == 1))  # one item gives way to a larger one only
+            if over >> low & ((1 << max(0, total + waste - low + 1)) - 1):
+                return True
+        return False
 
 
 def complete_bins(counts: dict[int, int], capacity: int, node_limit: int = NODE_LIMIT) -> Bins:
     """Pack a histogram of lengths (1 to ``capacity``) into few bins.
 
-    Depth-first branch and bound; ``node_limit`` bounds only the search for something
-    better than the incumbent, which is always a whole packing.
+    Depth-first branch and bound: at each node the largest length left is completed by each
+    undominated filling, least waste first, as often as the counts allow. Rounds try the first
+    ``WIDTHS`` fillings of a node, and the last one all of them and each also less often (by one
+    less up to ``REPEATS`` times, by half above), so that a search that is not ended by
+    ``node_limit`` is exact where no filling repeats more often. The limit bounds all rounds
+    together; the incumbent is always a whole packing.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     n_best, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    if n_best <= bound:
-        return best
     volume = sum(s * n for s, n in counts.items())
     left = np.zeros(capacity + 1, np.int64)
     for s, n in counts.items():
         left[s] = n
 
-    def options() -> list[tuple[tuple[int, ...], int]]:
+    def options(width: int | None, without: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int]]:
         big = int(np.flatnonzero(left)[-1])
-        left[big] -= 1
-        ways = fillings(left, capacity - big)
-        left[big] += 1
-        out = []
-        for f in ways:
-            need = Counter((big, *f))
-            out.append(((big, *f), min(int(left[s]) // k for s, k in need.items())))
-        return out[::-1]  # the least waste is popped first
-
-    chosen: Bins = []
-    stack = [options()]
-    used = waste = nodes = 0
-    while stack and nodes < node_limit and n_best > bound:
-        if len(chosen) == len(stack):  # undo what the last option took
-            items, n = chosen.pop()
+        rest = left.copy()
+        rest[big] -= 1
+        again = []
+        for f in islice(_Room(rest, capacity - big), width):
+            items = (big, *f)
+            if items == without:  # taken less often at the node before
+                continue
+            n = min((int(rest[s]) + (s == big)) // k for s, k in Counter(items).items())
+            yield items, n
+            if width is None and n > 1:
+                again.append((items, n))
+        for items, n in again:
+            while n > 1:
+                n = n - 1 if n <= REPEATS else n // 2
+                yield items, n
+
+    nodes = 0
+    for width in (*WIDTHS, None):
+        chosen: Bins = []
+        stack = [options(width, None)] if counts else []
+        used = waste = 0
+        while stack and nodes < node_limit and n_best > bound:
+            if len(chosen) == len(stack):  # undo what the last option took
+                items, n = chosen.pop()
+                for s in items:
+                    left[s] += n
+                used -= n
+                waste -= n * (capacity - sum(items))
+            option = next(stack[-1], None)
+            if option is None:
+                stack.pop()
+                continue
+            items, n = option
+            nodes += 1
             for s in items:
-                left[s] += n
-            used -= n
-            waste -= n * (capacity - sum(items))
-        if not stack[-1]:
-            stack.pop()
-            continue
-        items, n = stack[-1].pop()
-        nodes += 1
-        for s in items:
-            left[s] -= n
-        chosen.append((items, n))
-        used += n
-        waste += n * (capacity - sum(items))
-        if waste > (n_best - 1) * capacity - volume:
-            continue
-        if not left.any():
-            best, n_best = list(chosen), used
-            continue
-        stack.append(options())
+                left[s] -= n
+            chosen.append((items, n))
+            used += n
+            waste += n * (capacity - sum(items))
+            if waste > (n_best - 1) * capacity - volume:
+                continue
+            if not left.any():
+                best, n_best = list(chosen), used
+                continue
+            stack.append(options(width, items if width is None else None))
+        if nodes >= node_limit or n_best <= bound:
+            break
     return best
 
 

@@ -85,6 +85,55 @@ def test_packing_is_whole_and_bounded():
         assert packing.lower_bound(counts, capacity) <= best <= sum(k for _, k in packing.best_fit_decreasing(counts, capacity))
 
 
+def fewest_bins(items, capacity):
+    """The optimum by trying all assignments of few items."""
+    best = len(items)
+
+    def put(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(items):
+            best = len(free)
+            return
+        for i in {free[i]: i for i in range(len(free)) if free[i] >= items[k]}.values():
+            put(k + 1, free[:i] + [free[i] - items[k]] + free[i + 1 :])
+        put(k + 1, [*free, capacity - items[k]])
+
+    put(0, [])
+    return best
+
+
+def test_search_is_exact_on_few_items():
+    rng = random.Random(6)
+    for _ in range(250):
+        capacity = rng.choice([12, 30, 100])
+        items = sorted((rng.randint(1, max(2, capacity * 2 // 3)) for _ in range(rng.randint(1, 11))), reverse=True)
+        assert sum(n for _, n in packing.complete_bins(Counter(items), capacity, 10**6)) == fewest_bins(items, capacity)
+
+
+def test_fillings_are_the_undominated_ones():
+    """Against all fillings and Martello and Toth's criterion by its definition for single items."""
+    from itertools import combinations
+
+    rng = random.Random(7)
+    for _ in range(200):
+        room, items = rng.randint(5, 25), [rng.randint(1, 14) for _ in range(rng.randint(1, 7))]
+        left = np.bincount(items, minlength=room + 20)
+        every = {tuple(sorted(c, reverse=True)) for n in range(len(items) + 1) for c in combinations(items, n) if sum(c) <= room}
+
+        def dominated(f):
+            over = Counter(items) - Counter(f)
+            return any(
+                sum(part) <= x <= sum(part) + room - sum(f) and part != (x,)
+                for n in range(len(f) + 1) for part in combinations(f, n) for x in over
+            )
+
+        got = list(packing._Room(left, room))
+        assert len(got) == len(set(got)) and set(got) == {f for f in every if not dominated(f)}
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
 def test_search_beats_best_fit_decreasing():
     rng, better = random.Random(4), 0
     for _ in range(300):
