@@ -7,7 +7,8 @@ packs the histogram: around the largest remaining length it enumerates the undom
 fillings one after the other, least waste first, prunes by the waste that a better solution
 could still afford, and keeps the best-fit-decreasing packing as the first incumbent; a
 filling is repeated as often as the counts allow (and less often on the way back), so the
-work depends on the number of distinct lengths and not of documents. ``NODE_LIMIT`` bounds it.
+work depends on the number of distinct lengths and not of documents. ``NODE_LIMIT`` and
+``STEP_LIMIT`` bound it.
 Pieces get their place by rank within their length, counted in salted groups.
 
 Defined results: null or empty text is the closing id alone; a null ``doc_id`` is packed
@@ -17,6 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -34,11 +36,12 @@ from leafmill.llm._common import map_batches, materialize, read_table
 
 CAPACITY = 2048
 END_ID = 0
-#: Nodes of the search, repeats that are tried one by one, and items of a filling whose dominance is looked at.
-NODE_LIMIT, REPEATS, DOMINANCE_ITEMS = 10_000, 8, 10
-#: Fillings of a node that the first rounds of the search try.
-WIDTHS = (6, 48)
-ROWS_PER_SALT = 200_000
+#: Nodes of the search, steps of enumeration in all of them, and repeats of a filling that are tried one by one.
+NODE_LIMIT, STEP_LIMIT, REPEATS = 10_000, 500_000, 8
+#: Fillings of a node that the first rounds of the search try, and steps that a node's enumeration may take there.
+WIDTHS = ((6, 1_000), (48, 5_000))
+#: A length's pieces are ranked in groups of about so many.
+ROWS_PER_SALT = 50_000
 
 Bins = list[tuple[tuple[int, ...], int]]  # (lengths in one bin, number of such bins)
 
@@ -97,46 +100,100 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+class _Steps:
+    """How many steps a search may still take."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
 class _Room:
-    """The undominated ways to fill ``room`` from ``left[size]`` counts, least waste first."""
+    """The undominated ways to fill ``room`` from ``left[size]`` counts, least waste first.
+
+    A filling is dominated if an item that is left over could take the place of some of its
+    items and of waste, so that the items which go fit into the one that comes. Items are chosen
+    in descending order: an item that could replace some of them is larger than all that come
+    later, so a choice that is dominated stays so, and the search goes no further there.
+    Sums of chosen items are kept as bits of one integer. The enumeration ends early when
+    ``steps`` are used up.
+    """
 
-    def __init__(self, left: np.ndarray, room: int):
-        self.left, self.room = left[: room + 1].copy(), room
-        self.sizes = np.flatnonzero(self.left)[::-1].tolist()
+    def __init__(self, left: np.ndarray, room: int, steps: _Steps | None = None):
+        self.left, self.room, self.steps = left[: room + 1].tolist(), room, steps or _Steps(sys.maxsize)
+        there = left[: room + 1] > 0
+        self.sizes = np.flatnonzero(there)[::-1].tolist()
         bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
-        self.there, self.mirror = bits(self.left > 0), bits(self.left[::-1] > 0)  # bit s: size s, size room - s
+        self.there, self.mirror = bits(there), bits(there[::-1])  # bit s: size s, size room - s
         self.reach: list[int] = []
 
     def __iter__(self) -> Iterator[tuple[int, ...]]:
         if not self.sizes:
             yield ()
             return
-        every = sum(s * int(self.left[s]) for s in self.sizes)
-        if every <= self.room:
-            yield tuple(s for s in self.sizes for _ in range(int(self.left[s])))
+        if sum(s * self.left[s] for s in self.sizes) <= self.room:
+            yield tuple(s for s in self.sizes for _ in range(self.left[s]))
             return
         # An item is left over, and would be added if the waste had room for it.
         for waste in range(min(self.sizes[0], self.room)):
+            if not self.steps.take():
+                return
             total = self.room - waste
-            for f in self._of_one_or_two(total):
-                if not self._dominated(f, waste):
-                    yield f
-            for f in self._of_more(total):
-                if not self._dominated(f, waste):
-                    yield f
-
-    def _of_one_or_two(self, total: int) -> Iterator[tuple[int, ...]]:
-        if self.left[total]:
+            yield from self._of_one_or_two(total, waste)
+            yield from self._of_more(total, waste)
+
+    def greedy(self) -> tuple[int, ...]:
+        """Largest item first, each as often as it goes."""
+        items, rest = [], self.room
+        for s in self.sizes:
+            each = min(self.left[s], rest // s)
+            items += [s] * each
+            rest -= s * each
+        return tuple(items)
+
+    def _with(self, chosen: tuple[int, int, int], s: int, waste: int, used: int) -> tuple[int, int, int] | None:
+        """(sizes left over, chosen sizes, sums of two or more) once ``s`` is chosen for the ``used``-th time; None if dominated."""
+        over, single, sums = chosen
+        if used == self.left[s]:
+            over &= ~(1 << s)
+        sums |= (sums | single) << s
+        single |= 1 << s
+        if over >> (s + 1) & ((1 << waste) - 1):
+            return None
+        wide, more = sums, waste
+        step = 1
+        while more:  # every sum, and up to ``waste`` above it
+            step = min(step, more)
+            wide |= wide << step
+            more, step = more - step, 2 * step
+        return None if over & wide else (over, single, sums)
+
+    @staticmethod
+    def _fits_waste(over: int, waste: int) -> bool:
+        return bool(over & ((2 << waste) - 1))
+
+    def _undominated(self, filling: tuple[int, ...], waste: int) -> bool:
+        chosen, used = (self.there, 0, 0), Counter()
+        for s in filling:
+            used[s] += 1
+            chosen = chosen and self._with(chosen, s, waste, used[s])
+        return chosen is not None and not self._fits_waste(chosen[0], waste)
+
+    def _of_one_or_two(self, total: int, waste: int) -> Iterator[tuple[int, ...]]:
+        if self.left[total] and self._undominated((total,), waste):
             yield (total,)
         # Bits b for which there are both b and total - b; the most even pair first.
         pairs = self.there & (self.mirror >> (self.room - total)) & ((2 << (total // 2)) - 1)
-        while pairs:
+        while pairs and self.steps.take():
             b = pairs.bit_length() - 1
             pairs ^= 1 << b
-            if b and (2 * b < total or self.left[b] > 1):
+            if b and (2 * b < total or self.left[b] > 1) and self._undominated((total - b, b), waste):
                 yield total - b, b
 
-    def _of_more(self, total: int) -> Iterator[tuple[int, ...]]:
+    def _of_more(self, total: int, waste: int) -> Iterator[tuple[int, ...]]:
         """Fillings of three items or more that sum up to ``total``, by depth-first search among sums that can be reached."""
         if total < 3 * self.sizes[-1]:
             return
@@ -144,7 +201,7 @@ class _Room:
             mask = (1 << (self.room + 1)) - 1
             self.reach = [1]
             for s in reversed(self.sizes):
-                sums, rest, step = self.reach[-1], min(int(self.left[s]), self.room // s), 1
+                sums, rest, step = self.reach[-1], min(self.left[s], self.room // s), 1
                 while rest:
                     step = min(step, rest)
                     sums |= sums << (step * s) & mask
@@ -152,52 +209,38 @@ class _Room:
                 self.reach.append(sums)
             self.reach.reverse()
 
-        def search(k: int, rest: int, n: int) -> Iterator[tuple[int, ...]]:
-            for at in range(k, len(self.sizes)):
-                if not self.reach[at] >> rest & 1:
-                    return  # nor can the smaller ones
-                s = self.sizes[at]
-                for each in range(min(int(self.left[s]), rest // s), 0, -1):
-                    if each * s == rest:
-                        if n + each > 2:
-                            yield (s,) * each
-                    elif self.reach[at + 1] >> (rest - each * s) & 1:
-                        for f in search(at + 1, rest - each * s, n + each):
-                            yield (s,) * each + f
-
-        yield from search(0, total, 0)
-
-    def _dominated(self, filling: tuple[int, ...], waste: int) -> bool:
-        """Whether an item that is left over could take the place of some of the filling's items and of waste.
-
-        The items that go must fit into the one that comes. Looked at for fillings of up to
-        ``DOMINANCE_ITEMS`` items; a longer one counts as undominated.
-        """
-        if len(filling) > DOMINANCE_ITEMS:
-            return False
-        over = self.there
-        for s, n in Counter(filling).items():
-            if n == self.left[s]:
-                over &= ~(1 << s)
-        sums = {(0, 0)}
-        for s in filling:
-            sums |= {(total + s, min(n + 1, 2)) for total, n in sums}
-        for total, n in sums:
-            low = max(1, total + (n == 1))  # one item gives way to a larger one only
-            if over >> low & ((1 << max(0, total + waste - low + 1)) - 1):
-                return True
-        return False
-
-
-def complete_bins(counts: dict[int, int], capacity: int, node_limit: int = NODE_LIMIT) -> Bins:
+        def search(k: int, rest: int, items: tuple[int, ...], chosen: tuple[int, int, int]) -> Iterator[tuple[int, ...]]:
+            if not rest:
+                if len(items) > 2 and not self._fits_waste(chosen[0], waste):
+                    yield items
+                return
+            for at in range(bisect_left(self.sizes, -rest, lo=k, key=int.__neg__), len(self.sizes)):
+                if not self.reach[at] >> rest & 1 or not self.steps.take():
+                    return  # smaller ones cannot reach it either
+                s, grown = self.sizes[at], [(items, chosen)]
+                for used in range(1, min(self.left[s], rest // s) + 1):
+                    more = self._with(grown[-1][1], s, waste, used)
+                    if more is None:
+                        break
+                    grown.append((grown[-1][0] + (s,), more))
+                for used in range(len(grown) - 1, 0, -1):
+                    if self.reach[at + 1] >> (rest - used * s) & 1:
+                        yield from search(at + 1, rest - used * s, *grown[used])
+
+        yield from search(0, total, (), (self.there, 0, 0))
+
+
+def complete_bins(
+    counts: dict[int, int], capacity: int, node_limit: int = NODE_LIMIT, step_limit: int = STEP_LIMIT
+) -> Bins:
     """Pack a histogram of lengths (1 to ``capacity``) into few bins.
 
     Depth-first branch and bound: at each node the largest length left is completed by each
     undominated filling, least waste first, as often as the counts allow. Rounds try the first
-    ``WIDTHS`` fillings of a node, and the last one all of them and each also less often (by one
-    less up to ``REPEATS`` times, by half above), so that a search that is not ended by
-    ``node_limit`` is exact where no filling repeats more often. The limit bounds all rounds
-    together; the incumbent is always a whole packing.
+    fillings of a node (``WIDTHS``; the greedy one where none is found in their steps), and the
+    last one all of them and each also less often (by one less up to ``REPEATS`` times, by half
+    above), so that a search that no limit ends is exact where no filling repeats more often.
+    The limits bound all rounds together; the incumbent is always a whole packing.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
@@ -207,12 +250,29 @@ def complete_bins(counts: dict[int, int], capacity: int, node_limit: int = NODE_
     for s, n in counts.items():
         left[s] = n
 
-    def options(width: int | None, without: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int]]:
+    work = _Steps(step_limit)
+
+    def fillings(rest: np.ndarray, room: int, width: int | None, steps: int | None) -> Iterator[tuple[int, ...]]:
+        if width is None:
+            yield from _Room(rest, room, work)
+            return
+        own = _Steps(steps)
+        way = _Room(rest, room, own)
+        found = 0
+        for found, f in enumerate(islice(way, width), 1):
+            yield f
+        work.left -= steps - max(own.left, 0)
+        if not found:
+            yield way.greedy()
+
+    def options(
+        width: int | None, steps: int | None, without: tuple[int, ...] | None
+    ) -> Iterator[tuple[tuple[int, ...], int]]:
         big = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[big] -= 1
         again = []
-        for f in islice(_Room(rest, capacity - big), width):
+        for f in fillings(rest, capacity - big, width, steps):
             items = (big, *f)
             if items == without:  # taken less often at the node before
                 continue
@@ -226,11 +286,11 @@ def complete_bins(counts: dict[int, int], capacity: int, node_limit: int = NODE_
                 yield items, n
 
     nodes = 0
-    for width in (*WIDTHS, None):
+    for width, steps in (*WIDTHS, (None, None)):
         chosen: Bins = []
-        stack = [options(width, None)] if counts else []
+        stack = [options(width, steps, None)] if counts else []
         used = waste = 0
-        while stack and nodes < node_limit and n_best > bound:
+        while stack and nodes < node_limit and work.left > 0 and n_best > bound:
             if len(chosen) == len(stack):  # undo what the last option took
                 items, n = chosen.pop()
                 for s in items:
@@ -253,8 +313,11 @@ def complete_bins(counts: dict[int, int], capacity: int, node_limit: int = NODE_
             if not left.any():
                 best, n_best = list(chosen), used
                 continue
-            stack.append(options(width, items if width is None else None))
-        if nodes >= node_limit or n_best <= bound:
+            stack.append(options(width, steps, items if width is None else None))
+        for items, n in chosen:  # a round that a limit ended has bins open
+            for s in items:
+                left[s] += n
+        if nodes >= node_limit or work.left <= 0 or n_best <= bound:
             break
     return best
 
@@ -313,8 +376,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     cuts = materialize(pieces(docs, path, capacity, end_id), "pieces")
     histogram = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(plan_of(complete_bins(histogram, capacity)))
-    salts = max(16, -(-sum(histogram.values()) // ROWS_PER_SALT))
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
+    groups = F.lit([1 + histogram.get(n, 0) // ROWS_PER_SALT for n in range(capacity + 1)])
+    own = F.get(groups, F.col("length").cast("int"))
+    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), own))
     before = (
         salted.groupBy("length", "salt")
         .count()
