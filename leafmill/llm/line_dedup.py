@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.col("doc_id").alias("_lm_id"), F.col("h").alias("_lm_h"), F.col("dead").alias("_lm_dead")
     )
     joined = docs.join(
-        dead.hint("shuffle_hash"),
+        dead,
         F.col("doc_id").eqNullSafe(F.col("_lm_id")) & (F.xxhash64("text") == F.col("_lm_h")),
         "left",
     )
