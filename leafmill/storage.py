@@ -66,7 +66,20 @@ def materialize(df: DataFrame, tag: str, files_per_core: int | None = None) -> D
     """
     path = new_dir(df.sparkSession, tag)
     write_table(df, path, files_per_core)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._leafmill_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables; for those that no later plan reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._leafmill_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +88,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def remove_intermediates(spark: SparkSession) -> None:
     """Delete every intermediate table of this library below the shared folder, once no result reads them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmill")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/leafmill")
 
 
 #: A table of more rows, or of more bytes as JSON, than this is not sent to every task.
