@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafmill.storage import materialize, new_dir, read_table, shared_dir, write_table
+from leafmill.storage import discard, materialize, new_dir, read_table, shared_dir, write_table
 
-__all__ = ["materialize", "new_dir", "read_table", "shared_dir", "write_table"]
+__all__ = ["discard", "materialize", "new_dir", "read_table", "shared_dir", "write_table"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"

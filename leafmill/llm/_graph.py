@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._common import FEW_FILES, materialize
+from leafmill.llm._common import FEW_FILES, discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; each round only takes minima by node
     (combined before the shuffle, then written) and joins them back, so a hub is never gathered
-    in one task: Spark splits the hot partitions of a join of two plain exchanges. Every round is written to the shared folder. Null ends and loops are ignored;
-    an empty table of edges gives an empty result.
+    in one task: Spark splits the hot partitions of a join of two plain exchanges. Every round is written to the shared folder, and removed once the next
+    one is. Null ends and loops are ignored; an empty table of edges gives an empty result.
     """
     links = materialize(
         edges.where("a is not null and b is not null and a <> b")
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large", FEW_FILES)
+        discard(links, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", FEW_FILES)
         small = (
             large.join(least, "u")
@@ -39,6 +40,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         links = materialize(small, "small", FEW_FILES)
+        discard(large, least)
         many = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         inner = links.select(F.col("v").alias("u")).distinct().join(links.select("u").distinct(), "u", "left_semi")
         if many.select("u").unionByName(inner).isEmpty():

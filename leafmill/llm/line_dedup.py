@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm._common import BLANKS, FEW_FILES, let, materialize, read_table
+from leafmill.llm._common import BLANKS, FEW_FILES, discard, let, materialize, read_table
 
 MIN_CHARS = 40
 
@@ -72,7 +72,9 @@ def _repeated(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("doc_id", "h", "k")
         .withColumn("ord", F.monotonically_increasing_id())
     )
-    return materialize(placed, "placed", FEW_FILES)
+    placed = materialize(placed, "placed", FEW_FILES)
+    discard(lines, often)
+    return placed
 
 
 def _blocks(rows: DataFrame, min_chars: int) -> DataFrame:
