@@ -1,26 +1,34 @@
-"""Removal of repeated line runs by prefix doubling over line ids (operator 8).
+"""Removal of repeated line runs by a suffix array over line ids (operator 8).
 
 The corpus is one sequence of non-blank lines, in order of doc_id, that no run crosses a
 document's border in. Only lines that occur at least twice can be part of a repeated run;
-they get consecutive ordinals and the id of their text. Prefix doubling then gives every place the id of the block of 2^k lines that starts
-there: the first place with the same pair of ids of half that length. Places with equal
-ids are the suffix array's intervals whose longest common prefix is at least 2^k lines
-(ids need to tell blocks apart, not to sort them, as only intervals are read), and two
-overlapping blocks give the interval of any other length.
+they get consecutive ordinals and the id of their text, and stretches of them are the
+strings whose suffixes are sorted.
 
 A run counts when its lines have at least ``MIN_CHARS`` characters together. Every line of
 a repeated run lies in a shortest block that counts, extended from its first or from its
 last line, and every such block inside a repeated run is repeated too: the union of those
-blocks over an interval is the maximal repeated run. In each interval the first
-place stays and the lines of all later ones are deleted.
+blocks is the maximal repeated run. So prefixes longer than the longest such block (at
+most ``MIN_CHARS`` lines) decide nothing, and the suffixes are sorted up to that depth.
+
+Prefix doubling ranks the first 2^k lines of each suffix: the rank of 2^(k+1) lines is the
+place of the pair (rank, rank 2^k lines on) among the sorted distinct pairs; the end of a
+stretch comes first. Sorting by rank gives the suffix array. The longest common prefix of
+neighbours is found downwards through the levels: it grows by 2^k where both go on with
+equal ranks. A block of m lines belongs to the interval of the array that a common prefix
+below m opens and the next one below m closes. In each interval the first place in
+the corpus stays and the lines of all later ones are deleted. Lines in no block of several
+lines need their first id only, and only the others are doubled.
 
 Defined results: null text stays null and has no lines; blank lines stay, but a text that
 keeps no other line becomes empty; rows that repeat both doc_id and text count as one
 document and get the same result; a null doc_id sorts first; an empty table gives an
 empty result; other columns pass through. Only DataFrame operations are used. Copies of
-one line are combined before the shuffle. The combined table is written before it is
-joined back: both sides of that join are then plain exchanges, whose hot partitions Spark
-splits, so a hot line is never gathered in one task.
+one line, or pair of ranks, are combined before the shuffle. The combined table is written
+before it is joined back: both sides of that join are then plain exchanges, whose hot
+partitions Spark splits, so a hot line is never gathered in one task. Places in the array are
+all distinct, so its ranges are even whatever the lines are; what passes from one range to the
+next is one row a range.
 """
 
 from __future__ import annotations
@@ -77,8 +85,9 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return placed
 
 
-def _blocks(rows: DataFrame, min_chars: int) -> DataFrame:
-    """(ord, m): the shortest blocks that count, from each first line on and from each last line back."""
+def _shaped(rows: DataFrame, min_chars: int) -> DataFrame:
+    """``rows`` with ``left``, the lines from each to the end of its stretch, and the lengths of the
+    shortest blocks that count from it on (``ahead``) and back from it (``behind``), or null."""
     stretch = Window.partitionBy("doc_id", "h", F.col("ord") - F.col("k")).orderBy("ord")
 
     def shortest(chars):
@@ -92,51 +101,123 @@ def _blocks(rows: DataFrame, min_chars: int) -> DataFrame:
         )
         return F.when(done["sum"] >= min_chars, done["m"])
 
-    single = rows.where(F.col("chars") >= min_chars).select("ord", F.lit(1).alias("m"))
-    short = rows.withColumn(
-        "ahead", F.collect_list("chars").over(stretch.rowsBetween(0, min_chars - 1))
-    ).withColumn("behind", F.collect_list("chars").over(stretch.rowsBetween(1 - min_chars, 0)))
-    short = short.where(F.col("chars") < min_chars).select(
-        "ord", shortest(F.col("ahead")).alias("ahead"), shortest(F.reverse("behind")).alias("behind")
-    )
-    several = (
-        short.select("ord", F.col("ahead").alias("m"))
-        .unionByName(short.select((F.col("ord") - F.col("behind") + 1).alias("ord"), F.col("behind").alias("m")))
-        .where("m is not null")
-        .distinct()
+    whole = stretch.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select(
+        *("doc_id", "h", "no", "ord", "id"),
+        (F.max("ord").over(whole) - F.col("ord") + 1).alias("left"),
+        F.collect_list("chars").over(stretch.rowsBetween(0, min_chars - 1)).alias("ahead"),
+        F.collect_list("chars").over(stretch.rowsBetween(1 - min_chars, 0)).alias("behind"),
+    ).withColumns({"ahead": shortest(F.col("ahead")), "behind": shortest(F.reverse("behind"))})
+
+
+def _in_order(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """``df`` sorted by ``keys`` over ranges, with ascending numbers ``place`` and the number ``part`` of the range."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return placed.withColumn(place, F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+
+
+def _doubled(level: DataFrame, k: int) -> DataFrame:
+    """(ord, rank, left) with ranks of 2^(k+1) lines, from those of 2^k lines."""
+    half = 1 << k
+    ahead = level.select((F.col("ord") - half).alias("ord"), F.col("rank").alias("next"))
+    follows = F.when(F.col("left") > half, F.coalesce("next", F.lit(-1))).otherwise(F.lit(-1))
+    pairs = materialize(level.join(ahead, "ord", "left").withColumn("next", follows), f"pairs{k}", FEW_FILES)
+    ranks = _in_order(pairs.select("rank", "next").distinct(), ["rank", "next"], "place").drop("part")
+    ranks = materialize(ranks, f"ranks{k}", FEW_FILES)
+    done = pairs.join(ranks, ["rank", "next"]).select("ord", F.col("place").alias("rank"), "left")
+    done = materialize(done, f"level{k + 1}", FEW_FILES)
+    discard(pairs, ranks)
+    return done
+
+
+def _with_previous(array: DataFrame) -> DataFrame:
+    """``array`` with ``prev``: (ord, id, left) of the suffix before, across ranges too."""
+    entry = F.struct("ord", "id", "left")
+    ends = array.join(F.broadcast(array.groupBy("part").agg(F.max("pos").alias("pos"))), ["part", "pos"], "left_semi")
+    carried = ends.select("part", F.lag(entry).over(Window.orderBy("part")).alias("carried"))
+    before = F.lag(entry).over(Window.partitionBy("part").orderBy("pos"))
+    return (
+        array.withColumn("prev", before)
+        .join(F.broadcast(carried), "part")
+        .select("pos", "ord", "id", F.coalesce("prev", "carried").alias("prev"))
     )
-    return single.unionByName(several)
 
 
-def _interval(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with ``first``, the least ord of equal ``keys``; only keys that occur twice."""
-    groups = rows.groupBy(*keys).agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(materialize(groups.drop("n"), "groups", FEW_FILES), keys)
+def _common_prefixes(array: DataFrame, levels: list[DataFrame], deep: DataFrame) -> DataFrame:
+    """(ord, lcp): lines that a suffix and the one before it share, exact up to ``deep`` lines.
+
+    Only for suffixes in ``deep`` (ord, deep) that share their first line with the one before.
+    """
+    found = array.where("id = prev.id").join(deep, "ord").select("ord", "prev", "deep", F.lit(1).alias("lcp"))
+    for k in reversed(range(len(levels))):
+        here, there = (
+            levels[k].select(F.col("ord").alias(f"{x}_at"), F.col("rank").alias(f"{x}_rank")) for x in ("here", "there")
+        )
+        goes_on = (F.col("here_rank") == F.col("there_rank")) & (F.col("lcp") < F.least("deep", "prev.left"))
+        found = (
+            found.join(here, F.col("here_at") == F.col("ord") + F.col("lcp"), "left")
+            .join(there, F.col("there_at") == F.col("prev.ord") + F.col("lcp"), "left")
+            .select("ord", "prev", "deep", F.when(goes_on, F.col("lcp") + (1 << k)).otherwise(F.col("lcp")).alias("lcp"))
+        )
+    return found.select("ord", "lcp")
+
+
+def _intervals(blocks: DataFrame) -> DataFrame:
+    """(ord, m, interval) of blocks (ord, m, pos, lcp): equal numbers for blocks with equal lines."""
+    sorted_ = _in_order(blocks.withColumn("opens", F.col("lcp") < F.col("m")), ["m", "pos"], "at")
+    sorted_ = materialize(sorted_.select("ord", "m", "opens", "at", "part"), "sorted", FEW_FILES)
+    opened = F.when(F.col("opens"), F.col("at"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        sorted_.groupBy("part").agg(F.max(opened).alias("last")).select("part", F.max("last").over(earlier).alias("carried"))
+    )
+    so_far = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    done = (
+        sorted_.withColumn("open", F.max(opened).over(so_far))
+        .join(F.broadcast(carried), "part")
+        .select("ord", "m", F.coalesce("open", "carried").alias("interval"))
+    )
+    done = materialize(done, "intervals", FEW_FILES)
+    discard(sorted_)
+    return done
 
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h, dead): line numbers that are later copies, by document (h: hash of its text)."""
-    rows = _repeated(docs)
-    blocks = materialize(_blocks(rows, min_chars), "blocks", FEW_FILES)
-    ids = rows.select("ord", "id")
-    later = _interval(blocks.where("m = 1").join(ids, "ord"), ["id"]).where("ord > first").select("ord", "m")
+    placed = _repeated(docs)
+    rows = materialize(_shaped(placed, min_chars), "shaped", FEW_FILES)
+    discard(placed)
+    blocks = rows.where("ahead is not null").select("ord", F.col("ahead").alias("m"))
+    back = rows.where("behind > 1").select((F.col("ord") - F.col("behind") + 1).alias("ord"), F.col("behind").alias("m"))
+    blocks = blocks.unionByName(back)
     longer = blocks.where("m > 1")
     longest = longer.agg(F.max("m")).first()[0] or 1
+
     covered = longer.select(F.explode(F.expr("sequence(ord, ord + m - 1)")).alias("ord")).distinct()
-    level = ids.join(covered, "ord", "left_semi")
-    k = 1
-    while 1 << k <= longest:
-        half = 1 << (k - 1)
-        ahead = level.select((F.col("ord") - half).alias("ord"), F.col("id").alias("next"))
-        pairs = _interval(level.join(ahead, "ord"), ["id", "next"])
-        level = materialize(pairs.select("ord", F.col("first").alias("id")), f"level{k}", FEW_FILES)
-        of_size = longer.where((F.col("m") >= 1 << k) & (F.col("m") < 1 << (k + 1)))
-        tail = level.select(F.col("ord").alias("at"), F.col("id").alias("tail"))
-        keyed = of_size.join(level, "ord").join(tail, F.col("at") == F.col("ord") + F.col("m") - (1 << k))
-        later = later.unionByName(_interval(keyed, ["m", "id", "tail"]).where("ord > first").select("ord", "m"))
-        k += 1
+    first = rows.select("ord", F.col("id").alias("rank"), "left").join(covered, "ord", "left_semi")
+    levels = [materialize(first, "level0", FEW_FILES)]
+    for k in range((longest - 1).bit_length()):
+        levels.append(_doubled(levels[k], k))
+    ranks = levels[-1].select("ord", "rank")
+    array = _in_order(rows.select("ord", "id", "left").join(ranks, "ord", "left"), ["id", "rank", "ord"], "pos")
+    array = materialize(array.drop("rank"), "array", FEW_FILES)
+    linked = materialize(_with_previous(array), "linked", FEW_FILES)
+
+    deep = longer.groupBy("ord").agg(F.max("m").alias("deep"))
+    prefixes = materialize(_common_prefixes(linked, levels[:-1], deep), "prefixes", FEW_FILES)
+    lcp = F.coalesce("lcp", F.when(F.col("id") == F.col("prev.id"), 1).otherwise(0))
+    known = linked.join(prefixes, "ord", "left").select("ord", "pos", lcp.alias("lcp"))
+    found = _intervals(blocks.join(known, "ord"))
+    discard(*levels, array, linked, prefixes)
+
+    kept = found.groupBy("interval").agg(F.min("ord").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = materialize(kept, "kept", FEW_FILES)
+    later = found.join(kept, "interval").where("ord > kept")
     dead = later.select(F.explode(F.expr("sequence(ord, ord + m - 1)")).alias("ord")).distinct()
-    return rows.join(dead, "ord", "left_semi").groupBy("doc_id", "h").agg(F.collect_list("no").alias("dead"))
+    dead = rows.join(dead, "ord", "left_semi").groupBy("doc_id", "h").agg(F.collect_list("no").alias("dead"))
+    dead = materialize(dead, "dead", FEW_FILES)
+    discard(rows, found, kept)
+    return dead
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

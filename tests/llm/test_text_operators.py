@@ -476,6 +476,16 @@ def test_line_dedup_against_brute_force(spark, seed):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == plain_line_dedup(rows)
 
 
+@pytest.mark.parametrize("min_chars", [3, 11])
+def test_line_dedup_of_short_lines(spark, min_chars):
+    """Runs that count only from many lines on, across borders of documents that could be read on."""
+    rng = random.Random(min_chars)
+    texts = ["\n".join(rng.choice(["a", "b", "cc", f"once {rng.random()}"][: rng.choice([2, 4])]) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+    rows = list(enumerate(texts + texts[:2]))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), min_chars)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == plain_line_dedup(rows, min_chars)
+
+
 def test_line_dedup_of_odd_rows(odd_docs):
     got = line_dedup.dedup_lines(odd_docs)
     rows = got.collect()
