@@ -16,6 +16,9 @@ _MODULES = {
     "op8_line_dedup": "line_dedup",
     "op9_html_extraction": "html_extract",
     "op10_quality_classifier": "rule_ensemble",
+    "op11_merkle_manifest": "merkle",
+    "op12_license_scan": "licenses",
+    "op13_source_divergence": "divergence",
 }
 
 

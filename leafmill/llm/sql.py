@@ -2,12 +2,16 @@
 
 Each is written from the contract, not from the operator's way of computing it: the line
 dedup finds runs as islands on the diagonals of all pairs of equal lines, the archive
-compares payloads directly, the quality rules read quartiles from the sorted values.
+compares payloads directly, the quality rules read quartiles from the sorted values, the
+manifest builds its trees level by level, divergence compares every pair of sources term by term.
 """
 
 from __future__ import annotations
 
+from leafmill.llm.divergence import MIN_DOCS as MIN_TERM_DOCS
+from leafmill.llm.divergence import TOP_TERMS
 from leafmill.llm.line_dedup import MIN_CHARS
+from leafmill.llm.merkle import FANOUT, TAMPER_EVERY
 from leafmill.llm.quality_rules import MIN_DOCS, RATIOS, SPREAD_FACTOR
 from leafmill.llm.warc import MIN_REVISIT
 
@@ -86,8 +90,100 @@ _LINES = rf"""
            coalesce(n, 0) AS n_lines, coalesce(x, 0) AS n_deleted
     FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id)"""
 
+
+def _crc32(text: str) -> str:
+    """zlib's crc32 of an ASCII string in DuckDB, bit by bit."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    eight = "c"
+    for _ in range(8):
+        eight = f"list_transform([{eight}], lambda c: {step})[1]"
+    chars = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({chars}, lambda a, x: list_transform([xor(a, x)], lambda c: {eight})[1]), 4294967295::BIGINT)"
+
+
+#: Levels of a tree that the SQL below unrolls: FANOUT ** LEVELS leaves.
+LEVELS = 6
+
+
+def _merkle() -> str:
+    def leaf(text: str) -> str:
+        fields = "doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, base: str) -> list[str]:
+        """CTEs name0 .. nameLEVELS of (g, i, d, n): the nodes of every level, and nameK_runs with each run's digests."""
+        out = [f"{name}0 AS ({base})"]
+        for k in range(LEVELS):
+            out.append(
+                f"{name}{k}_runs AS (SELECT g, i // {FANOUT} AS i, any_value(n) AS n, list(d ORDER BY i) AS ds FROM {name}{k} GROUP BY ALL)"
+            )
+            out.append(
+                f"{name}{k + 1} AS (SELECT g, i, CASE WHEN n = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS d,"
+                f" (n + {FANOUT - 1}) // {FANOUT} AS n FROM {name}{k}_runs)"
+            )
+        return out
+
+    def climb(name: str, start: str, group: str, index: str) -> list[str]:
+        """CTEs up_nameK: start with the proof so far and the digest folded so far."""
+        out = [f"up_{name}0 AS (SELECT * FROM {start})"]
+        for k in range(LEVELS):
+            place = f"(u.{index} // {FANOUT**k} % {FANOUT})::BIGINT"
+            left = f"array_to_string(ds[1:{place}], '')"
+            right = f"array_to_string(ds[{place} + 2:], '')"
+            out.append(
+                f"up_{name}{k + 1} AS (SELECT u.* EXCLUDE (proof, fold), CASE WHEN r.n = 1 THEN proof ELSE proof || {left} || {right} END AS proof,"
+                f" CASE WHEN r.n = 1 THEN fold ELSE sha256({left} || fold || {right}) END AS fold"
+                f" FROM up_{name}{k} u JOIN {name}{k}_runs r ON r.g = u.{group} AND r.i = u.{index} // {FANOUT ** (k + 1)})"
+            )
+        return out
+
+    ctes = [
+        f"leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf(lowered)} AS forged, {_crc32('doc_id::VARCHAR')} AS crc FROM documents)",
+        "placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,"
+        " count(*) OVER (PARTITION BY source) AS n FROM leaves)",
+        *tree("a", "SELECT s AS g, i, leaf AS d, n FROM placed"),
+        *tree("b", f"SELECT 0 AS g, g AS i, d, count(*) OVER () AS n FROM a{LEVELS}"),
+        f"started AS (SELECT *, 0 AS one, '' AS proof, CASE WHEN crc % {TAMPER_EVERY} = 0 THEN forged ELSE leaf END AS fold FROM placed)",
+        *climb("a", "started", "s", "i"),
+        *climb("b", f"up_a{LEVELS}", "one", "s"),
+    ]
+    return (
+        "WITH " + ",\n    ".join(ctes) + f"""
+    SELECT doc_id, leaf, a{LEVELS}.d AS subroot, b{LEVELS}.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+           fold = b{LEVELS}.d AS verified, source, u.i AS position
+    FROM up_b{LEVELS} u JOIN a{LEVELS} ON a{LEVELS}.g = u.s CROSS JOIN b{LEVELS}"""
+    )
+
+
+_DIVERGENCE = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    o AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= {MIN_TERM_DOCS}),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+    full_c AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY g.lang, g.source) AS n
+               FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+    p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS p FROM full_c JOIN v USING (lang)),
+    lang_c AS (SELECT lang, term, sum(c) AS c FROM p GROUP BY ALL),
+    q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang) + v) AS q FROM lang_c JOIN v USING (lang)),
+    pair_sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+    x AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term' AS part, * FROM terms),
+    ranks AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranks WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
+
 ORACLES: dict[str, str] = {
     "op6_quality_rules": _quality_rules(),
     "op7_warc": _WARC,
     "op8_line_dedup": _LINES,
+    "op11_merkle_manifest": _merkle(),
+    "op13_source_divergence": _DIVERGENCE,
 }
