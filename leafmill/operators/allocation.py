@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from leafmill.functions.text import NUMERALS, numeral_value, strip
 from leafmill.operators.dedup import first_wins
-from leafmill.storage import broadcast_blocks, materialize
+from leafmill.storage import broadcast_blocks, is_small, materialize
 
 #: Least score of a keyword match, and the borders of the confidence classes.
 MIN_OVERLAP, HIGH, MEDIUM = 0.2, 0.8, 0.5
@@ -133,40 +138,74 @@ def allocate(items: DataFrame, sections: DataFrame, score: Column, item: str = "
     )
 
 
+#: Cells of counts, items by sections, that a task holds at once.
+COUNT_CELLS = 1 << 22
+
+
+class Outline:
+    """The words of a few sections, from each word to the sections that have it."""
+
+    def __init__(self, sections: list[int], sizes: list[int], words: list[str], of: list[int]):
+        """``words[k]`` is a word of the section numbered ``of[k]``; sections ascend."""
+        order = np.argsort(np.array(words, object), kind="stable")
+        known, first = np.unique(np.array(words, object)[order], return_index=True)
+        self.sections, self.sizes = np.array(sections, np.int64), np.array(sizes, np.int64)
+        self.words = pa.array(known.tolist(), pa.string())
+        self.first = np.append(first, len(words))
+        self.of = np.array(of, np.int64)[order]
+
+    def best(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(section, or -1; share of its words) for each list of words, in slabs of ``COUNT_CELLS``."""
+        n, width = len(lists), len(self.sections)
+        section, share = np.full(n, -1, np.int64), np.zeros(n)
+        step = max(1, COUNT_CELLS // max(1, width)) if width else n + 1
+        for a in range(0, n if width else 0, step):
+            part = lists.slice(a, step)
+            number = pc.fill_null(pc.index_in(part.flatten(), self.words), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+            pair = np.unique((row * np.int64(len(self.words)) + number)[number >= 0])  # a repeated word counts once
+            row, number = np.divmod(pair, len(self.words))
+            hits = self.first[number + 1] - self.first[number]
+            at = np.repeat(self.first[number] - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+            cell = np.repeat(row, hits) * width + self.of[at]
+            shares = np.bincount(cell, minlength=len(part) * width).reshape(len(part), width) / self.sizes
+            found = shares.argmax(axis=1)
+            best = shares[np.arange(len(part)), found]
+            share[a : a + step] = best
+            section[a : a + step] = np.where(best > 0, self.sections[found], -1)
+        return section, share
+
+
 def allocate_by_overlap(items: DataFrame, sections: DataFrame, item: str = "data_id") -> DataFrame:
     """``allocate`` with the share of a section's distinct words (``of``) that the item's ``words`` have.
 
-    ``item`` tells rows apart. The outline's words get numbers; an item's words are looked up
-    where it is read and only the numbers of those that the outline has are gathered again, one
-    short array an item. Its sections are counted and the best one is found inside the row. An
-    outline that is too large to be sent to every task is joined by words instead.
+    ``item`` tells rows apart. An outline whose size is counted first goes to every task, where
+    an item's sections are counted in one row of a dense array and the best one is taken: nothing
+    is shuffled. A larger outline is joined by words.
     """
     wanted = materialize(
-        sections.select("section_index", F.size("of").alias("size"), F.explode(F.array_distinct("of")).alias("word")), "outline"
+        sections.select("section_index", F.size(F.array_distinct("of")).alias("size"), F.explode(F.array_distinct("of")).alias("word")),
+        "outline",
     )
-    words = items.select(item, F.explode_outer(F.array_distinct("words")).alias("word"))
-    if len(broadcast_blocks(wanted)) > 1:
-        return _allocated_by_words(items, words.where("word is not null"), wanted, item)
-    known = wanted.groupBy("word").agg(F.collect_list(F.struct("section_index", "size")).alias("of"))
-    listed = known.agg(F.array_sort(F.collect_list(F.struct("word", "of"))).alias("all"))
-    numbers = listed.select(F.posexplode("all").alias("no", "x")).select("no", "x.word")
-    found = words.join(F.broadcast(numbers), "word", "left").groupBy(item).agg(F.collect_list("no").alias("nos"))
-    hits = F.flatten(F.transform("nos", lambda n: F.get("all", n)["of"]))
-    best = F.transform(
-        F.array(hits),
-        lambda h: F.array_max(
-            F.transform(
-                F.array_distinct(h),
-                lambda x: F.struct((F.size(F.filter(h, lambda y: y == x)) / x["size"]).alias("s"), (-x["section_index"]).alias("i")),
+    if not is_small(wanted):
+        words = items.select(item, F.explode(F.array_distinct("words")).alias("word"))
+        return _allocated_by_words(items, words, wanted, item)
+    told = wanted.toArrow().sort_by("section_index")
+    index, place = np.unique(told["section_index"].to_numpy(), return_inverse=True)
+    size = np.zeros(len(index), np.int64)
+    size[place] = told["size"].to_numpy()
+    outline = Outline(index.tolist(), size.tolist(), told["word"].to_pylist(), place.tolist())
+    shared = items.sparkSession.sparkContext.broadcast(outline)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            section, share = shared.value.best(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(section, pa.int32()), pa.array(share)], [item, "section_index", "confidence"]
             )
-        ),
-    )[0]
-    chosen = found.join(F.broadcast(listed)).select(item, best.alias("b"))
-    return chosen.select(
-        item,
-        F.coalesce(-F.col("b.i"), F.lit(-1)).cast("int").alias("section_index"),
-        F.coalesce("b.s", F.lit(0.0)).alias("confidence"),
-    )
+
+    schema = StructType([items.schema[item], StructField("section_index", IntegerType()), StructField("confidence", DoubleType())])
+    return items.select(item, "words").mapInArrow(run, schema)
 
 
 def _allocated_by_words(items: DataFrame, words: DataFrame, wanted: DataFrame, item: str) -> DataFrame:

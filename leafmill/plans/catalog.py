@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import chunks, jsonx, models, text
 from leafmill.operators import allocation, budget, dedup, records, report, retrieval
+from leafmill.plans import indexed
+from leafmill.plans.registered import QUERIES, SQL, query
 from leafmill.sources import datasets, html
 from leafmill.storage import read_table
 from leafmill.streaming import cache
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "indexed"]
 
 #: The query string and the length of ranked lists.
 QUESTION, TOP = "the thing of tion and the", 10
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents")
 

@@ -7,8 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 _own_dir: str | None = None
 
@@ -91,19 +92,40 @@ def remove_intermediates(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/leafmill")
 
 
-#: A table of more rows, or of more bytes as JSON, than this is not sent to every task.
+#: A table of more rows, or of more bytes, than this is not sent to every task.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 * 1024 * 1024
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: strings as they are, nested columns as JSON, others 8."""
+
+    def of(field: StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, StringType):
+            return F.octet_length(col)
+        if isinstance(field.dataType, ArrayType) and isinstance(field.dataType.elementType, StringType):
+            return F.octet_length(F.array_join(col, "")) + 8 * F.size(col)
+        if isinstance(field.dataType, ArrayType | MapType | StructType):
+            return F.octet_length(F.to_json(F.struct(col)))
+        return F.lit(8)
+
+    return sum((F.coalesce(of(f), F.lit(0)) + 8 for f in df.schema), F.lit(0))
+
+
 def _blocks_of(df: DataFrame, rows: int, size: int) -> int:
     """Into how many parts ``df`` must be cut so that each has about ``rows`` rows and ``size`` bytes at most."""
-    told = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    told = df.agg(F.count("*").alias("n"), F.sum(_row_bytes(df)).alias("bytes")).first()
     return max(1, -(-told["n"] // rows), -(-(told["bytes"] or 0) // size))
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes, which is counted."""
+    return _blocks_of(df, rows, size) == 1
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, which is counted; else as it is."""
-    return F.broadcast(df) if _blocks_of(df, rows, size) == 1 else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def broadcast_blocks(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> list[DataFrame]:
