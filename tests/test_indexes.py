@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from leafmill.operators import text_index
+from leafmill.operators import text_index, vector_index
+from leafmill.plans import indexed
 from leafmill.storage import new_dir
 
 
@@ -67,3 +68,54 @@ def test_index_of_nothing(spark):
     assert text_index.build(empty, new_dir(spark, "test_index")).search(asked, 3)[0].collect() == []
     blank = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, text string")
     assert [r["doc_id"] for r in text_index.build(blank, new_dir(spark, "test_index")).search(asked, 3)[0].collect()] == [3]
+
+
+def plain_nearest(vectors, queries, limit):
+    out = []
+    for q, v in queries:
+        cos = lambda a, b: float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))) if np.any(a) and np.any(b) else 0.0
+        scored = sorted((-round(cos(np.array(v), np.array(w)), 6), i) for i, w in vectors)
+        out += [(q, i, -s + 0.0, r) for r, (s, i) in enumerate(scored[:limit], 1)]
+    return sorted(out)
+
+
+def test_vector_index_like_all_vectors(spark, monkeypatch):
+    """Clusters, equal vectors, a zero vector, a query that is no vector; chunks of a hot list."""
+    monkeypatch.setattr(vector_index, "CHUNK", 60)
+    rng = np.random.default_rng(8)
+    homes = rng.normal(size=(12, 10)) * 3
+    data = [(i, (homes[i % 12 if i % 3 else 0] + rng.normal(size=10)).astype("float32").tolist()) for i in range(500)]
+    data += [(600 + i, data[3][1]) for i in range(5)] + [(700, [0.0] * 10)]
+    queries = [(i, v) for i, v in data[::25]] + [(-1, rng.normal(size=10).astype("float32").tolist()), (-2, [0.0] * 10)]
+    df = spark.createDataFrame([*data, (999, None)], "vec_id long, embedding array<float>").repartition(3)
+    path = new_dir(spark, "test_vectors")
+    built = vector_index.build(df, path)
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    rows = lambda hits: sorted((r["query_id"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in hits.collect())
+    want = plain_nearest(data, queries, 6)
+    assert rows(built.exact(asked, 6)) == want
+    found = rows(vector_index.VectorIndex(spark, path).probe(asked, 6))
+    recall = len({r[:2] for r in found} & {r[:2] for r in want if r[0] != -2}) / len([r for r in want if r[0] != -2])
+    assert recall >= 0.95
+    assert built.exact(spark.createDataFrame([(1, [1.0] * 10)], "query_id long, embedding array<float>"), 1000).count() == len(data)
+
+
+def test_recall_of_probes(spark):
+    """The registered query against its exact twin, on all vectors."""
+    folder = "/root/testdata/sf0.1"
+    pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
+    exact = pairs(indexed.vector_index_topk(spark, folder))
+    assert len(pairs(indexed.vector_probe_topk(spark, folder)) & exact) >= 0.95 * len(exact)
+
+
+def test_codes_of_vectors():
+    """A coded vector is no farther from the vector than ``err`` tells."""
+    rng = np.random.default_rng(1)
+    vectors = vector_index.unit(rng.normal(size=(300, 20)))
+    model = vector_index.Model.fit(vectors[:200], 9)
+    of, codes, err, far = model.encoded(vectors.copy())
+    for i in range(300):
+        coded = model.centres[of[i]] + np.concatenate([w[c] for w, c in zip(model.words, codes[i], strict=True)])
+        assert abs(np.linalg.norm(vectors[i] - coded) - err[i]) < 1e-5
+        assert abs(np.linalg.norm(vectors[i] - model.centres[of[i]]) - far[i]) < 1e-5
+        assert abs(model.products(vectors[:1], of[i], codes[i : i + 1])[0, 0] - vectors[0] @ coded) < 1e-5
