@@ -29,7 +29,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -44,7 +44,6 @@ PATH_SIZE, WORD_SIZE, HIDDEN = 192, 48, 24
 MEASURES = 10
 BATCH_CHARS = 4_000_000
 STEP_CELLS = 20_000
-CLOSE_WITHIN = 64
 WEIGHTS = os.path.join(os.path.dirname(__file__), "html_labeller.npz")
 
 #: Fixed values of HTML: tags that do not interrupt a run of text, tags without an end, tags whose content is no text.
@@ -70,6 +69,16 @@ _DIGIT = re.compile(r"\d")
 _STOPS = ".,;:!?"
 
 
+def _ends_in_value(attributes: str) -> bool:
+    """Whether the last character of a start tag belongs to a value without quotes; looks at its last run without blanks."""
+    before, *last = attributes.rsplit(None, 1)
+    last = last[0] if last else before
+    value = last[last.rfind(">") + 1 :]
+    if _BARE_VALUE.search(value):
+        return True
+    return before is not last and before.endswith("=") and value is last and last[0] not in "\"'"
+
+
 #: Elements beyond which an optional end tag is not supplied.
 _KEEPS_OPEN = frozenset("ul ol dl table div section article select".split())
 
@@ -92,8 +101,8 @@ _MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|(!\[CDATA\[)|[!?/])")
 #: The rest of a start tag; quotes only count behind '='.
 _REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
-_BARE_END = re.compile(r"""=\s*[^\s"'>][^\s>]*$""")
-_COMMENT_END = re.compile(r"--!?\s*>")
+_BARE_VALUE = re.compile(r"""=[^\s"'>]""")
+_COMMENT_END = re.compile(r"-->|(?<!<!)--!>")
 #: Elements whose content is not parsed.
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in ("script", "style")}
 _PATH_ATTRIBUTES = frozenset(("class", "id", "role", "itemprop"))
@@ -105,6 +114,8 @@ class _Blocks:
     def __init__(self):
         self.stack: list[str] = []
         self.outer: list[tuple[int, int]] = []  # of each element that is not inline: its place in the stack, its tokens
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of those of a tag
+        self.keeps: list[int] = []  # and of those that keep others open
         self.trail: list[int] = []  # buckets of all their tokens
         self.count = [0] * PATH_SIZE
         self.path = 0
@@ -138,6 +149,9 @@ class _Blocks:
             self.count[at] += 1
             self.path |= 1 << at
         self.outer.append((len(self.stack) - 1, len(tokens)))
+        self.at[tag].append(len(self.stack) - 1)
+        if tag in _KEEPS_OPEN:
+            self.keeps.append(len(self.stack) - 1)
         self.inline_open.append(Counter())
 
     def _pop(self) -> None:
@@ -148,6 +162,9 @@ class _Blocks:
         if tag in INLINE:
             self.inline_open[-1][tag] -= 1
             return
+        self.at[tag].pop()
+        if tag in _KEEPS_OPEN:
+            self.keeps.pop()
         for _ in range(self.outer.pop()[1]):
             at = self.trail.pop()
             self.count[at] -= 1
@@ -161,13 +178,9 @@ class _Blocks:
 
     def _close(self, tags: tuple[str, ...]) -> None:
         """Close the nearest open element of ``tags``, unless a list, table or section stands between."""
-        if any(self.open[t] for t in tags):
-            for at, _ in self.outer[: -CLOSE_WITHIN - 1 : -1]:
-                if self.stack[at] in tags:
-                    self._pop_to(at)
-                    return
-                if self.stack[at] in _KEEPS_OPEN:
-                    return
+        nearest = max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+        if nearest >= 0 and (not self.keeps or nearest >= self.keeps[-1]):
+            self._pop_to(nearest)
 
     def read(self, html: str) -> None:
         at = 0
@@ -189,7 +202,7 @@ class _Blocks:
             if not rest:
                 return len(html)
             self.start(tag, rest[1])
-            if rest[1].endswith("/") and not _BARE_END.search(rest[1]):
+            if rest[1].endswith("/") and not _ends_in_value(rest[1]):
                 if tag not in VOID:
                     self.end(tag)
             elif tag in _RAW_END:

@@ -305,6 +305,41 @@ def test_hostile_pages_take_linear_time():
     assert time.process_time() - began < 200
 
 
+@pytest.mark.parametrize("page", [
+    lambda n: "<a " + "=" * n + " />x", lambda n: "<a " + "= " * n + "/>x", lambda n: "<a b=" + " " * n + "c/>x", lambda n: "<a b='" + "x/" * n + "'/>y",
+    lambda n: "<!--" + "-- >" * n + "x", lambda n: "<!--" + "--!" * n + ">x", lambda n: "<div>" * n + "<p>" + "<li>" * n,
+])
+def test_hostile_tags_take_time_in_proportion(page):
+    """Eight times the page takes at most about eight times as long."""
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.blocks_of(page(n))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 20 * max(seconds(20_000), 0.01)
+
+
+def test_ends_of_tags_and_comments():
+    text = lambda html: " ".join(b.text for b in html_extract.blocks_of(html))
+    assert text("<!-- a -- > hidden -->seen") == "seen"
+    assert text("<!-- a --!>seen") == "seen" and text("<!-->seen") == "seen" and text("<!--->seen") == "seen"
+    for attributes, value in (
+        ("a=/", True), ("a=b/", True), ("a=b c/", False), ("a= b/", True), ("a =b/", True), ('a="x"/', False), ("a='x y'/", False),
+        ("a/", False), ("a= /", True), ("/", False), ('a="x=y"/', True), ('a=b="x"/', True), ("a = '/", False), ('a="x>y"/', False), ('a=b>"/', False),
+    ):
+        plain = re.search(r"""=\s*[^\s"'>][^\s>]*$""", attributes) is not None
+        assert html_extract._ends_in_value(attributes) is plain is value, attributes
+
+
+def test_optional_ends_are_supplied_however_deep():
+    html = "<ul><li>a" + "<b><em>" * 100 + "<div>" * 0 + "<li>b" + "</ul>" + "<p>c" + "<form>" * 90 + "<p>d"
+    paths = [b.depth for b in html_extract.blocks_of(html)]
+    assert paths[0] == paths[1] == 2  # the second li closed the first
+    assert [b.text for b in html_extract.blocks_of(html)] == ["a", "b", "c", "d"]
+
+
 def test_text_of_formulas_stays_in_its_block():
     got = html_extract.blocks_of("<p>The energy is <math><mi>E</mi></math> in MeV.</p><object>seen</object>")
     assert [b.text for b in got] == ["The energy is E in MeV.", "seen"]
