@@ -143,19 +143,21 @@ class _Side:
         return int((edges[1::2] - edges[::2]).max(initial=0))
 
 
-def _longest_common(a: _Side, b: _Side, least: int) -> int:
-    """The length of the longest free run of both; 0 if none has ``least`` words."""
-    most = min(a.longest_free(), b.longest_free())
-    common = lambda n: n <= most and bool(np.isin(a.runs(n)[1], b.runs(n)[1]).any())
-    if not common(least):
+def _longest_common(a: _Side, b: _Side, least: int, most: int) -> int:
+    """The length of the longest free run of both, which is at most ``most``; 0 if none has ``least`` words.
+
+    Looks from ``most`` down in growing steps, as the next length is often close to the last one.
+    """
+    most = min(most, a.longest_free(), b.longest_free())
+    common = lambda n: bool(np.isin(a.runs(n)[1], b.runs(n)[1]).any())
+    if most < least or not common(least):
         return 0
-    low, step = least, 1
-    while common(low + step):
-        low, step = low + step, 2 * step
-    while step > 1:
-        step //= 2
-        if common(low + step):
-            low += step
+    low, above, step = most, most + 1, 1
+    while low > least and not common(low):
+        low, above, step = max(least, most - step), low, 2 * step
+    while above - low > 1:
+        mid = (low + above) // 2
+        low, above = (mid, above) if common(mid) else (low, mid)
     return low
 
 
@@ -173,7 +175,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int
     ours = _Side(doc[kept], inside[kept], powers)
     theirs = _Side(item, np.ones(len(item), np.bool_), powers)
     found: list[tuple[int, int, int]] = []
-    while length := _longest_common(ours, theirs, n):
+    length = min(len(kept), len(item))
+    while length := _longest_common(ours, theirs, n, length):
         waiting: dict[int, list[int]] = {}
         places, hashes = ours.runs(length)
         same = np.isin(hashes, theirs.runs(length)[1])

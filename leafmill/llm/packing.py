@@ -373,12 +373,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece, with its sequence and its offset there."""
     spark = docs.sparkSession
-    cuts = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    cuts = materialize(pieces(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(plan_of(complete_bins(histogram, capacity)))
     groups = F.lit([1 + histogram.get(n, 0) // ROWS_PER_SALT for n in range(capacity + 1)])
     own = F.get(groups, F.col("length").cast("int"))
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), own))
+    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("row"), own))
     before = (
         salted.groupBy("length", "salt")
         .count()
@@ -388,12 +388,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
             (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"),
         )
     )
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("row")
     ranked = (
-        salted.withColumn("row", F.row_number().over(order))
+        salted.withColumn("place", F.row_number().over(order))
         .join(before, ["length", "salt"])
         .select(
-            "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank")
+            "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place") - 1).alias("rank")
         )
     )
 

@@ -46,7 +46,8 @@ STATISTICS = {
     "upper": "s.n_upper / greatest(s.n_chars, 1)",
     "digits": "s.n_digits / greatest(s.n_chars, 1)",
     "exclaims": "s.n_exclaim / greatest(s.n_words, 1)",
-    "distinct": "s.n_distinct_words / greatest(s.n_words, 1)",
+    # Herdan's measure: unlike the plain share of distinct words it does not fall with a text's length.
+    "distinct": "if(s.n_words > 0, ln(1 + s.n_distinct_words) / ln(1 + s.n_words), 1.0)",
     "words_per_line": "s.n_words / greatest(s.n_lines, 1)",
     "blank": "1 - s.word_chars / greatest(s.n_chars, 1)",
 }
@@ -219,7 +220,7 @@ class RuleEnsemble:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the bounded sample of rows to learn from."""
+    """Statistics and labels of at most ``rows`` rows to learn from, drawn by hash from the labels and again from their documents."""
     chosen = (
         labels.where("quality is not null and doc_id is not null")
         .where(~held_out(F.col("doc_id")))
@@ -228,7 +229,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
         .limit(rows)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = with_statistics(texts).select("_lm_x", "_lm_y", "doc_id").collect()
+    # A doc_id may have any number of rows in either table: their sample is bounded again, by a hash of the rows.
+    found = with_statistics(texts).select("_lm_x", "_lm_y", "doc_id")
+    got = found.orderBy(F.xxhash64("doc_id", "_lm_x", "_lm_y"), "doc_id", "_lm_x", "_lm_y").limit(rows).collect()
     got.sort(key=lambda r: (r["doc_id"], r["_lm_y"], r["_lm_x"]))
     return np.array([r["_lm_x"] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r["_lm_y"] for r in got])
 

@@ -512,6 +512,54 @@ def test_rules_learn_and_compile(spark):
     assert np.allclose(direct, [r["score"] for r in scored], atol=1e-9)
 
 
+def test_weights_meet_the_conditions_of_a_lasso():
+    """Where a weight is zero the loss falls by less than the penalty either way, elsewhere by just as much."""
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(400, 12))
+    y = (z[:, 0] - 0.7 * z[:, 3] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    penalty = 0.02
+    w, b = rule_ensemble.lasso_logistic(z, y, penalty, 4000)
+    gap = 1 / (1 + np.exp(-(z @ w + b))) - y
+    slope = z.T @ gap / len(y)
+    assert abs(gap.mean()) < 1e-5 and 0 < (w != 0).sum() < 12
+    assert np.all(np.abs(slope[w == 0]) <= penalty + 1e-5) and np.allclose(slope[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-5)
+    loss = lambda v, c: np.mean(np.logaddexp(0, z @ v + c) - y * (z @ v + c)) + penalty * np.abs(v).sum()
+    for _ in range(200):  # no step nearby does better
+        assert loss(w + rng.normal(size=12) * 0.02, b + rng.normal() * 0.02) >= loss(w, b) - 1e-9
+
+
+def test_paths_of_trees_are_all_their_conjunctions():
+    """Rules of grown trees against walks of every row: a rule fires where the row passes its node."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (300, 4)).astype(float)
+    target = (x[:, 0] > 2) * 1.0 + (x[:, 1] <= 1) - 0.5 * (x[:, 2] > 4)
+    tree = rule_ensemble.grow(x, target, np.ones(300), rng)
+
+    def passed(node, row, so_far=()):
+        while isinstance(node, tuple):
+            j, bound, below, above = node
+            up = bool(row[j] > bound)
+            so_far, node = (*so_far, (j, up, bound)), above if up else below
+            yield so_far
+
+    rules = rule_ensemble.paths(tree)
+    assert len(rules) == len(set(rules)) > 4
+    walks = [set(passed(tree, row)) for row in x]
+    assert set().union(*walks) <= set(rules)
+    for rule in rules:
+        assert rule_ensemble.fires(rule, x).tolist() == [rule in walk for walk in walks]
+
+
+def test_training_rows_stay_bounded(spark):
+    """However often doc_ids are repeated in documents or labels."""
+    docs = spark.createDataFrame([(i % 7 + 1, f"text {i} " * 9) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7 + 1, i % 2) for i in range(60)], "doc_id long, quality int")
+    x, y = rule_ensemble.training_rows(docs, labels, 40)
+    assert len(x) == len(y) == 40
+    again = rule_ensemble.training_rows(docs.repartition(5), labels.repartition(3), 40)
+    assert np.array_equal(again[0], x) and np.array_equal(again[1], y)
+
+
 def test_held_out_accuracy(spark):
     scored = rule_ensemble.op10_quality_classifier(spark, "/root/testdata/sf0.01")
     held = scored.where("held_out").join(read_table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").collect()
