@@ -1,7 +1,8 @@
 """Budgeted prefixes and ordered folds over the items of a group.
 
-Prefixes are running sums. Folds whose state depends on earlier decisions stream the
-sorted rows of each group through an Arrow function.
+Prefixes and fixed batches are running sums over ranges of rows. Folds whose state depends on earlier
+decisions stream the sorted rows of each group through an Arrow function; what they decide of one row depends on all
+before it, so a group is one task's, which holds one row of it at a time.
 """
 
 from __future__ import annotations
@@ -15,12 +16,34 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from leafmill.operators.dedup import first_wins
+from leafmill.storage import materialize
+
+
+def running_sums(df: DataFrame, group: list[str], ord_col: str, cost: str | None, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``cost`` (None: of ones) over a group's rows up to and with this one; null costs count nothing.
+
+    Rows are sorted in ranges of the group and ``ord_col`` and written; sums inside a range come from a window, and
+    what the ranges before it have of a group is added: a large group is several tasks'. ``ord_col`` tells a group's rows apart.
+    """
+    dealt = df.repartitionByRange(*group, ord_col).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    value = F.lit(1).cast("long") if cost is None else F.coalesce(cost, F.lit(0))
+    inside = Window.partitionBy("_range", *group).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.groupBy("_range", *group).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_sum")
+    names = [f"_g{i}" for i in range(len(group))]
+    parts = parts.withColumn("_before", before).select(F.col("_range").alias("_r"), *(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), "_before")
+    same = F.col("_range") == F.col("_r")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    summed = dealt.withColumn(name, F.sum(value).over(inside)).join(parts, same)
+    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_r", "_before", *names)
 
 
 def prefix_within(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int, base: int = 0) -> DataFrame:
     """Items until the first that overflows: base + running sum of (non-negative) costs stays within the budget."""
-    run = F.sum(cost).over(Window.partitionBy(*group).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", base + run).where(F.col("running") <= budget)
+    summed = running_sums(df, group, ord_col, cost, "running")
+    return summed.withColumn("running", base + F.col("running")).where(F.col("running") <= budget)
 
 
 def suffix_within(df: DataFrame, group: list[str], ord_col: str, cost: str, budget: int, last: int = 10) -> DataFrame:
@@ -36,8 +59,8 @@ def suffix_within(df: DataFrame, group: list[str], ord_col: str, cost: str, budg
 
 def fixed_batches(df: DataFrame, group: list[str], ord_col: str, size: int) -> DataFrame:
     """``batch``: 0 for the first ``size`` items, 1 for the next, and so on."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(ord_col))
-    return df.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+    numbered = running_sums(df, group, ord_col, None, "batch")
+    return numbered.withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
 
 
 def _streamed(df: DataFrame, group: list[str], ord_col: str, cost: str, begin: Callable, kind: pa.DataType, name: str) -> DataFrame:

@@ -849,7 +849,7 @@ def global_citations(spark, d):
 )
 def report_stats(spark, d):
     docs = _docs(spark, d)
-    content = report.joined_in_order(docs, ["source"], "doc_id", F.col("text"), "\n", "content")
+    content = report.joined_length(docs, ["source"], F.col("text"), "\n", "content")
     counts = docs.groupBy("source").agg(
         F.count_if(F.col("doc_id") % 3 == 0).alias("data_count"),
         F.count_if(F.col("doc_id") % 11 == 0).alias("chart_count"),

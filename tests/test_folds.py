@@ -148,3 +148,46 @@ def test_empty_groups(spark):
     for df in (budget.greedy_batches(none, ["g"], "o", "c", 4), budget.fill_skipping(none, ["g"], "o", "c", 4)):
         assert df.count() == 0
     assert dedup.first_wins(none, F.col("g"), "o").count() == 0
+
+
+def plain_url_or_content(rows):
+    us, cs, kept = set(), set(), []
+    for o, u, c in sorted(rows):
+        if (u is None or u not in us) and (c is None or c not in cs):
+            kept.append(o)
+            us.add(u)
+            cs.add(c)
+    return kept
+
+
+def test_url_or_content_of_a_long_chain(spark):
+    """Each row shares its url with the one before or its content with the one after; rounds do not grow with the chain."""
+    rows = [(i, f"u{i // 2}", f"c{(i + 1) // 2}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "o long, u string, c string")
+    got = sorted(r["o"] for r in dedup.url_or_content(df, "u", "c", "o").collect())
+    assert got == plain_url_or_content(rows)
+
+
+def test_url_or_content_of_large_components(spark):
+    """Components too large for one task go on in rounds."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, f"u{i // 2}"]) if i % 9 == 0 else f"u{i // 2}", f"c{(i + 1) // 2}") for i in range(60)]
+    rows += [(100 + i, f"x{rng.randrange(12)}", f"y{rng.randrange(12)}") for i in range(80)] + [(300, None, None), (301, None, None)]
+    df = spark.createDataFrame(rows, "o long, u string, c string")
+    got = sorted(r["o"] for r in dedup.url_or_content(df, "u", "c", "o", local_rows=5).collect())
+    assert got == plain_url_or_content(rows)
+
+
+def test_running_sums_of_groups_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, *range(9)])) for i in range(500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o long, c long").repartition(5)
+    total, n, want = {}, {}, []
+    for g, o, c in sorted(rows, key=lambda r: r[1]):
+        total[g], n[g] = total.get(g, 0) + (c or 0), n.get(g, 0) + 1
+        want.append((o, total[g], (n[g] - 1) // 7))
+    sums = {r["o"]: r["s"] for r in budget.running_sums(df, ["g"], "o", "c", "s").collect()}
+    batches = {r["o"]: r["batch"] for r in budget.fixed_batches(df, ["g"], "o", 7).collect()}
+    assert [(o, sums[o], batches[o]) for o, _, _ in want] == want
+    assert budget.running_sums(df.limit(0), ["g"], "o", "c", "s").count() == 0
