@@ -147,7 +147,7 @@ def indexed_leaves(leaves: DataFrame, order: list[str]) -> DataFrame:
 
     Rows lie in sorted ranges; only the number of rows of each tree in each range is summed.
     """
-    keyed = materialize(leaves.withColumn("row", F.monotonically_increasing_id()), "leaves", FEW_FILES)
+    keyed = materialize(leaves.withColumn("row", F.monotonically_increasing_id()), "leaves")
     by = ["tree", *order, "digest", "row"]
     dealt = keyed.repartitionByRange(*by).sortWithinPartitions(*by)
     dealt = materialize(
