@@ -183,7 +183,7 @@ def _compare(key: tuple, terms: pa.Table, groups: pa.Table) -> pa.Table:
 
 def source_divergence(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank): how far sources are from each other, and which terms set them apart."""
-    counts = materialize(term_counts(docs), "term_counts", FEW_FILES)
+    counts = materialize(term_counts(docs), "term_counts")
     of_lang = Window.partitionBy("lang")
     groups = counts.where("term is null").select(
         "lang",
@@ -200,7 +200,7 @@ def source_divergence(docs: DataFrame) -> DataFrame:
         .where(F.col("docs") >= MIN_DOCS)
         .select("lang", "term", "total", F.col("of.place").alias("places"), F.col("of.n").alias("counts"))
     )
-    kept = materialize(kept, "kept_terms", FEW_FILES)
+    kept = materialize(kept, "kept_terms")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_n"))
     sizes = (
         kept.select("lang", F.explode(F.arrays_zip("places", "counts")).alias("x"))
