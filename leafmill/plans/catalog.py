@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import chunks, jsonx, models, text
 from leafmill.operators import allocation, budget, dedup, records, report, retrieval
-from leafmill.plans import indexed
+from leafmill.plans import generated, indexed
 from leafmill.plans.registered import QUERIES, SQL, query
 from leafmill.sources import datasets, html
 from leafmill.storage import read_table
 from leafmill.streaming import cache
 
-__all__ = ["QUERIES", "SQL", "indexed"]
+__all__ = ["QUERIES", "SQL", "generated", "indexed"]
 
 #: The query string and the length of ranked lists.
 QUESTION, TOP = "the thing of tion and the", 10
@@ -674,7 +674,14 @@ def _matches(spark, d) -> DataFrame:
     return allocation.allocate_by_overlap(items, sections)
 
 
-@query("allocate_outline")
+@query(
+    "allocate_outline",
+    """WITH s(section_index, ws) AS (VALUES (0, ['the', 'of']), (1, ['de', 'la', 'que']), (2, ['der', 'und'])),
+       i AS (SELECT doc_id AS data_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+|[一-鿿]')) AS ws FROM documents),
+       p AS (SELECT data_id, section_index, len(list_intersect(i.ws, s.ws))::DOUBLE / len(s.ws) AS score FROM i, s),
+       b AS (SELECT *, row_number() OVER (PARTITION BY data_id ORDER BY score DESC, section_index) AS rn FROM p)
+       SELECT data_id, (CASE WHEN score > 0 THEN section_index ELSE -1 END)::INT AS section_index, score AS confidence FROM b WHERE rn = 1""",
+)
 def allocate_outline(spark, d):
     """Items against a short outline with any score column; equals the join by words where the score is the overlap."""
     sections = spark.createDataFrame([(0, ["the", "of"]), (1, ["de", "la", "que"]), (2, ["der", "und"])], "section_index int, of array<string>")
@@ -808,7 +815,14 @@ def unmatched_sections(spark, d):
     return part.select("p_brand").distinct().join(part.where("p_size > 40").select("p_brand"), "p_brand", "left_anti")
 
 
-@query("chart_assets")
+@query(
+    "chart_assets",
+    f"""WITH c AS (SELECT * FROM (SELECT {_CHART_COLS} FROM part)),
+        k AS (SELECT *, CASE section WHEN '核心财务数据' THEN 1 WHEN '业务发展' THEN 2 WHEN '风险评估' THEN 4 ELSE 5 END AS s, CASE priority WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END AS p FROM c)
+        SELECT '{{"metadata":{{"created_at":"2024-01-01","target_name":"acme","total_charts":' || count(*) FILTER (success) || ',"failed_charts":' ||
+            count(*) FILTER (NOT success) || '}},"charts":[' || string_agg('{{"title":"' || title || '","section":"' || section || '","priority":"' || priority
+            || '","png_path":"p.png"}}', ',' ORDER BY s, p, title, ord) FILTER (success) || ']}}' AS value FROM k""",
+)
 def chart_assets(spark, d):
     return datasets.chart_assets(_charts(spark, d).withColumn("png_path", F.lit("p.png")), "acme", "2024-01-01")
 
