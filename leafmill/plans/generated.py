@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import search_queries as sq
-from leafmill.operators import charts
+from leafmill.operators import charts, outlines
 from leafmill.plans.registered import query
 from leafmill.storage import read_table
 
@@ -80,3 +80,10 @@ def processed_charts(spark, d):
     made = charts.processed(suggestions, records, generate, lambda html: f"chart of {html}")
     refs = F.array_join(F.transform("references", lambda x: F.concat_ws(":", x["ref_num"], x["data_id"], x["title"])), " ")
     return made.select("suggestion_id", "success", "error", "chart_html", "raw_data_count", refs.alias("refs"))
+
+
+@query("document_outline")
+def document_outline(spark, d):
+    """Eight sections of all documents; tests compare trees and unions with plain versions."""
+    sections, placed = outlines.outline(read_table(spark, d, "documents"), 8)
+    return placed.join(F.broadcast(sections.select("section_index", "title")), "section_index").select("doc_id", "section_index", "title")
