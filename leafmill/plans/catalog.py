@@ -567,7 +567,16 @@ def range_fill(spark, d):
     return budget.fill_between(lines.drop("l_quantity"), lines.where("l_quantity > 30").select("doc_id", "chunk_no"))
 
 
-@query("feedback_batches")
+@query(
+    "feedback_batches",
+    f"""WITH RECURSIVE k AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+        f AS (SELECT source, doc_id, n_chars, i, 0::BIGINT AS batch, n_chars AS used, 0::BIGINT AS generated FROM k WHERE i = 1
+            UNION ALL SELECT source, doc_id, n_chars, i, batch + o::BIGINT, CASE WHEN o THEN n_chars ELSE used + n_chars END,
+                generated + CASE WHEN o THEN least(used, {BUDGET}) // 10 ELSE 0 END
+            FROM (SELECT k.*, f.batch, f.used, f.generated, f.used + k.n_chars > {BUDGET} - f.generated AS o
+                FROM f JOIN k ON k.source = f.source AND k.i = f.i + 1))
+        SELECT source, doc_id, n_chars, batch FROM f""",
+)
 def feedback_batches(spark, d):
     docs = _docs(spark, d).select("source", "doc_id", "n_chars")
     return budget.feedback_batches(

@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.jsonx import json_array
 from leafmill.functions.models import model_call
 from leafmill.storage import discard, materialize
 
@@ -166,3 +167,33 @@ class AnswerTable:
         for v, kind in self._versions():
             if live and v < live[0][0]:
                 files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"v{v:010}-{kind}"), True)
+
+
+#: Reasons of judgements that no model gave.
+NO_REASON, UNREADABLE, CALL_FAILED = "No reason provided.", "Failed to parse JSON from LLM response: ", "LLM call failed - "
+
+
+def judged(table: AnswerTable, asks: DataFrame, call: Callable[[str], str]) -> DataFrame:
+    """(key, is_high_quality, reason, source, cached) for each distinct key of ``asks`` (key, input, used).
+
+    The answer's JSON object has ``is_high_quality`` and ``reason``; an array gives its first object. A failed call and
+    an answer without an object are judgements too, of low quality, and kept like the others. ``source`` is cache or call.
+    """
+
+    def failed(error: Column) -> Column:
+        reason = F.concat(F.lit(CALL_FAILED), F.regexp_replace(error, "^[A-Za-z_.]+: ", ""))
+        return F.to_json(F.struct(F.lit(False).alias("is_high_quality"), reason.alias("reason")))
+
+    said = table.ask(asks, call, on_failure=failed).where("answer is not null")
+    found = F.try_parse_json(json_array(F.col("answer")))
+    first = F.coalesce(F.try_variant_get(found, "$[0]", "variant"), found)
+    readable = F.coalesce(F.startswith(F.schema_of_variant(first), F.lit("OBJECT")), F.lit(False))
+    good = F.coalesce(F.try_variant_get(first, "$.is_high_quality", "boolean"), F.lit(False))
+    reason = F.coalesce(F.try_variant_get(first, "$.reason", "string"), F.lit(NO_REASON))
+    return said.select(
+        "key",
+        F.when(readable, good).otherwise(False).alias("is_high_quality"),
+        F.when(readable, reason).otherwise(F.concat(F.lit(UNREADABLE), "answer")).alias("reason"),
+        F.when(F.col("cached"), "cache").otherwise("call").alias("source"),
+        "cached",
+    )
