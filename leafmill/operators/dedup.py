@@ -46,7 +46,7 @@ def fan_back(df: DataFrame, results: DataFrame, text: str) -> DataFrame:
 
 
 #: Rounds of minima before what is left is parted into components, and the rows of a component that one task takes.
-ROUNDS, LOCAL_ROWS = 3, 200_000
+ROUNDS, LOCAL_ROWS = 8, 200_000
 
 
 def url_or_content(df: DataFrame, url: str, content: str, ord_col: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
