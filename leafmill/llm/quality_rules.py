@@ -5,8 +5,10 @@ upper-case letters, exclamation marks: per mille; word length: per cent). For ea
 (lang, source) a mergeable quantile sketch holds how often each value occurs, rounded
 down to six significant bits (relative error below 1/32), so sketches of any two sets of
 rows merge by adding counts, in any order, with the same result. The quartiles read from
-a sketch give Tukey fences ``q25 - spread_factor * iqr`` and ``q75 + spread_factor * iqr``
-with a smallest spread for each ratio; a document outside a fence is rejected.
+a sketch give Tukey fences ``q25 - spread_factor * iqr`` and ``q75 + spread_factor * iqr``;
+a document outside a fence is rejected. A smallest spread for each ratio stands in where the
+quartiles say nothing: ratios that are 0 in three quarters of a group's documents have no
+interquartile range, and that of a ratio which varies cannot be told below the sketch's rounding.
 Groups of fewer than ``min_docs`` documents take the merged sketch of their language, then
 that of the whole corpus.
 
@@ -26,16 +28,16 @@ from leafmill.llm._common import FEW_FILES, materialize, read_table
 from leafmill.llm._stats import with_text_stats
 
 MIN_DOCS = 30
-SPREAD_FACTOR = 3
+SPREAD_FACTOR = 8
 
 #: Ratio: (numerator, denominator, scale, smallest spread, whether low values fail too).
 RATIOS = {
-    "symbols": ("n_symbols", "n_words", 1000, 20, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 120, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 150, False),
-    "upper": ("n_upper", "n_chars", 1000, 50, False),
-    "exclaim": ("n_exclaim", "n_words", 1000, 50, False),
-    "word_length": ("word_chars", "n_words", 100, 60, True),
+    "symbols": ("n_symbols", "n_words", 1000, 8, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 45, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 56, False),
+    "upper": ("n_upper", "n_chars", 1000, 4, False),
+    "exclaim": ("n_exclaim", "n_words", 1000, 19, False),
+    "word_length": ("word_chars", "n_words", 100, 16, True),
 }
 
 

@@ -88,7 +88,7 @@ def plain_quality(rows):
         for name, (_, _, _, least, both) in quality_rules.RATIOS.items():
             values = sorted(v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6) for v in (g[name] for g in group))
             q25, q75 = values[-(-len(values) // 4) - 1], values[-(-3 * len(values) // 4) - 1]
-            width = 3 * max(q75 - q25, least)
+            width = quality_rules.SPREAD_FACTOR * max(q75 - q25, least)
             fits &= ratios[name] <= q75 + width and not (both and ratios[name] < q25 - width)
         if fits:
             kept.add(doc_id)

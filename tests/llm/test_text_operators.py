@@ -435,6 +435,16 @@ def test_fences_do_not_depend_on_partitions(spark):
     assert some[0] == some[1] and some[0]
 
 
+def test_fences_follow_the_spread_of_a_group(spark):
+    """The same long words are an outlier where words are alike, and none where they vary."""
+    long = " ".join(["abcdefgh"] * 2 + [f"word{k:04d}" for k in range(58)])
+    rows = [(100 * g + i, " ".join(f"{k:0{3 + (i % 2 + i % 3 if wide else 0)}d}" for k in range(60)), "en", f"s{g}") for g, wide in enumerate((False, True)) for i in range(40)]
+    rows += [(900 + g, long, "en", f"s{g}") for g in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(docs).collect()}
+    assert [i for i, kept in got.items() if not kept] == [900]
+
+
 def test_rules_follow_labels(spark):
     verdicts = quality_rules.quality_verdicts(read_table(spark, SMALL, "documents")).join(read_table(spark, SMALL, "labels"), "doc_id")
     good = verdicts.where("quality = 1 and not base_failed")
