@@ -119,3 +119,35 @@ def test_codes_of_vectors():
         assert abs(np.linalg.norm(vectors[i] - coded) - err[i]) < 1e-5
         assert abs(np.linalg.norm(vectors[i] - model.centres[of[i]]) - far[i]) < 1e-5
         assert abs(model.products(vectors[:1], of[i], codes[i : i + 1])[0, 0] - vectors[0] @ coded) < 1e-5
+
+
+def written_rows(monkeypatch):
+    """Rows of each table that searches write."""
+    seen, write = [], text_index.materialize
+
+    def counted(df, tag, *rest):
+        table = write(df, tag, *rest)
+        seen.append(table.count())
+        return table
+
+    monkeypatch.setattr(text_index, "materialize", counted)
+    return seen
+
+
+def test_nothing_is_written_for_a_query_and_a_window(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i % 3}") for i in range(700)], "doc_id long, text string").coalesce(2)
+    built = text_index.build(docs, new_dir(spark, "test_index"), window=4)
+    seen = written_rows(monkeypatch)
+    asked = spark.createDataFrame([(k, f"a b{k % 7} c{k % 3}") for k in range(25)], "query_id long, query string")
+    assert built.search(asked, 3)[0].count() == 75
+    assert built.windows.count() == 176 and max(seen) <= 25 * 8
+
+
+def test_queries_share_sets_of_excluded_documents(spark):
+    docs = [(i, f"a {'bcdefgh'[i % 7]} {'xyz'[i % 3]}") for i in range(300)]
+    queries = [(k, f"a {'bcdefgh'[k % 7]} {'xyz'[k % 3]}") for k in range(25)]
+    built = text_index.build(spark.createDataFrame(docs, "doc_id long, text string"), new_dir(spark, "test_index"), window=16)
+    asked = spark.createDataFrame([(k, t, k % 5) for k, t in queries], "query_id long, query string, k long")
+    sets = spark.createDataFrame([(i % 5, i) for i in range(300)], "k long, doc_id long")
+    got = sorted((r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in built.search(asked, 4, sets, by="k")[0].collect())
+    assert got == plain_bm25(docs, queries, 4, {(k, i) for k, _ in queries for i in range(300) if i % 5 == k % 5})
