@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,17 +96,28 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def cached_pages(requests: DataFrame, cache: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Pages for the requested urls: from the cache by md5(url), else from what was fetched."""
+def cached_pages(requests: DataFrame, cache: DataFrame, fetched: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """A page for each request: from the cache by md5(url), else from what was fetched; one with neither goes.
+
+    ``also`` are columns that tell pages of one url apart. Of several pages with the same url (and these) that
+    of the least html is taken, so that repeated requests are not multiplied.
+    """
+    key = ["key", *also]
+    one = lambda df: df.select(F.md5("url").alias("key"), *also, "html").groupBy(*key).agg(F.min("html").alias("html"))
     keyed = requests.withColumn("key", F.md5("url"))
-    hit = keyed.join(cache.select(F.md5("url").alias("key"), "html"), "key")
-    miss = keyed.join(cache.select(F.md5("url").alias("key")), "key", "left_anti").join(fetched, "url")
+    hit = keyed.join(one(cache), key)
+    miss = keyed.join(cache.select(F.md5("url").alias("key"), *also), key, "left_anti").join(one(fetched), key)
     return hit.select("url", "html").unionByName(miss.select("url", "html"))
 
 
-def searched_pages(hits: DataFrame, pages: DataFrame, keep_snippets: bool = False) -> DataFrame:
-    """Hits with their pages; without one a hit goes, or stays with its snippet as text."""
-    kept = hits.where("coalesce(url, '') <> ''").join(pages.select("url", "md"), "url", "left" if keep_snippets else "inner")
+def searched_pages(hits: DataFrame, pages: DataFrame, keep_snippets: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """Hits with their pages; without one a hit goes, or stays with its snippet as text.
+
+    ``also`` are columns of both that tell pages of one url apart. Of several pages with the same url (and these)
+    that of the least text is taken.
+    """
+    one = pages.groupBy("url", *also).agg(F.min("md").alias("md"))
+    kept = hits.where("coalesce(url, '') <> ''").join(one, ["url", *also], "left" if keep_snippets else "inner")
     if not keep_snippets:
         return kept
     return kept.withColumn(

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from checking import SMALL, rows_of
+from checking import SMALL, rows_of, same
 from pyspark.sql import functions as F
 
 from leafmill.operators import allocation, records, report, retrieval
@@ -158,3 +158,27 @@ def test_objects_of_variants(spark):
     v = F.array(*(F.parse_json(F.lit(s)) for s in ('{"a":1}', "[1]", "2")))
     row = spark.range(1).select(F.transform(jsonx.only_objects(v), lambda x: F.to_json(x)).alias("o"), F.to_json(jsonx.parsed_or(F.lit("{bad"), "[]")).alias("d")).first()
     assert row["o"] == ['{"a":1}'] and row["d"] == "[]"
+
+
+@pytest.mark.parametrize("name", ["cached_pages", "searched_pages"])
+def test_pages_that_share_a_url(spark, tmp_path, name):
+    """Two and three pages of one url, cached, fetched and not found, against the query's SQL."""
+    import duckdb
+
+    from leafmill.plans import catalog
+
+    urls = ["a", "b", "b", "c", "c", "d", "d", "d", "e", "e"]
+    pages = spark.createDataFrame([(i, u, f"html {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same(catalog.QUERIES[name](spark, str(tmp_path)), duck.sql(catalog.SQL[name]))
+
+
+def test_repeated_pages_do_not_multiply_requests(spark):
+    from leafmill.sources import datasets
+
+    pages = spark.createDataFrame([("u", "x"), ("u", "w"), ("v", "y"), ("v", "z")], "url string, html string")
+    asked = spark.createDataFrame([("u",), ("u",), ("v",), ("n",)], "url string")
+    got = datasets.cached_pages(asked, pages.where("url = 'u'"), pages)
+    assert sorted(map(tuple, got.collect())) == [("u", "w"), ("u", "w"), ("v", "y")]
