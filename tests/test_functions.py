@@ -213,3 +213,17 @@ def test_model_calls(spark):
     assert filled == {1: "A", 2: "bad", 3: "own", 4: ""}
     assert models.with_retries(lambda t: asked.append(t) or "", 3)("q") == "" and len(asked) == 3
     assert models.until_long(lambda t: "abc", 7)("q") == "abcabcabc"
+
+
+def test_few_texts_are_held_at_once(spark):
+    """A batch is worked off in parts that are bounded by number and by length, in order and whole."""
+    import pandas as pd
+
+    texts = pd.Series(["x" * 10] * 1000 + [None] + ["y" * 700_000] * 3)
+    parts = list(chunks.few_at_once(texts))
+    assert max(map(len, parts)) == 256 and [len(p) for p in parts[-2:]] == [1, 1]
+    assert [t for p in parts for t in p] == texts.tolist() and list(chunks.few_at_once(texts[:0])) == []
+    assert [len(a) for a, b in chunks.few_at_once(texts[:300], texts[:300])] == [256, 44]
+    df = spark.range(700).selectExpr("id", "concat('a b ', id)  as t").coalesce(1)
+    got = df.select("id", chunks.chunked(df["t"], "tokens", 2).alias("c")).collect()
+    assert [r["c"] for r in got] == [["a b ", str(i)] for i in range(700)]
