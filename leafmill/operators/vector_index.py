@@ -7,8 +7,10 @@ leaves out. A search reads codes, adds up a query's products with the codewords
 ``REFINE`` most promising vectors again from their own numbers.
 
 ``probe`` looks into each query's nearest lists only, and may miss some. ``exact`` misses none: the last
-of the best scores that ``probe`` found is a threshold, a list may hold better ones only if its centroid's
-product plus its radius reaches it, a vector only if its coded product plus ``err`` does.
+of the best products in the nearest lists is a threshold, and a list may hold better ones only if its centroid's
+product plus its radius reaches it. There a query meets the vectors themselves, as a product of matrices, and
+only those that reach the threshold leave the task. Small lists share a shelf, so that a query is sent once for
+about ``CHUNK`` vectors and not to each list.
 
 Centroids and codewords are fitted on about ``SAMPLE`` vectors drawn from the whole table; every
 vector is indexed. Lists are cut into chunks of about ``CHUNK`` vectors: a task meets one chunk and the queries that look into it.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -173,24 +176,20 @@ class VectorIndex:
 
         return queries.mapInArrow(run, StructType(list(queries.schema)).add("list", "integer").add("product", "float"))
 
-    def _scanned(self, pairs: DataFrame, keep: int | None) -> DataFrame:
-        """(query, list, id, product) of coded vectors: the ``keep`` greatest of a chunk, or all that reach ``least``."""
+    def _scanned(self, pairs: DataFrame, keep: int) -> DataFrame:
+        """(query, list, id, product) of coded vectors: the ``keep`` greatest of a chunk."""
         shared = self._shared
 
         def scan(key: tuple, coded: pa.Table, asked: pa.Table) -> pa.Table:
             of, out = key[0].as_py(), []
             codes = np.frombuffer(b"".join(coded["code"].to_pylist()), np.uint8).reshape(len(coded), -1)
-            err = coded["err"].to_numpy()
             step = max(1, SLAB // max(1, len(coded)))
             for a in range(0, len(asked) if len(coded) else 0, step):
                 part = asked.slice(a, step)
                 products = shared.value.products(unit(_matrix(part["vector"].combine_chunks())), of, codes)
-                if keep is None:
-                    row, col = np.nonzero(products + err + SLACK >= part["least"].to_numpy()[:, None])
-                else:
-                    k = min(keep, len(coded))
-                    col = np.argpartition(-products, k - 1, axis=1)[:, :k].ravel()
-                    row = np.repeat(np.arange(len(part)), k)
+                k = min(keep, len(coded))
+                col = np.argpartition(-products, k - 1, axis=1)[:, :k].ravel()
+                row = np.repeat(np.arange(len(part)), k)
                 out.append((part["query"].take(pa.array(row)), coded["id"].take(pa.array(col)), products[row, col]))
             return pa.table(
                 {
@@ -205,9 +204,9 @@ class VectorIndex:
             "chunk", F.explode(F.expr("sequence(0, chunks - 1)"))
         )
         key = ["list", "chunk"]
-        asked = asked.select(*key, "query", "vector", *(["least"] if keep is None else []))
+        asked = asked.select(*key, "query", "vector")
         schema = StructType([pairs.schema["query"]]).add("list", "integer").add(self.codes.schema["id"]).add("product", "float")
-        return self.codes.select(*key, "id", "code", "err").groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(scan, schema)
+        return self.codes.select(*key, "id", "code").groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(scan, schema)
 
     def _scored(self, found: DataFrame, queries: DataFrame) -> DataFrame:
         """(query, id, score) of found vectors by their own numbers."""
@@ -228,15 +227,63 @@ class VectorIndex:
         return self._scored(found.withColumn("at", best).where(F.col("at") <= refine * limit), asked)
 
     def exact(
-        self, queries: DataFrame, limit: int, probes: int = PROBES, refine: int = REFINE, query_col: str = "query_id", vector: str = "embedding", id_col: str = "vec_id"
+        self, queries: DataFrame, limit: int, probes: int = PROBES, query_col: str = "query_id", vector: str = "embedding", id_col: str = "vec_id"
     ) -> DataFrame:
-        """(query, id, score, rank) of the nearest of all vectors; lists and vectors that cannot be among them are passed over."""
+        """(query, id, score, rank) of the nearest of all vectors; lists that cannot hold any of them are passed over."""
         asked = materialize(queries.select(F.col(query_col).alias("query"), F.col(vector).cast("array<float>").alias("vector")), "asked")
-        last = _ranked(self._probed(asked, limit, probes, refine), limit).where(F.col("rank") == limit)
-        least = materialize(last.select("query", F.col("score").cast("float").alias("least")), "least")
-        pairs = self._pairs(asked, None).join(self.lists.select("list", "radius"), "list").join(least, "query", "left")
+        near = self._met(self._pairs(asked, probes).withColumn("least", F.lit(-2.0).cast("float")), limit)
+        at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("product")))
+        last = near.select("query", "product").withColumn("at", at).where(F.col("at") == limit)
+        least = materialize(last.select("query", (F.col("product") - 2 * SLACK).cast("float").alias("least")), "least")
+        pairs = self._pairs(asked, None).join(F.broadcast(self.lists.select("list", "radius")), "list").join(least, "query", "left")
         pairs = pairs.na.fill(-2.0, ["least"]).where(F.col("product") + F.col("radius") + SLACK >= F.col("least"))
-        return _named(_ranked(self._scored(self._scanned(pairs, None), asked), limit), query_col, id_col)
+        return _named(_ranked(self._scored(self._met(pairs, None), asked), limit), query_col, id_col)
+
+    def _met(self, pairs: DataFrame, keep: int | None) -> DataFrame:
+        """(query, list, id, product) of the vectors in each query's lists: the ``keep`` greatest of a shelf, or all that reach ``least``."""
+
+        def meet(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
+            out = []
+            if len(own) and len(asked):
+                vectors, lists = unit(_matrix(own["vector"].combine_chunks())), own["list"].to_numpy()
+                wanted = asked["lists"].combine_chunks()
+                width = max(int(lists.max()), int(pc.max(wanted.flatten()).as_py())) + 1
+                step = max(1, SLAB // max(len(own), width))
+                for a in range(0, len(asked), step):
+                    part, of = asked.slice(a, step), wanted.slice(a, step)
+                    may = np.zeros((len(part), width), bool)
+                    may[np.repeat(np.arange(len(part)), of.value_lengths().to_numpy()), of.flatten().to_numpy()] = True
+                    products = np.where(may[:, lists], unit(_matrix(part["vector"].combine_chunks())) @ vectors.T, -np.inf)
+                    low = part["least"].to_numpy()
+                    if keep is not None and keep < len(own):
+                        low = np.maximum(low, np.partition(products, len(own) - keep, axis=1)[:, len(own) - keep])
+                    row, col = np.nonzero(products >= low[:, None])
+                    if keep is not None:  # any of those that tie for the last place
+                        order = np.lexsort((-products[row, col], row))
+                        row, col = row[order], col[order]
+                        few = np.arange(len(row)) - np.searchsorted(row, row) < keep
+                        row, col = row[few], col[few]
+                    out.append((part["query"].take(pa.array(row)), own.select(["list", "id"]).take(pa.array(col)), products[row, col]))
+            return pa.table(
+                {
+                    "query": pa.chunked_array([x for q, _, _ in out for x in q.chunks], asked["query"].type),
+                    "list": pa.chunked_array([x for _, t, _ in out for x in t["list"].chunks], pa.int32()),
+                    "id": pa.chunked_array([x for _, t, _ in out for x in t["id"].chunks], own["id"].type),
+                    "product": pa.array(np.concatenate([p for _, _, p in out]) if out else [], pa.float32()),
+                }
+            )
+
+        # A shelf is as many lists in a row as have about CHUNK vectors; a list of several chunks is one of its own.
+        told = self.lists.select("list", "n", "chunks").orderBy("list").toPandas()
+        shelf = np.where(told["chunks"] > 1, -1 - told["list"], told["n"].cumsum() // CHUNK)
+        rows = list(zip(told["list"].tolist(), shelf.tolist(), told["chunks"].tolist(), strict=True))
+        shelves = lambda: F.broadcast(pairs.sparkSession.createDataFrame(rows, "list int, shelf long, chunks int"))
+        key = ["shelf", "chunk"]
+        asked = pairs.join(shelves(), "list").groupBy("query", "shelf", "chunks").agg(F.first("vector").alias("vector"), F.first("least").alias("least"), F.collect_list("list").alias("lists"))
+        asked = asked.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select(*key, "query", "vector", "least", "lists")
+        own = self.codes.join(shelves().drop("chunks"), "list").select(*key, "list", "id", "vector")
+        schema = StructType([pairs.schema["query"]]).add("list", "integer").add(self.codes.schema["id"]).add("product", "float")
+        return own.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, schema)
 
 
 def _ranked(scored: DataFrame, limit: int) -> DataFrame:

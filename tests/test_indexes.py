@@ -151,3 +151,20 @@ def test_queries_share_sets_of_excluded_documents(spark):
     sets = spark.createDataFrame([(i % 5, i) for i in range(300)], "k long, doc_id long")
     got = sorted((r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in built.search(asked, 4, sets, by="k")[0].collect())
     assert got == plain_bm25(docs, queries, 4, {(k, i) for k, _ in queries for i in range(300) if i % 5 == k % 5})
+
+
+def test_few_vectors_leave_the_tasks_of_an_exact_search(spark, monkeypatch):
+    """Vectors without clusters: what is scored again stays near the limit, and lists share shelves."""
+    seen, scored = [], vector_index.VectorIndex._scored
+
+    def counted(self, found, queries):
+        seen.append(found.count())
+        return scored(self, found, queries)
+
+    monkeypatch.setattr(vector_index.VectorIndex, "_scored", counted)
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=32).astype("float32").tolist()) for i in range(3000)]
+    built = vector_index.build(spark.createDataFrame(data, "vec_id long, embedding array<float>"), new_dir(spark, "test_vectors"))
+    asked = spark.createDataFrame(data[::100], "query_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in built.exact(asked, 5).collect())
+    assert got == sorted((q, r, i) for q, i, _, r in plain_nearest(data, data[::100], 5)) and max(seen) <= 30 * 25
