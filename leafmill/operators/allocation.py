@@ -138,8 +138,10 @@ def allocate(items: DataFrame, sections: DataFrame, score: Column, item: str = "
     )
 
 
-#: Cells of counts, items by sections, that a task holds at once.
-COUNT_CELLS = 1 << 22
+#: Cells of counts, items by sections, and hits that a task holds at once.
+COUNT_CELLS = 1 << 20
+#: Items whose words are looked up at once.
+SLICE = 1024
 
 
 class Outline:
@@ -155,26 +157,36 @@ class Outline:
         self.of = np.array(of, np.int64)[order]
 
     def best(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """(section, or -1; share of its words) for each list of words, in slabs of ``COUNT_CELLS``."""
+        """(section, or -1; share of its words) for each list of words, in slabs of about ``COUNT_CELLS`` counts and hits."""
         n, width = len(lists), len(self.sections)
         section, share = np.full(n, -1, np.int64), np.zeros(n)
-        step = max(1, COUNT_CELLS // max(1, width)) if width else n + 1
-        for a in range(0, n if width else 0, step):
-            part = lists.slice(a, step)
-            number = pc.fill_null(pc.index_in(part.flatten(), self.words), -1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
-            pair = np.unique((row * np.int64(len(self.words)) + number)[number >= 0])  # a repeated word counts once
-            row, number = np.divmod(pair, len(self.words))
-            hits = self.first[number + 1] - self.first[number]
-            at = np.repeat(self.first[number] - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
-            cell = np.repeat(row, hits) * width + self.of[at]
-            shares = np.bincount(cell, minlength=len(part) * width).reshape(len(part), width) / self.sizes
-            found = shares.argmax(axis=1)
-            best = shares[np.arange(len(part)), found]
-            share[a : a + step] = best
-            section[a : a + step] = np.where(best > 0, self.sections[found], -1)
+        if not width or not n:
+            return section, share
+        number = pc.fill_null(pc.index_in(lists.flatten(), self.words), -1).to_numpy(zero_copy_only=False)
+        cut = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        # A word that many sections have is a hit in each of them.
+        hits = np.append(0, np.cumsum(np.where(number >= 0, self.first[number + 1] - self.first[number], 0)))
+        a = 0
+        while a < n:
+            most = int(np.searchsorted(hits[cut], hits[cut[a]] + COUNT_CELLS, "right")) - 1
+            b = min(n, a + max(1, COUNT_CELLS // width), max(a + 1, most))
+            section[a:b], share[a:b] = self._best_of(number[cut[a] : cut[b]], np.diff(cut[a : b + 1]))
+            a = b
         return section, share
 
+    def _best_of(self, number: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = len(self.sections)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        pair = np.unique((row * np.int64(len(self.words)) + number)[number >= 0])  # a repeated word counts once
+        row, number = np.divmod(pair, len(self.words))
+        hits = self.first[number + 1] - self.first[number]
+        at = np.repeat(self.first[number] - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+        cell = np.repeat(row, hits) * width + self.of[at]
+        shares = np.bincount(cell, minlength=len(lengths) * width).reshape(len(lengths), width) / self.sizes
+        found = shares.argmax(axis=1)
+        best = shares[np.arange(len(lengths)), found]
+        return np.where(best > 0, self.sections[found], -1), best
+
 
 def allocate_by_overlap(items: DataFrame, sections: DataFrame, item: str = "data_id") -> DataFrame:
     """``allocate`` with the share of a section's distinct words (``of``) that the item's ``words`` have.
@@ -199,10 +211,11 @@ def allocate_by_overlap(items: DataFrame, sections: DataFrame, item: str = "data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            section, share = shared.value.best(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(section, pa.int32()), pa.array(share)], [item, "section_index", "confidence"]
-            )
+            for part in (batch.slice(a, SLICE) for a in range(0, len(batch), SLICE)):
+                section, share = shared.value.best(part.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(section, pa.int32()), pa.array(share)], [item, "section_index", "confidence"]
+                )
 
     schema = StructType([items.schema[item], StructField("section_index", IntegerType()), StructField("confidence", DoubleType())])
     return items.select(item, "words").mapInArrow(run, schema)

@@ -227,3 +227,27 @@ def test_few_texts_are_held_at_once(spark):
     df = spark.range(700).selectExpr("id", "concat('a b ', id)  as t").coalesce(1)
     got = df.select("id", chunks.chunked(df["t"], "tokens", 2).alias("c")).collect()
     assert [r["c"] for r in got] == [["a b ", str(i)] for i in range(700)]
+
+
+def test_outline_counts_in_bounded_memory():
+    """Common words of many sections are counted in slabs of their hits, with the results of one item at a time."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from leafmill.operators.allocation import Outline
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(400)]
+    sections = [rng.sample(words, 60) for _ in range(200)]
+    outline = Outline(list(range(200)), [60] * 200, [w for s in sections for w in s], [i for i, s in enumerate(sections) for _ in s])
+    lists = [rng.sample(words, 120) for _ in range(3000)] + [None, [], ["other"], ["w1", "w1"]]
+    column = pa.array(lists, pa.list_(pa.string()))
+    tracemalloc.start()
+    section, share = outline.best(column)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    for i in [*range(0, 3000, 100), 3000, 3001, 3002, 3003]:
+        shares = [len(set(lists[i] or []) & set(s)) / 60 for s in sections]
+        assert (section[i], share[i]) == (shares.index(max(shares)) if max(shares) else -1, max(shares))
