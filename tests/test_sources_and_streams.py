@@ -182,3 +182,17 @@ def test_repeated_pages_do_not_multiply_requests(spark):
     asked = spark.createDataFrame([("u",), ("u",), ("v",), ("n",)], "url string")
     got = datasets.cached_pages(asked, pages.where("url = 'u'"), pages)
     assert sorted(map(tuple, got.collect())) == [("u", "w"), ("u", "w"), ("v", "y")]
+
+
+def test_report_of_texts_joins_each_text_once(spark):
+    """The same reports as from joined sections, nulls and empty texts included, in one aggregation of all texts."""
+    rows = [(r, n, o, t) for r in "ab" for n in (1, 2) for o, t in enumerate(["x", None, "", "y"])] + [("b", 3, 0, None)]
+    texts = spark.createDataFrame(rows, "report_id string, number int, ord long, text string")
+    sections = spark.createDataFrame([(r, f"t{n}", n) for r, n in (("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 1))], "report_id string, title string, number int")
+    refs = spark.createDataFrame([("a", 1, "t1", "u"), ("a", 2, None, "v"), ("a", 3, "t", "w"), ("z", 1, "t", "u")], "report_id string, ref_num int, title string, url string")
+    joined = report.joined_in_order(texts, ["report_id", "number"], "ord", F.col("text"), "\n", "content")
+    whole = sections.join(joined, ["report_id", "number"], "left").na.fill("", ["content"])
+    made = report.markdown_of_texts(sections, texts, refs)
+    assert rows_of(made) == rows_of(report.markdown(whole, refs))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
