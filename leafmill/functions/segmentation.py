@@ -81,12 +81,39 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return _prefix_hashes(codes)[np.arange(len(words)), lengths]
 
 
-def _find(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places in ``sorted_hashes``, -1 for what it has not."""
-    if not len(sorted_hashes):
-        return np.full(hashes.shape, -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == hashes, at, -1)
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over the first axis of what ``x`` has the logarithms of."""
+    most = x.max(axis=0)
+    most[np.isneginf(most)] = 0
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - most).sum(axis=0)) + most
+
+
+class Places:
+    """Where each of some sorted hashes is: a table by their highest bits says where to begin."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(1, min(22, int(4 * len(hashes) + 1).bit_length()))
+        self.size, self.shift = len(hashes), np.uint64(64 - bits)
+        self.hashes = np.append(hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.first = np.searchsorted(hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places, -1 for what is not there."""
+        flat = hashes.ravel()
+        place = self.first[(flat >> self.shift).view(np.int64)]
+        found = self.hashes[place]
+        out = np.where((found == flat) & (place < self.size), place, -1).astype(np.int64)
+        left = np.flatnonzero(found < flat)
+        place = place[left]
+        while len(left):
+            place = place + 1
+            found, own = self.hashes[place], flat[left]
+            same = (found == own) & (place < self.size)
+            out[left[same]] = place[same]
+            more = found < own
+            left, place = left[more], place[more]
+        return out.reshape(hashes.shape)
 
 
 class Lexicon:
@@ -96,6 +123,7 @@ class Lexicon:
         hashes = _word_hashes(words)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.words, self.log_p = hashes[order], [words[i] for i in order], np.asarray(log_p, float)[order]
+        self.places = Places(self.hashes)
         self.longest = max(map(len, words), default=1)
         self.unknown = (float(self.log_p.min()) if words else 0.0) - UNKNOWN
 
@@ -119,7 +147,7 @@ class Lattice:
         codes, self.lengths = _grid(runs)
         prefix, self.edge, self.cost = _prefix_hashes(codes), [], []
         for size in range(1, min(lexicon.longest, codes.shape[1]) + 1):
-            word = _find(lexicon.hashes, _hashes(prefix, size))
+            word = lexicon.places.find(_hashes(prefix, size))
             inside = np.arange(word.shape[1]) + size <= self.lengths[:, None]
             if not whole:
                 inside &= self.lengths[:, None] > size
@@ -132,14 +160,23 @@ class Lattice:
     def best(self) -> tuple[np.ndarray, np.ndarray]:
         """(log probability, length of the last word) of the best path to every place; the shorter last word on ties."""
         n, width = len(self.runs), int(self.lengths.max(initial=0))
-        score, back = np.full((n, width + 1), -np.inf), np.zeros((n, width + 1), np.int64)
-        score[:, 0] = 0
+        sizes, ways = len(self.edge), self._ways(width, True)
+        score, back = np.full((width + 1 + sizes, n), -np.inf), np.zeros((width + 1, n), np.int64)
+        score[sizes] = 0
         for t in range(1, width + 1):
-            for size in range(1, min(len(self.edge), t) + 1):
-                way = score[:, t - size] + self.cost[size - 1][:, t - size]
-                better = way > score[:, t]
-                score[better, t], back[better, t] = way[better], size
-        return score, back
+            way = score[t : t + sizes][::-1] + ways[t]
+            back[t] = best = way.argmax(axis=0)
+            score[sizes + t] = way[best, np.arange(n)]
+        back[1:] = np.where(np.isfinite(score[sizes + 1 :]), back[1:] + 1, 0)
+        return np.ascontiguousarray(score[sizes:].T), np.ascontiguousarray(back.T)
+
+    def _ways(self, width: int, ending: bool) -> np.ndarray:
+        """Costs by place, size and run: of the words that end at a place, or begin there."""
+        out = np.full((width + 1, len(self.edge), len(self.runs)), -np.inf)
+        for size, cost in enumerate(self.cost, 1):
+            at = slice(size, width + 1) if ending else slice(0, width + 1 - size)
+            out[at, size - 1] = cost.T
+        return out
 
     def words(self) -> Iterator[tuple[int, list[str]]]:
         """(number of the run, its words on the best path)."""
@@ -155,16 +192,19 @@ class Lattice:
         """How often each word is expected in the runs, each of which stands there ``times``."""
         n, width = len(self.runs), int(self.lengths.max(initial=0))
         sizes = len(self.edge)
-        ahead = np.full((n, width + 1), -np.inf)
-        ahead[:, 0] = 0
+        ways = self._ways(width, True)
+        far = np.full((width + 1 + sizes, n), -np.inf)
+        far[sizes] = 0
         for t in range(1, width + 1):
-            ways = [ahead[:, t - s] + self.cost[s - 1][:, t - s] for s in range(1, min(sizes, t) + 1)]
-            ahead[:, t] = np.logaddexp.reduce(ways)
-        behind = np.full((n, width + 1), -np.inf)
-        behind[np.arange(n), self.lengths] = 0
+            far[sizes + t] = _log_sum(far[t : t + sizes][::-1] + ways[t])
+        ahead = np.ascontiguousarray(far[sizes:].T)
+        ways = self._ways(width, False)
+        far = np.full((width + 1 + sizes, n), -np.inf)
+        far[self.lengths, np.arange(n)] = 0
         for t in range(width - 1, -1, -1):
-            ways = [behind[:, t + s] + self.cost[s - 1][:, t] for s in range(1, min(sizes, width - t) + 1)]
-            behind[:, t] = np.logaddexp(behind[:, t], np.logaddexp.reduce(ways))
+            own = _log_sum(far[t + 1 : t + 1 + sizes] + ways[t])
+            far[t] = np.where(t == self.lengths, 0, own)
+        behind = np.ascontiguousarray(far[: width + 1].T)
         whole = ahead[np.arange(n), self.lengths][:, None]
         out = np.zeros(len(self.lexicon.words))
         for s in range(1, sizes + 1):
@@ -189,6 +229,8 @@ def _runs_table(texts: DataFrame, text: str) -> DataFrame:
 def _pieces(runs: DataFrame, size: int, shorter: np.ndarray | None) -> DataFrame:
     """(piece, n): occurrences of pieces of ``size`` characters whose two shorter pieces are in ``shorter``."""
 
+    known_pieces = Places(shorter) if shorter is not None else None
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
@@ -198,7 +240,7 @@ def _pieces(runs: DataFrame, size: int, shorter: np.ndarray | None) -> DataFrame
                 found = _hashes(prefix, size)
                 able = np.arange(found.shape[1]) + size <= lengths[:, None]
                 if shorter is not None:
-                    known = _find(shorter, _hashes(prefix, size - 1)) >= 0
+                    known = known_pieces.find(_hashes(prefix, size - 1)) >= 0
                     able &= known[:, :-1] & known[:, 1:]
                 row, col = np.nonzero(able)
                 _, first, which = np.unique(found[row, col], return_index=True, return_inverse=True)

@@ -95,3 +95,13 @@ def test_texts_without_letters(spark):
     rows = {r["doc_id"]: r["words"] for r in seg.segmented(df, seg.Lexicon(["qq"], np.zeros(1))).collect()}
     assert rows[1] == rows[2] == rows[3] == [] and rows[4] == ["qq"] * 1500
     assert seg.learn(df.where("doc_id < 4")).words == []
+
+
+def test_places_of_hashes():
+    """Looked up among hashes that crowd in one part of the range, the greatest ones included."""
+    rng = np.random.default_rng(3)
+    some = np.unique(np.concatenate([rng.integers(0, 1 << 64, 500, np.uint64), rng.integers(0, 900, 300, np.uint64), np.array([2**64 - 2], np.uint64)]))
+    asked = np.concatenate([some[::2], rng.integers(0, 1200, 500, np.uint64), np.array([2**64 - 1, 2**64 - 2, 0], np.uint64)])
+    known = {int(h): i for i, h in enumerate(some)}
+    assert seg.Places(some).find(asked.reshape(1, -1)).tolist() == [[known.get(int(h), -1) for h in asked]]
+    assert seg.Places(some[:0]).find(asked[:3]).tolist() == [-1] * 3
