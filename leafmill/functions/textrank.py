@@ -22,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafmill.functions.models import model_call
-
 DAMPING, STEPS = 0.85, 30
 WINDOW, PHRASE_WORDS, COMMON_SHARE = 4, 3, 0.5
 ROUND = 9
@@ -81,8 +79,17 @@ def by_ranks(most: int = 3) -> Callable[[str], str]:
 
 
 def summarised(df: DataFrame, text: str, most: int = 3, name: str = "summary") -> DataFrame:
-    """``df`` with the summary of each text, made once for each distinct text; null texts have none."""
-    return model_call(df, F.col(text), by_ranks(most), name).drop(f"{name}_error")
+    """``df`` with the summary of each text, null texts have none. Texts are not dealt out: each is summed up where it is read."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 200) for a in range(0, len(batch), 200)):
+                texts = part.column(at).to_pylist()
+                told = {t: summary(t, most) for t in set(texts) if t is not None}
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([told.get(t) for t in texts], pa.string())], [*part.schema.names, name])
+
+    return df.mapInArrow(run, StructType(list(df.schema)).add(name, "string"))
 
 
 def runs_of(text: str) -> list[list[str]]:

@@ -105,3 +105,10 @@ def test_queries_on_documents(spark):
             want = tr.best_phrases(runs, ranks, stop, 5)
             got = [phrases[i][k] for k in sorted(phrases.get(i, {}))]
             assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-7)
+
+
+def test_summaries_are_made_where_texts_are_read(spark):
+    rows = [(1, "One cat. Two cats ran. A cat ran far. Dogs sat."), (2, None), (3, ""), (4, "One cat. Two cats ran. A cat ran far. Dogs sat.")]
+    made = tr.summarised(spark.createDataFrame(rows, "i long, t string"), "t", 2)
+    assert {r["i"]: r["summary"] for r in made.collect()} == {i: None if t is None else tr.summary(t, 2) for i, t in rows}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
