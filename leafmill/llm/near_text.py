@@ -1,9 +1,15 @@
-"""One document of each group of similar texts: an exact similarity join (pipeline's near-duplicate stage).
+"""One document of each group of similar texts (pipeline's near-duplicate stage): SimHash and pivot tables, then an exact join.
 
 Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at
-least 0.8. No linked pair is missed. Shingle sets are ordered by hash; of a set of n shingles
+least 0.8. First SimHash fingerprints of the sets propose pairs: sets with equal pivot coordinates
+in one block are a bucket, in it each is paired with the nearest one before it (``simhash``'s
+pivot distances discard, bits verify) within ``PRINT_BITS``. What is similar of these, by the sets themselves, is linked.
+Fingerprints miss pairs (at 0.8 they are expected to differ in 9.7 bits, and buckets of more than
+``BUCKET_LIMIT`` sets are compared in parts), so an exact join finds the rest, and no linked pair is missed.
+
+The exact join: shingle sets are ordered by hash; of a set of n shingles
 the first n // 5 + 1 are its keys, and two sets of similarity 0.8 share at least one key (the
-prefix filter). SimHash cannot stand in for this: at 0.8 fingerprints differ in 3 to 11 bits.
+prefix filter). Pairs that the fingerprints have joined already are left out.
 
 Pairs that share a key are compared in two steps, so that a group of m near copies does not
 make m * m pairs. First each member of a key is paired with two members drawn by hash, and
@@ -30,9 +36,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from leafmill.llm._common import FEW_FILES, discard, map_batches, materialize
 from leafmill.llm._graph import connected_components
-from leafmill.llm.simhash import SEED, shingle_hashes
+from leafmill.llm.simhash import BLOCKS, BUCKET_LIMIT, SEED, coordinates, majority, nearest_links, shingle_hashes
 
 SHINGLE_WORDS = 5
+#: Bits in which fingerprints of a proposed pair may differ: 9.7 are expected at a similarity of 0.8, and 1.5 standard deviations more.
+PRINT_BITS = 14
 #: Members of a key that one task compares; more are compared by pairs of blocks.
 BLOCK = 4096
 #: 64-bit words of the parities that are compared first, and up to how many members a key's sets go with these only.
@@ -100,11 +108,43 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([p.tobytes() for p in bits], pa.binary()),
                 pa.array([folded(p, min(len(p), BRIEF_WORDS)).tobytes() for p in bits], pa.binary()),
                 pa.array([s[: len(s) // 5 + 1].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array(np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)),
             ],
-            ["doc_id", "fp", "n", "bits", "brief", "keys"],
+            ["doc_id", "fp", "n", "bits", "brief", "keys", "print"],
         )
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (fp, print): a bucket key for the pivot coordinates of each block."""
+    for batch in batches:
+        fp, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        keys = coordinates(own.view(np.uint64)) * np.uint64(BLOCKS) + np.arange(BLOCKS, dtype=np.uint64)
+        arrays = keys.reshape(-1).view(np.int64), np.repeat(fp, BLOCKS), np.repeat(own, BLOCKS)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "fp", "print"])
+
+
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [], []
+        for members in batch.column(0):
+            fp, own = (members.values.field(c).to_numpy() for c in ("fp", "print"))
+            for i, j in nearest_links(own.view(np.uint64), PRINT_BITS):
+                a.append(min(fp[i], fp[j]))
+                b.append(max(fp[i], fp[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def proposed_pairs(merged: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """(a, b): pairs of sets whose fingerprints are near each other, by pivot tables."""
+    keyed = materialize(map_batches(merged.select("fp", "print"), _by_block, "key long, fp long, print long"), "keyed", FEW_FILES)
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes", FEW_FILES)
+    part = F.expr(f"pmod(xxhash64(fp, 7), ceil(m / {bucket_limit}))").alias("part")
+    buckets = keyed.join(sizes, "key").groupBy("key", part).agg(F.array_sort(F.collect_list(F.struct("fp", "print"))).alias("members"))
+    pairs = materialize(map_batches(buckets.select("members"), _proposed, "a long, b long").distinct(), "proposed", FEW_FILES)
+    discard(keyed, sizes)
+    return pairs
+
+
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sorted (key, fp): each key's members with the first and the member before; keys of one member go."""
     last = head = prior = None
@@ -187,9 +227,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def passing(pairs: DataFrame, merged: DataFrame, bits: str) -> DataFrame:
-    """The rows of ``pairs`` (a, b) that sizes and the parities in column ``bits`` do not rule out."""
-    end = lambda c: merged.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col(bits).alias(f"bits_{c}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    """The rows of ``pairs`` (a, b) of different ``print_label`` that sizes and the parities in column ``bits`` do not rule out."""
+    names = {"n": "n", "bits": bits, "label": "print_label"}
+    end = lambda c: merged.select(F.col("fp").alias(c), *(F.col(x).alias(f"{k}_{c}") for k, x in names.items()))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").where("label_a <> label_b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     return materialize(map_batches(both, _filtered, "a long, b long"), "passing", FEW_FILES)
 
 
@@ -233,15 +274,19 @@ def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         map_batches(
             docs.select("doc_id", "text"),
             _described,
-            "doc_id long, fp long, n int, bits binary, brief binary, keys array<long>",
+            "doc_id long, fp long, n int, bits binary, brief binary, keys array<long>, print long",
         ),
         "prints",
     )
     merged = materialize(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "bits", "brief"))),
+        prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "bits", "brief", "print"))),
         "distinct",
         FEW_FILES,
     )
+    distinct, proposed = merged, proposed_pairs(merged)
+    by_print = similar_pairs(passing(proposed, merged.withColumn("print_label", F.col("fp")), "bits"), docs)
+    merged = materialize(labelled(merged.drop("print"), by_print).withColumnRenamed("label", "print_label"), "joined", FEW_FILES)
+    discard(distinct, proposed)
     keyed = prints.select(F.explode("keys").alias("key"), "fp").repartition("key")
     ordered = keyed.sortWithinPartitions("key", F.xxhash64("key", "fp"), "fp")
     stars = materialize(map_batches(ordered, _starred, "key long, fp long, head long, prior long"), "stars", FEW_FILES)
@@ -253,7 +298,7 @@ def components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     brief = passing(tried, merged, "brief")
     near = passing(brief, merged, "bits")
     discard(brief)
-    links = similar_pairs(near, docs)
+    links = by_print.unionByName(similar_pairs(near, docs))
 
     groups = materialize(labelled(merged, links), "groups", FEW_FILES)
     # A key's first member has no row of its own in ``stars``. Of up to three members all pairs have been tried.

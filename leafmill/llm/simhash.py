@@ -59,7 +59,11 @@ def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
     """The SimHash of a text as an unsigned integer; 0 without words."""
-    hashes = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = np.ascontiguousarray(hashes[at : at + (1 << 15)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -93,13 +97,18 @@ def distances(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None, None] ^ pivots()[None]).astype(np.int8)
 
 
-def bucket_keys(fps: np.ndarray) -> np.ndarray:
-    """(n, 6) keys; two fingerprints of at most two differing bits share at least one."""
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """(n, BLOCKS) codes of the pivot coordinates of each block."""
     own = distances(fps)
     local = (own - own[:, :, :1]).astype(np.int64).view(np.uint64)
     rng = np.random.default_rng(65)
     mix = rng.integers(1, 1 << 63, (BLOCKS, PIVOTS_PER_BLOCK), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    code = (local * mix).sum(axis=2, dtype=np.uint64)
+    return (local * mix).sum(axis=2, dtype=np.uint64)
+
+
+def bucket_keys(fps: np.ndarray) -> np.ndarray:
+    """(n, 6) keys; two fingerprints of at most two differing bits share at least one."""
+    code = coordinates(fps)
     keys = [
         (code[:, a] ^ (code[:, b] * np.uint64(0x9E3779B97F4A7C15))) + np.uint64((a * BLOCKS + b) * 0xBF58476D1CE4E5B9 % (1 << 64))
         for a in range(BLOCKS)
@@ -123,6 +132,19 @@ def spanning_links(members: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def nearest_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Each member with the nearest one before it, where at most ``bits`` bits differ; pairs of places."""
+    table = distances(members).reshape(len(members), -1)
+    found = []
+    for i in range(1, len(members)):
+        near = np.flatnonzero(np.abs(table[:i] - table[i]).max(axis=1) <= bits)
+        if len(near):
+            far = np.bitwise_count(members[near] ^ members[i])
+            if far.min() <= bits:
+                found.append((i, int(near[far.argmin()])))
+    return found
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)

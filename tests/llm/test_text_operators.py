@@ -388,6 +388,28 @@ def test_similar_texts_of_odd_rows(spark, odd_docs, no_docs):
     assert near_text.keep_one_of_similar(no_docs).count() == 0
 
 
+def test_fingerprints_join_near_copies_before_the_exact_join(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(6):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:150] + ["changed"] + words[150:]))]
+    sets = {near_text.set_id(near_text.shingle_set(t)): i for i, t in rows}
+    compared, own = [], near_text.passing
+
+    def seen(pairs, merged, bits):
+        compared.append({tuple(sorted(sets[x % 2**64] for x in r)) for r in pairs.collect()})
+        compared.append({tuple(sorted(sets[x % 2**64] for x in r)) for r in own(pairs, merged, bits).collect()})
+        return own(pairs, merged, bits)
+
+    monkeypatch.setattr(near_text, "passing", seen)
+    kept = near_text.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 12, 2))
+    near = {(2 * i, 2 * i + 1) for i in range(6)}
+    assert near == compared[0] & near == compared[1] and not any(x & near for x in compared[3::2])
+
+
+
 def test_connected_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, None), (3, 3)]
