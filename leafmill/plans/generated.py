@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import search_queries as sq
 from leafmill.operators import charts, outlines
 from leafmill.plans.registered import query
-from leafmill.storage import read_table
+from leafmill.storage import partitions_for, read_table
 
 
 def _filled_sql(templates, name: str, code: str = "''") -> str:
@@ -77,7 +77,8 @@ def processed_charts(spark, d):
             raise ValueError("no chart")
         return "" if rest == 1 else "+".join(str(x["id"]) for x in asked["data"])
 
-    made = charts.processed(suggestions, records, generate, lambda html: f"chart of {html}")
+    with partitions_for(spark, read_table(spark, d, "lineitem").count()):
+        made = charts.processed(suggestions, records, generate, lambda html: f"chart of {html}")
     refs = F.array_join(F.transform("references", lambda x: F.concat_ws(":", x["ref_num"], x["data_id"], x["title"])), " ")
     return made.select("suggestion_id", "success", "error", "chart_html", "raw_data_count", refs.alias("refs"))
 
