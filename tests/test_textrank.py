@@ -2,10 +2,13 @@
 
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checking import SMALL
+from pyspark.sql import functions as F
 
 from leafmill.functions import textrank as tr
 from leafmill.storage import read_table
@@ -112,3 +115,67 @@ def test_summaries_are_made_where_texts_are_read(spark):
     made = tr.summarised(spark.createDataFrame(rows, "i long, t string"), "t", 2)
     assert {r["i"]: r["summary"] for r in made.collect()} == {i: None if t is None else tr.summary(t, 2) for i, t in rows}
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_best(texts, stop, most=5):
+    split = [tr.runs_of(t or "") for t in texts]
+    ranks = tr.word_ranks(split, stop)
+    return [(i, p, s, k) for i, runs in enumerate(split) for k, (p, s) in enumerate(tr.best_phrases(runs, ranks[i], stop, most), 1)]
+
+
+def odd_texts(seed, n=60):
+    rng = random.Random(seed)
+    pieces = ["the", "aa", "Bb", "ccc", "İi", "ΟΔΟΣ", "ß", "e\u0301te\u0301", "中文", "中", "x中文y", "\u3400字", "m²", "Ⅷ", "७", "😀", "\U0001d400z", "4", "_", "\u00a0", "\x1c", "\u2028"]
+    ends = [" ", " ", " ", "-", "", ", ", ".", "\n", "\t", "—", "\r\n"]
+    return ["".join(rng.choice(pieces) + rng.choice(ends) for _ in range(rng.randint(0, 120))) for _ in range(n)] + [None, "", "the the", "...", "b c b c b c"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_phrases_from_arrays_like_those_of_each_text(seed):
+    texts = odd_texts(seed)
+    for stop in (frozenset(), frozenset(["the", "中", "aa"])):
+        for most in (1, 5, 1000):
+            assert tr._all_best_phrases(pa.array(texts, pa.string()), stop, most) == plain_best(texts, stop, most)
+    assert tr._all_best_phrases(pa.array([None, "", "the"], pa.string()), frozenset(["the"]), 5) == []
+
+
+def test_characters_are_told_as_the_patterns_tell_them():
+    texts = [f"A{c}b {c}c" for c in map(chr, [*range(0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800), *range(0x20000, 0x20100)])]
+    found = tr._words_of(pa.array(texts), tr._ranked_sign)
+    words = [[w for run in tr.runs_of(t) for w in run] for t in texts]
+    runs = [(i, j) for i, t in enumerate(texts) for j, run in enumerate(tr.runs_of(t)) for _ in run]
+    assert found.per_text.tolist() == [len(w) for w in words]
+    assert found.kinds.take(pa.array(found.kind)).to_pylist() == [w for of in words for w in of]
+    assert (np.diff(found.run) > 0).tolist() == [a != b for a, b in zip(runs, runs[1:], strict=False)]
+
+
+def test_common_words_like_patterns_of_the_engine(spark):
+    docs = spark.createDataFrame(list(enumerate(odd_texts(9))), "doc_id long, text string").unionByName(read_table(spark, SMALL, "documents").select("doc_id", "text"))
+    kinds = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[一-鿿]|[\p{L}\p{M}]+"), F.lit(0))
+    counts = {r["w"]: r["count"] for r in docs.select(F.explode(F.array_distinct(kinds)).alias("w")).groupBy("w").count().collect()}
+    n = docs.count()
+    for share in (0, 0.01, 0.5):
+        assert tr.common_words(docs, share=share) == {w for w, c in counts.items() if c > share * n}
+    assert tr.common_words(docs.limit(0)) == frozenset()
+
+
+def test_parts_are_bounded_by_their_texts(monkeypatch):
+    monkeypatch.setattr(tr, "PART_BYTES", 100)
+    texts = ["é" * n for n in (10, 30, 500, 0, 7)] + [None] * 3 + ["ab" * 40] * 4
+    parts = list(tr._parts(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()[1:]) < 100 for p in parts)
+    assert not list(tr._parts(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"]), 0))
+
+
+def test_phrases_from_arrays_take_less_time(spark):
+    texts = [r["text"] for r in read_table(spark, SMALL, "documents").select("text").collect()]
+    stop = frozenset(["the", "of", "and"])
+
+    def seconds(run):
+        before = time.process_time()
+        assert len(run())
+        return time.process_time() - before
+
+    arrays = min(seconds(lambda: tr._all_best_phrases(pa.array(texts), stop, 5)) for _ in range(3))
+    assert arrays < 0.5 * min(seconds(lambda: plain_best(texts, stop)) for _ in range(2))
