@@ -105,3 +105,52 @@ def test_places_of_hashes():
     known = {int(h): i for i, h in enumerate(some)}
     assert seg.Places(some).find(asked.reshape(1, -1)).tolist() == [[known.get(int(h), -1) for h in asked]]
     assert seg.Places(some[:0]).find(asked[:3]).tolist() == [-1] * 3
+
+
+def test_hashes_of_like_words_do_not_crowd():
+    """Pieces that differ in their last characters only lie in different parts of the table; else each is found after all others."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 60)]
+    places = seg.Places(np.sort(seg._word_hashes([a + b for a in letters for b in letters])))
+    slots = np.unique(places.hashes[:-1] >> places.shift, return_counts=True)[1]
+    assert slots.max() < 8
+
+
+def test_runs_are_dealt_to_all_cores(spark):
+    df = spark.createDataFrame([(w,) for w in ("ab", "cd ef", "gh")], "text string")
+    rows = seg._runs_table(df.coalesce(1), "text")
+    assert len(rows.inputFiles()) > 1 and sorted(map(tuple, rows.collect())) == [("ab", 1), ("cd", 1), ("ef", 1), ("gh", 1)]
+
+
+@pytest.mark.parametrize("least", [-3.0, -40.0, -300.0])
+def test_expectations_of_long_runs(least):
+    """Products of thousands of probabilities, within and beyond the range of numbers, like sums of logarithms."""
+    rng = random.Random(7)
+    lexicon = seg.Lexicon(["a", "b", "ab", "bba"], np.array([-0.5, least, -1.0, -2.0]))
+    runs = ["".join(rng.choice("abé") for _ in range(n)) for n in (1, 9, 700, 1500, 1501)]
+    times = np.array([1, 2, 3, 1, 5])
+    for lattice in lexicon.lattices(runs):
+        own = times[lattice.numbers]
+        found, want = lattice.expected(own), lattice._expected_by_logarithms(own)
+        assert np.isfinite(found).all() and np.allclose(found, want, rtol=1e-9)
+
+
+def test_common_spans_like_sets():
+    rng = random.Random(8)
+    for _ in range(50):
+        text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 30)))
+
+        def cut(t):
+            places = [0, *sorted(rng.sample(range(1, len(t)), len(t) // 3)), len(t)] if t else []
+            return [t[a:b] for a, b in zip(places, places[1:], strict=False)]
+
+        some, others = cut(text), cut(text + "b" * rng.randint(0, 2))
+        lengths = (np.array([len(w) for w in words], np.int64) for words in (some, others))
+        assert seg.common_spans(*lengths) == len(seg.spans(some) & seg.spans(others))
+
+
+def test_words_of_texts_in_any_letters():
+    """Texts without runs between others, letters of one to four bytes."""
+    lexicon = seg.Lexicon(["ab", "é中", "𐐨"], np.log(np.array([0.5, 0.3, 0.2])))
+    words = seg._split(lexicon, [[], ["abé中", "𐐨ab"], [], ["中"], []]).to_pylist()
+    assert words == [[], ["ab", "é中", "𐐨", "ab"], [], ["中"], []]
+    assert seg._split(lexicon, [[], []]).to_pylist() == [[], []]
