@@ -196,3 +196,26 @@ def test_report_of_texts_joins_each_text_once(spark):
     assert rows_of(made) == rows_of(report.markdown(whole, refs))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1
+
+
+def test_long_reports_are_joined_as_they_come(spark):
+    """The same reports as those of ``markdown_of_texts``, of few and of many batches; nothing gathers a report's pieces in a list."""
+    rows = [(r, n, o, t) for r in ("a", "b", None, "ü") for n in (1, 2) for o, t in enumerate(["x", None, "", "中y", "z" * 50])]
+    texts = spark.createDataFrame(rows, "report_id string, number int, ord long, text string")
+    sections = spark.createDataFrame([(r, f"t{n}", n) for r, n in (("a", 1), ("a", 2), ("b", 2), ("c", 1), (None, 1), ("ü", 1))], "report_id string, title string, number int")
+    refs = spark.createDataFrame([("a", 1, "t1", "u"), ("a", 2, None, "v"), ("z", 1, "t", "u"), (None, 1, "t", "u")], "report_id string, ref_num int, title string, url string")
+    want = rows_of(report.markdown_of_texts(sections, texts, refs))
+    plan = None
+    for size in ("10000", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            made = report.markdown_of_long_texts(sections, texts, refs)
+            assert rows_of(made) == want
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in plan
+    from leafmill.plans import catalog
+
+    query = catalog.QUERIES["markdown_report"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in query._jdf.queryExecution().optimizedPlan().toString()
