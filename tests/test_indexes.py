@@ -168,3 +168,29 @@ def test_few_vectors_leave_the_tasks_of_an_exact_search(spark, monkeypatch):
     asked = spark.createDataFrame(data[::100], "query_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in built.exact(asked, 5).collect())
     assert got == sorted((q, r, i) for q, i, _, r in plain_nearest(data, data[::100], 5)) and max(seen) <= 30 * 25
+
+
+def test_search_in_turns(spark, monkeypatch):
+    """Few pairs of a query and a group at a time: as many tables as turns, the same documents, blocks and exclusions."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 20)))) for i in range(200)]
+    asked = spark.createDataFrame([(q, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(4))) for q in range(12)], "query_id long, query string")
+    out = spark.createDataFrame([(q, i) for q in range(12) for i in range(q, 200, 7)], "query_id long, doc_id long")
+    index = text_index.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), new_dir(spark, "test_turns"), window=16, buckets=4)
+    want = [sorted(map(tuple, x.collect())) for x in index.search(asked, 3, out)]
+    tags, plain = [], text_index.materialize
+    monkeypatch.setattr(text_index, "materialize", lambda df, tag, *a: tags.append(tag) or plain(df, tag, *a))
+    monkeypatch.setattr(text_index, "DEALT", 24)
+    found = [sorted(map(tuple, x.collect())) for x in index.search(asked, 3, out)]
+    assert found[0] == want[0] and [x[:2] for x in found[1]] == [x[:2] for x in want[1]]
+    assert tags.count("found") >= 4
+
+
+def test_lists_are_unpacked_where_they_lie():
+    lists = [[5, 300], [7], [1 << 20, 0, 2]]
+    column = text_index.packed_lists(np.concatenate([np.array(x) for x in lists]), np.array([0, 2, 3]))
+    assert text_index.unpacked_lists(column.slice(1)).tolist() == [7, 1 << 20, 0, 2]
+    import pyarrow as pa
+
+    assert text_index.unpacked_lists(pa.chunked_array([column.slice(0, 1), column.slice(2)])).tolist() == [5, 300, 1 << 20, 0, 2]
+    assert text_index.unpacked_lists(column.slice(0, 0)).tolist() == text_index.unpacked_lists(pa.chunked_array([], pa.binary())).tolist() == []
