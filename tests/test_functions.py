@@ -251,3 +251,34 @@ def test_outline_counts_in_bounded_memory():
     for i in [*range(0, 3000, 100), 3000, 3001, 3002, 3003]:
         shares = [len(set(lists[i] or []) & set(s)) / 60 for s in sections]
         assert (section[i], share[i]) == (shares.index(max(shares)) if max(shares) else -1, max(shares))
+
+
+def test_token_splitters_read_a_text_once(monkeypatch):
+    """Chunks like those from counting every piece anew, whatever the text; a long text's tokens are found once."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        text = "".join(rng.choice("ab é中文1_.,。 \n\n!\t𐐨") for _ in range(rng.randint(0, 60)))
+        size = rng.randint(1, 6)
+        for split in (chunks.split_fast, chunks.split_tokens):
+            overlap = rng.randint(0, size - 1)
+            assert split(text, size, overlap) == split(text, size, overlap, lambda t: chunks.count_tokens(t))
+    read = []
+
+    class Reader:
+        def findall(self, text, plain=chunks._TOKEN):
+            read.append(len(text))
+            return plain.findall(text)
+
+        def finditer(self, text, plain=chunks._TOKEN):
+            read.append(len(text))
+            return plain.finditer(text)
+
+    monkeypatch.setattr(chunks, "_TOKEN", Reader())
+    text = " ".join(rng.choice(["one", "two", "three.", "four\n"]) for _ in range(20_000))
+    for split in (chunks.split_fast, chunks.split_tokens):
+        read.clear()
+        assert re.sub(r"\s", "", "".join(split(text, 200))) == re.sub(r"\s", "", text)
+        assert sum(read) <= 2 * len(text)
